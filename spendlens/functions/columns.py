@@ -60,3 +60,20 @@ def weekday_sunday0(d) -> Column:
 
 def weekday_abbrev(d) -> Column:
     return F.date_format(_c(d), "EEE")
+
+
+def cents(x) -> Column:
+    """Money as exact integer cents (BIGINT), rounding half up.
+
+    A DOUBLE is scaled and rounded natively (no per-row BigDecimal, which costs more
+    than the scan itself); for amounts with at most 2 decimals this equals the cast to
+    DECIMAL(18,2). Sums of cents are exact, fast long additions; ANSI mode raises on
+    overflow rather than wrapping.
+    """
+    x = _c(x)
+    return F.floor(x * F.lit(100.0) + F.lit(0.5)).cast("bigint")
+
+
+def from_cents(x, precision: int = 18) -> Column:
+    """Integer cents back to DECIMAL(precision, 2), exactly."""
+    return (_c(x).cast("decimal(38,0)") / F.lit(100)).cast(f"decimal({precision},2)")

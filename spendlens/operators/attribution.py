@@ -1,11 +1,19 @@
 """Spend-share revenue attribution: same day (A13), trailing K rows (A14), several K at
 once (A15), and the attributed fact that the breakdown and curve operators share.
 
-Plan shape for the fact: one Window partitioned by (keys, channel) and ordered by date
-evaluates every K in a single sort; one Window partitioned by (keys, date) gives the
-day's total of the rolling sums (no self join); the revenue join is an equi join on
-(keys, date). A window partition holds one channel's days, i.e. at most the number of
-distinct dates per key.
+Spend may come wide (one row per (keys, date), one column per channel, as the feed
+arrives) or long (keys, date, channel, spend).
+
+Wide plan: one Window keyed by the entity columns and ordered by date evaluates every
+channel and every K in a single sort; the day's total of the rolling sums is a row-wise
+sum, so no shuffle by channel or by date is needed. A window partition holds one row per
+date of one entity, i.e. at most the number of distinct dates (not a data-sized group).
+
+Long plan: one Window partitioned by (keys, channel) ordered by date evaluates every K in
+a single sort; one Window partitioned by (keys, date) gives the day's total (no self join).
+
+Either way the revenue join is an equi join on (keys, date), and spend days without
+revenue drop out there, after the rolling sums.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.columns import guarded_ratio
+from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
 
 FACT_COLUMNS = ("date", "channel", "spend", "k", "rolling_spend", "total_rolling_spend", "revenue",
                 "attributed_revenue")
@@ -27,17 +36,28 @@ def attribute(rolling: Column, total: Column, revenue: Column) -> Column:
     return F.when(total > 0, revenue.cast("double") * share).otherwise(F.lit(0.0))
 
 
-def attributed_fact(spend_long: DataFrame, revenue: DataFrame, windows: Iterable[int] = (30,),
-                    keys: Sequence[str] = ()) -> DataFrame:
-    """Per (keys, date, channel, k): spend, trailing-K-row spend, the day's total of those, revenue
-    and attributed revenue. K = 1 is same-day attribution.
-
-    Spend days without revenue drop out at the inner join, after the rolling sums.
-    """
-    keys = list(keys)
+def _windows(windows: Iterable[int]) -> list[int]:
     wins = sorted(set(int(k) for k in windows))
     if not wins or wins[0] < 1:
         raise ValueError("window sizes must be >= 1")
+    return wins
+
+
+def is_long(spend: DataFrame) -> bool:
+    return "channel" in spend.columns
+
+
+def null_skipping_total(cols: Sequence[Column]) -> Column:
+    """Sum across columns that ignores NULLs like SUM does; NULL only if all are NULL."""
+    any_value = None
+    total = None
+    for c in cols:
+        any_value = c.isNotNull() if any_value is None else (any_value | c.isNotNull())
+        total = F.coalesce(c, F.lit(0)) if total is None else total + F.coalesce(c, F.lit(0))
+    return F.when(any_value, total)
+
+
+def _fact_long(spend_long: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str]) -> DataFrame:
     base = spend_long.select(*keys, "date", "channel", "spend")
     by_channel = Window.partitionBy(*keys, "channel").orderBy("date")
     rolled = base.select("*", *[
@@ -45,24 +65,66 @@ def attributed_fact(spend_long: DataFrame, revenue: DataFrame, windows: Iterable
         for k in wins])
     by_day = Window.partitionBy(*keys, "date")
     totals = rolled.select("*", *[F.sum(f"_r{k}").over(by_day).alias(f"_t{k}") for k in wins])
-    if len(wins) == 1:
-        k = wins[0]
-        stacked = totals.select(*keys, "date", "channel", "spend", F.lit(k).alias("k"),
-                                F.col(f"_r{k}").alias("rolling_spend"), F.col(f"_t{k}").alias("total_rolling_spend"))
-    else:
-        stacked = totals.select(*keys, "date", "channel", "spend", F.inline(F.array(*[
-            F.struct(F.lit(k).alias("k"), F.col(f"_r{k}").cast("decimal(38,2)").alias("rolling_spend"),
-                     F.col(f"_t{k}").cast("decimal(38,2)").alias("total_rolling_spend"))
-            for k in wins])))
+    stacked = totals.select(*keys, "date", "channel", "spend", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.col(f"_r{k}").cast("decimal(38,2)").alias("rolling_spend"),
+                 F.col(f"_t{k}").cast("decimal(38,2)").alias("total_rolling_spend"))
+        for k in wins])))
     rev = revenue.select(*keys, "date", "revenue")
     return (stacked.join(rev, [*keys, "date"])
             .withColumn("attributed_revenue",
                         attribute(F.col("rolling_spend"), F.col("total_rolling_spend"), F.col("revenue"))))
 
 
-def same_day_attribution(spend_long: DataFrame, revenue: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def _fact_wide(spend_wide: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str],
+               channels: Sequence[str], suffix: str) -> DataFrame:
+    cols = {c: f"{c}{suffix}" for c in channels}
+    base = spend_wide.select(*keys, "date", *cols.values())
+    by_date = Window.partitionBy(*keys).orderBy("date")
+    rolled = base.select("*", *[
+        (F.col(col) if k == 1 else F.sum(col).over(by_date.rowsBetween(-(k - 1), 0))).alias(f"_r{k}_{c}")
+        for k in wins for c, col in cols.items()])
+    totals = rolled.select("*", *[null_skipping_total([F.col(f"_r{k}_{c}") for c in channels]).alias(f"_t{k}")
+                                  for k in wins])
+    rev = revenue.select(*keys, "date", "revenue")
+    joined = totals.join(rev, [*keys, "date"])
+    rows = F.array(*[
+        F.struct(F.lit(c).alias("channel"), F.col(col).alias("spend"), F.lit(k).alias("k"),
+                 F.col(f"_r{k}_{c}").cast("decimal(38,2)").alias("rolling_spend"),
+                 F.col(f"_t{k}").cast("decimal(38,2)").alias("total_rolling_spend"))
+        for k in wins for c, col in cols.items()])
+    return (joined.select(*keys, "date", "revenue", F.inline(rows))
+            .select(*keys, "date", "channel", "spend", "k", "rolling_spend", "total_rolling_spend", "revenue")
+            .withColumn("attributed_revenue",
+                        attribute(F.col("rolling_spend"), F.col("total_rolling_spend"), F.col("revenue"))))
+
+
+def attributed_fact(spend: DataFrame, revenue: DataFrame, windows: Iterable[int] = (30,),
+                    keys: Sequence[str] = (), channels: Sequence[str] = CHANNELS,
+                    suffix: str = SPEND_SUFFIX) -> DataFrame:
+    """Per (keys, date, channel, k): spend, trailing-K-row spend, the day's total of those, revenue
+    and attributed revenue. K = 1 is same-day attribution.
+
+    ``spend`` is long (has a ``channel`` column) or wide (``<channel><suffix>`` columns).
+    """
+    wins, keys = _windows(windows), list(keys)
+    if is_long(spend):
+        return _fact_long(spend, revenue, wins, keys)
+    return _fact_wide(spend, revenue, wins, keys, channels, suffix)
+
+
+def as_long(spend: DataFrame, keys: Sequence[str] = (), channels: Sequence[str] = CHANNELS,
+            suffix: str = SPEND_SUFFIX) -> DataFrame:
+    """Long spend (keys, date, channel, spend) from either shape (a single Expand if wide)."""
+    if is_long(spend):
+        return spend
+    ids = [*keys, "date"]
+    return (spend.select(*ids, *[F.col(f"{c}{suffix}").alias(c) for c in channels])
+            .unpivot(ids, list(channels), "channel", "spend"))
+
+
+def same_day_attribution(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(channel, total_spend, total_revenue_attributed), largest spend first."""
-    fact = attributed_fact(spend_long, revenue, (1,), keys)
+    fact = attributed_fact(spend, revenue, (1,), keys)
     return (fact.groupBy(*keys, "channel")
             .agg(F.sum("spend").alias("total_spend"),
                  F.sum("attributed_revenue").alias("total_revenue_attributed"))
@@ -76,21 +138,21 @@ def _roas_by(fact: DataFrame, group: Sequence[str]) -> DataFrame:
             .withColumn("roas_k", guarded_ratio("total_revenue_attributed_k", "total_spend")))
 
 
-def rolling_attribution(spend_long: DataFrame, revenue: DataFrame, k: int = 30,
+def rolling_attribution(spend: DataFrame, revenue: DataFrame, k: int = 30,
                         keys: Sequence[str] = ()) -> DataFrame:
     """Trailing-K-row attribution: (channel, total_spend, total_revenue_attributed_k, roas_k,
     attribution_window_days), best ROAS first."""
-    fact = attributed_fact(spend_long, revenue, (k,), keys)
+    fact = attributed_fact(spend, revenue, (k,), keys)
     return (_roas_by(fact, [*keys, "channel"])
             .withColumn("attribution_window_days", F.lit(int(k)))
             .orderBy(*keys, F.col("roas_k").desc(), "channel"))
 
 
-def attribution_windows(spend_long: DataFrame, revenue: DataFrame, windows: Iterable[int] = (7, 14, 30),
+def attribution_windows(spend: DataFrame, revenue: DataFrame, windows: Iterable[int] = (7, 14, 30),
                         keys: Sequence[str] = ()) -> DataFrame:
     """All windows in one pass: (channel, attribution_window_days, total_spend,
     total_revenue_attributed_k, roas_k), by window then best ROAS."""
-    fact = attributed_fact(spend_long, revenue, windows, keys)
+    fact = attributed_fact(spend, revenue, windows, keys)
     return (_roas_by(fact.withColumnRenamed("k", "attribution_window_days"),
                      [*keys, "channel", "attribution_window_days"])
             .select(*keys, "channel", "attribution_window_days", "total_spend", "total_revenue_attributed_k",

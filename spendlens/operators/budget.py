@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.columns import guarded_ratio, mean
 from spendlens.functions.stats import population_stddev
-from spendlens.operators.attribution import attribute
+from spendlens.operators.attribution import attribute, is_long
+from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
 
 
 def spend_consistency(spend_long: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -26,15 +27,8 @@ def spend_consistency(spend_long: DataFrame, keys: Sequence[str] = ()) -> DataFr
             .orderBy(*keys, F.col("cv_spend").asc_nulls_first()))
 
 
-def channel_roas_summary(spend_long: DataFrame, revenue: DataFrame, k: int = 30,
-                         keys: Sequence[str] = (), label_suffix: str = "_spend") -> DataFrame:
-    """Per channel: total_spend, attr_rev_30d, roas_30d (0 when no spend), as the reallocation reads them.
-
-    Unlike the rolling attribution, NULL spend counts as 0, the denominator is the trailing
-    sum of the day's total spend, and spend days without revenue stay (revenue 0).
-    The total's window is keyed by entity only: one row per date, so a window partition
-    holds at most the number of distinct dates of one key.
-    """
+def _share_long(spend_long: DataFrame, revenue: DataFrame, k: int, keys: Sequence[str],
+                label_suffix: str) -> DataFrame:
     daily = (spend_long.groupBy(*keys, "date", F.concat(F.col("channel"), F.lit(label_suffix)).alias("channel"))
              .agg(F.coalesce(F.sum("spend"), F.lit(0).cast("decimal(18,2)")).alias("spend")))
     total = daily.groupBy(*keys, "date").agg(F.sum("spend").alias("total_spend"))
@@ -44,16 +38,50 @@ def channel_roas_summary(spend_long: DataFrame, revenue: DataFrame, k: int = 30,
     roll_t = total.select(*keys, "date", F.sum("total_spend").over(
         Window.partitionBy(*keys).orderBy("date").rowsBetween(*frame)).alias("roll_total"))
     rev = revenue.select(*keys, "date", "revenue")
-    share = (roll_c.join(roll_t, [*keys, "date"]).join(rev, [*keys, "date"], "left")
-             .withColumn("revenue", F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)))
-             .withColumn("attributed_revenue_30d", attribute(F.col("roll_channel"), F.col("roll_total"),
-                                                             F.col("revenue"))))
+    return (roll_c.join(roll_t, [*keys, "date"]).join(rev, [*keys, "date"], "left")
+            .select(*keys, "channel", "spend", "roll_channel", "roll_total",
+                    F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("revenue")))
+
+
+def _share_wide(spend_wide: DataFrame, revenue: DataFrame, k: int, keys: Sequence[str], channels: Sequence[str],
+                suffix: str, label_suffix: str) -> DataFrame:
+    cols = {c: f"{c}{suffix}" for c in channels}
+    base = spend_wide.select(*keys, "date", *[F.coalesce(F.col(col), F.lit(0).cast("decimal(18,2)")).alias(c)
+                                              for c, col in cols.items()])
+    base = base.withColumn("_total", sum((F.col(c) for c in channels), F.lit(0)))
+    by_date = Window.partitionBy(*keys).orderBy("date").rowsBetween(-(k - 1), 0)
+    rolled = base.select("*", *[F.sum(c).over(by_date).alias(f"_r_{c}") for c in channels],
+                         F.sum("_total").over(by_date).alias("roll_total"))
+    rev = revenue.select(*keys, "date", "revenue")
+    joined = rolled.join(rev, [*keys, "date"], "left")
+    rows = F.array(*[F.struct(F.lit(f"{c}{label_suffix}").alias("channel"), F.col(c).alias("spend"),
+                              F.col(f"_r_{c}").alias("roll_channel")) for c in channels])
+    return joined.select(*keys, F.inline(rows), "roll_total",
+                         F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("revenue"))
+
+
+def channel_roas_summary(spend: DataFrame, revenue: DataFrame, k: int = 30, keys: Sequence[str] = (),
+                         label_suffix: str = "_spend", channels: Sequence[str] = CHANNELS,
+                         suffix: str = SPEND_SUFFIX) -> DataFrame:
+    """Per channel: total_spend, attr_rev_30d, roas_30d (0 when no spend), as the reallocation reads them.
+
+    Unlike the rolling attribution, NULL spend counts as 0, the denominator is the trailing
+    sum of the day's total spend, and spend days without revenue stay (revenue 0). The
+    total's window is keyed by entity only: it runs over one row per date, so a window
+    partition holds at most the number of distinct dates of one entity.
+    """
+    if is_long(spend):
+        share = _share_long(spend, revenue, k, keys, label_suffix)
+    else:
+        share = _share_wide(spend, revenue, k, keys, channels, suffix, label_suffix)
+    share = share.withColumn("attributed_revenue_30d",
+                             attribute(F.col("roll_channel"), F.col("roll_total"), F.col("revenue")))
     s = share.groupBy(*keys, "channel").agg(F.sum("spend").alias("total_spend"),
                                               F.sum("attributed_revenue_30d").alias("attr_rev_30d"))
     return s.withColumn("roas_30d", F.coalesce(guarded_ratio("attr_rev_30d", "total_spend"), F.lit(0.0)))
 
 
-def budget_reallocation(spend_long: DataFrame, revenue: DataFrame, k: int = 30, fraction: float = 0.10,
+def budget_reallocation(spend: DataFrame, revenue: DataFrame, k: int = 30, fraction: float = 0.10,
                         n_donors: int = 2, n_recipients: int = 2, keys: Sequence[str] = (),
                         label_suffix: str = "_spend") -> DataFrame:
     """Move ``fraction`` of spend from the lowest-ROAS channels (rank <= n_donors ascending) to
@@ -63,7 +91,7 @@ def budget_reallocation(spend_long: DataFrame, revenue: DataFrame, k: int = 30,
     roas_30d, new_total_spend, exp_rev_before, exp_rev_after, incr_rev; best ROAS first.
     Everything after the per-channel summary runs on one row per channel (and key).
     """
-    s = channel_roas_summary(spend_long, revenue, k, keys, label_suffix)
+    s = channel_roas_summary(spend, revenue, k, keys, label_suffix)
     scope = Window.partitionBy(*keys)
     spend_d = F.col("total_spend").cast("double")
     ranked = (s.withColumn("_rk_desc", F.rank().over(scope.orderBy(F.col("roas_30d").desc())))

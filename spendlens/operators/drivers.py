@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.columns import mean
 from spendlens.functions.stats import pearson
+from spendlens.operators.attribution import as_long
 
 # Lift factor labels and the flag column each one reads.
 LIFT_FACTORS = (("holiday", "is_holiday"), ("promotion", "promotion_active"), ("weekend", "is_weekend"))
@@ -19,9 +20,9 @@ LOW_BOUND, HIGH_BOUND = 0.9, 1.1
 BUCKETS = ("low_seasonality", "mid_seasonality", "high_seasonality")
 
 
-def corr_spend_revenue(spend_long: DataFrame, revenue: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def corr_spend_revenue(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(channel, pearson_corr_spend_vs_revenue) over the dates present in both feeds."""
-    j = spend_long.select(*keys, "date", "channel", "spend").join(revenue.select(*keys, "date", "revenue"),
+    j = as_long(spend, keys).select(*keys, "date", "channel", "spend").join(revenue.select(*keys, "date", "revenue"),
                                                                   [*keys, "date"])
     return (j.groupBy(*keys, "channel")
             .agg(pearson("spend", "revenue").alias("pearson_corr_spend_vs_revenue"))

@@ -11,7 +11,8 @@ The mapping (one row per date in each feed):
   seasonality = the day's share of orders times the number of order dates.
 
 Every aggregate is a plain ``groupBy`` (partial aggregation before the shuffle), so one
-hot date or customer costs one row per task, not one task.
+hot date or customer costs one row per task, not one task. Money is summed as exact
+integer cents and turned into DECIMAL(18,2) once per output row.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.functions.columns import cents, from_cents
 from spendlens.sources.feeds import INGEST_ORD, Feeds
-from spendlens.sources.schemas import CHANNELS, MONEY, spend_columns
+from spendlens.sources.schemas import CHANNELS, spend_columns
 
 # Fixed values: (return flag, line status) pair feeding each channel, in channel order.
 CHANNEL_FLAGS = (("A", "F"), ("A", "O"), ("N", "F"), ("N", "O"), ("R", "F"), ("R", "O"))
@@ -28,7 +30,6 @@ CHANNEL_FLAGS = (("A", "F"), ("A", "O"), ("N", "F"), ("N", "O"), ("R", "F"), ("R
 # Month-day of the calendar holidays.
 HOLIDAYS = ("01-01", "05-01", "12-24", "12-25", "12-26", "12-31")
 
-RATE = "decimal(6,2)"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +41,13 @@ def spend_from_lineitem(lineitem: DataFrame) -> DataFrame:
         F.to_date("l_shipdate").alias("date"),
         "l_returnflag",
         "l_linestatus",
-        F.col("l_extendedprice").cast(MONEY).alias("price"),
+        cents("l_extendedprice").alias("price"),
     )
     sums = [
-        F.coalesce(
+        from_cents(F.coalesce(
             F.sum(F.when((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls), F.col("price"))),
             F.lit(0),
-        ).cast(MONEY).alias(col)
+        )).alias(col)
         for col, (rf, ls) in zip(spend_columns(), CHANNEL_FLAGS)
     ]
     return (li.groupBy("date").agg(*sums)
@@ -56,10 +57,10 @@ def spend_from_lineitem(lineitem: DataFrame) -> DataFrame:
 def revenue_from_orders(orders: DataFrame) -> DataFrame:
     o = orders.select(
         F.to_date("o_orderdate").alias("date"), "o_orderdate", "o_orderkey", "o_custkey",
-        F.col("o_totalprice").cast(MONEY).alias("price"),
+        cents("o_totalprice").alias("price"),
     )
     daily = o.groupBy("date").agg(
-        F.sum("price").cast(MONEY).alias("revenue"),
+        from_cents(F.sum("price")).alias("revenue"),
         F.count(F.lit(1)).alias("transactions"),
     )
     # First order per customer: min over a struct is a partial aggregate, so a customer
@@ -77,8 +78,8 @@ def revenue_from_orders(orders: DataFrame) -> DataFrame:
 def factors_from_tables(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     li = (lineitem.groupBy(F.to_date("l_shipdate").alias("date"))
           .agg(F.count(F.lit(1)).alias("n_lines"),
-               F.sum(F.col("l_discount").cast(RATE)).alias("disc"),
-               F.sum(F.col("l_tax").cast(RATE)).alias("tax")))
+               F.sum(cents("l_discount")).alias("disc"),
+               F.sum(cents("l_tax")).alias("tax")))
     od = orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("n_orders"))
     # Two scalars over the per-date table (one row each; executed once as subqueries).
     n_dates = od.select(F.count(F.lit(1))).scalar()
@@ -88,9 +89,9 @@ def factors_from_tables(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         "date",
         F.when(F.dayofweek(d).isin(1, 7), 1).otherwise(0).alias("is_weekend"),
         F.when(F.date_format(d, "MM-dd").isin(*HOLIDAYS), 1).otherwise(0).alias("is_holiday"),
-        # mean discount above 0.05, compared exactly: disc * 20 > lines
-        F.when(F.col("disc") * 20 > F.col("n_lines"), 1).otherwise(0).alias("promotion_active"),
-        (F.col("tax").cast("double") / F.col("n_lines")).alias("competitor_index"),
+        # mean discount above 0.05, compared exactly in cents: disc > 5 * lines
+        F.when(F.col("disc") > F.col("n_lines") * 5, 1).otherwise(0).alias("promotion_active"),
+        ((F.col("tax") / F.lit(100.0)) / F.col("n_lines")).alias("competitor_index"),
         ((F.col("n_orders") * n_dates).cast("double") / n_orders.cast("double")).alias("seasonality_index"),
         F.unix_date(d).cast("bigint").alias(INGEST_ORD),
     ))
@@ -110,7 +111,7 @@ def event_spend_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second, long-form channel set: the day's summed event value per event type."""
     ev = _table(spark, sf_dir, "events")
     return (ev.groupBy(F.to_date("ts").alias("date"), F.col("event_type").alias("channel"))
-            .agg(F.sum(F.col("value").cast(MONEY)).cast(MONEY).alias("spend")))
+            .agg(from_cents(F.sum(cents("value"))).alias("spend")))
 
 
 def channel_names() -> tuple[str, ...]:
