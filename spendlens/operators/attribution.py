@@ -75,24 +75,34 @@ def _fact_long(spend_long: DataFrame, revenue: DataFrame, wins: list[int], keys:
                         attribute(F.col("rolling_spend"), F.col("total_rolling_spend"), F.col("revenue"))))
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _fact_wide(spend_wide: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str],
                channels: Sequence[str], suffix: str) -> DataFrame:
+    # Built from SQL expression strings: dozens of per-channel expressions, one JVM call each.
     cols = {c: f"{c}{suffix}" for c in channels}
-    base = spend_wide.select(*keys, "date", *cols.values())
-    by_date = Window.partitionBy(*keys).orderBy("date")
-    rolled = base.select("*", *[
-        (F.col(col) if k == 1 else F.sum(col).over(by_date.rowsBetween(-(k - 1), 0))).alias(f"_r{k}_{c}")
-        for k in wins for c, col in cols.items()])
-    totals = rolled.select("*", *[null_skipping_total([F.col(f"_r{k}_{c}") for c in channels]).alias(f"_t{k}")
-                                  for k in wins])
+    part = f"PARTITION BY {', '.join(_q(k) for k in keys)} " if keys else ""
+    rolled = [
+        (f"{_q(col)}" if k == 1 else
+         f"SUM({_q(col)}) OVER ({part}ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)")
+        + f" AS {_q(f'_r{k}_{c}')}"
+        for k in wins for c, col in cols.items()]
+    base = spend_wide.selectExpr(*[_q(k) for k in keys], "date", *[_q(c) for c in cols.values()], *rolled)
+    totals = []
+    for k in wins:
+        parts = [_q(f"_r{k}_{c}") for c in channels]
+        totals.append(f"CASE WHEN {' OR '.join(p + ' IS NOT NULL' for p in parts)} "
+                      f"THEN {' + '.join(f'COALESCE({p}, 0)' for p in parts)} END AS {_q(f'_t{k}')}")
     rev = revenue.select(*keys, "date", "revenue")
-    joined = totals.join(rev, [*keys, "date"])
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("channel"), F.col(col).alias("spend"), F.lit(k).alias("k"),
-                 F.col(f"_r{k}_{c}").cast("decimal(38,2)").alias("rolling_spend"),
-                 F.col(f"_t{k}").cast("decimal(38,2)").alias("total_rolling_spend"))
-        for k in wins for c, col in cols.items()])
-    return (joined.select(*keys, "date", "revenue", F.inline(rows))
+    joined = base.selectExpr("*", *totals).join(rev, [*keys, "date"])
+    structs = ", ".join(
+        f"named_struct('channel', '{c}', 'spend', {_q(col)}, 'k', {k}, "
+        f"'rolling_spend', CAST({_q(f'_r{k}_{c}')} AS DECIMAL(38,2)), "
+        f"'total_rolling_spend', CAST({_q(f'_t{k}')} AS DECIMAL(38,2)))"
+        for k in wins for c, col in cols.items())
+    return (joined.selectExpr(*[_q(k) for k in keys], "date", "revenue", f"inline(array({structs}))")
             .select(*keys, "date", "channel", "spend", "k", "rolling_spend", "total_rolling_spend", "revenue")
             .withColumn("attributed_revenue",
                         attribute(F.col("rolling_spend"), F.col("total_rolling_spend"), F.col("revenue"))))

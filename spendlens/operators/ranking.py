@@ -48,11 +48,14 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort_spec = [_order(c) for c in (*group_cols, *order_cols)]
     checkpoint_dir(df.sparkSession)
-    tagged = (df.repartitionByRange(parts, *sort_spec)
+    ranged = (df.repartitionByRange(parts, *sort_spec)
               .sortWithinPartitions(*sort_spec)
               .withColumn(_POS, F.monotonically_increasing_id())
-              .checkpoint(eager=True)
-              .withColumn(_BLK, F.shiftright(F.col(_POS), 33)))
+              .persist())
+    # The eager checkpoint runs a count, then writes; the persisted copy spares the write
+    # a recomputation and is dropped as soon as the files are there.
+    tagged = ranged.checkpoint(eager=True).withColumn(_BLK, F.shiftright(F.col(_POS), 33))
+    ranged.unpersist()
     g_alias = [f"_rk_g{i}" for i in range(len(group_cols))]
     blocks = (tagged.groupBy(*[F.col(c).alias(a) for c, a in zip(group_cols, g_alias)], F.col(_BLK).alias("_rk_b"))
               .agg(F.count(F.lit(1)).alias("_rk_cnt"), F.min(_POS).alias("_rk_first")))

@@ -8,45 +8,44 @@ written files instead of rescanning the raw feeds.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
 from typing import Sequence
 
-from pyspark.sql import DataFrame
-
 from spendlens.operators.shape import keep_first, unpivot_channels
 from spendlens.session import checkpoint_dir
-from spendlens.sources.feeds import INGEST_ORD, Feeds
+from spendlens.sources.feeds import INGEST_ORD, Feeds, Lazy
 from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
 
 
-@dataclass(frozen=True)
-class Prepared:
-    spend: DataFrame        # wide, one row per (keys, date)
-    spend_long: DataFrame   # (keys, date, channel, spend)
-    revenue: DataFrame      # one row per (keys, date)
-    factors: DataFrame      # one row per (keys, date)
-    keys: tuple = ()
+class Prepared(Lazy):
+    """Deduplicated feeds: spend (wide), spend_long, revenue, factors; built on first use."""
+
+    _names = ("spend", "spend_long", "revenue", "factors")
+
+    def __init__(self, keys: Sequence[str] = (), channels=CHANNELS, suffix: str = SPEND_SUFFIX, **sources):
+        super().__init__(**sources)
+        self.keys, self.channels, self.suffix = tuple(keys), tuple(channels), suffix
 
 
 def prepare(feeds: Feeds, keys: Sequence[str] = (), order=INGEST_ORD, channels=CHANNELS,
             suffix: str = SPEND_SUFFIX) -> Prepared:
     """Keep the first row per (keys, date) of each feed and derive the long spend table."""
     k = [*keys, "date"]
-    spend = keep_first(feeds.spend, k, order).drop(order)
-    return Prepared(
-        spend=spend,
-        spend_long=unpivot_channels(spend, channels, suffix, keys),
-        revenue=keep_first(feeds.revenue, k, order).drop(order),
-        factors=keep_first(feeds.factors, k, order).drop(order),
-        keys=tuple(keys),
+    p = Prepared(
+        keys, channels, suffix,
+        spend=lambda: keep_first(feeds.spend, k, order).drop(order),
+        revenue=lambda: keep_first(feeds.revenue, k, order).drop(order),
+        factors=lambda: keep_first(feeds.factors, k, order).drop(order),
     )
+    p._sources["spend_long"] = lambda: unpivot_channels(p.spend, channels, suffix, keys)
+    return p
 
 
 def materialize(p: Prepared) -> Prepared:
     """Write the deduplicated feeds to the checkpoint folder and read them back."""
-    spark = p.spend.sparkSession
-    checkpoint_dir(spark)
-    spend = p.spend.checkpoint(eager=True)
-    out = replace(p, spend=spend, revenue=p.revenue.checkpoint(eager=True),
-                  factors=p.factors.checkpoint(eager=True))
-    return replace(out, spend_long=unpivot_channels(spend, CHANNELS, SPEND_SUFFIX, p.keys))
+    checkpoint_dir(p.spend.sparkSession)
+    out = Prepared(p.keys, p.channels, p.suffix,
+                   spend=p.spend.checkpoint(eager=True),
+                   revenue=p.revenue.checkpoint(eager=True),
+                   factors=p.factors.checkpoint(eager=True))
+    out._sources["spend_long"] = lambda: unpivot_channels(out.spend, out.channels, out.suffix, out.keys)
+    return out

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens.functions.columns import cents, from_cents
 from spendlens.sources.feeds import INGEST_ORD, Feeds
@@ -32,8 +33,41 @@ HOLIDAYS = ("01-01", "05-01", "12-24", "12-25", "12-26", "12-31")
 
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Declared read schemas (only the columns the mapping reads): no footer sampling at planning
+# time, and the scan reads just these columns.
+TABLE_SCHEMAS = {
+    "lineitem": T.StructType([
+        T.StructField("l_extendedprice", T.DoubleType()),
+        T.StructField("l_discount", T.DoubleType()),
+        T.StructField("l_tax", T.DoubleType()),
+        T.StructField("l_returnflag", T.StringType()),
+        T.StructField("l_linestatus", T.StringType()),
+        T.StructField("l_shipdate", T.TimestampNTZType()),
+    ]),
+    "orders": T.StructType([
+        T.StructField("o_orderkey", T.LongType()),
+        T.StructField("o_custkey", T.LongType()),
+        T.StructField("o_orderstatus", T.StringType()),
+        T.StructField("o_totalprice", T.DoubleType()),
+        T.StructField("o_orderdate", T.TimestampNTZType()),
+        T.StructField("o_orderpriority", T.StringType()),
+    ]),
+    "events": T.StructType([
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]),
+}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+_table = read_table
 
 
 def spend_from_lineitem(lineitem: DataFrame) -> DataFrame:
@@ -98,12 +132,11 @@ def factors_from_tables(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def driver_feeds(spark: SparkSession, sf_dir: str) -> Feeds:
-    lineitem = _table(spark, sf_dir, "lineitem")
-    orders = _table(spark, sf_dir, "orders")
+    """The three feeds, each built on first use (a query planning one feed analyses one)."""
     return Feeds(
-        spend=spend_from_lineitem(lineitem),
-        revenue=revenue_from_orders(orders),
-        factors=factors_from_tables(lineitem, orders),
+        spend=lambda: spend_from_lineitem(_table(spark, sf_dir, "lineitem")),
+        revenue=lambda: revenue_from_orders(_table(spark, sf_dir, "orders")),
+        factors=lambda: factors_from_tables(_table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")),
     )
 
 

@@ -9,7 +9,7 @@ CSV does not, so the split start plus the position inside the task stands in for
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from typing import Callable, Union
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +19,34 @@ from spendlens.sources.schemas import SCHEMAS
 INGEST_ORD = "ingest_ord"
 
 
-@dataclass(frozen=True)
-class Feeds:
-    """The three raw daily feeds; each may hold repeated dates."""
+Source = Union[DataFrame, Callable[[], DataFrame]]
 
-    spend: DataFrame
-    revenue: DataFrame
-    factors: DataFrame
+
+class Lazy:
+    """Named DataFrames given directly or as zero-argument builders, built once on first use."""
+
+    _names: tuple = ()
+
+    def __init__(self, **sources: Source):
+        unknown = set(sources) - set(self._names)
+        if unknown:
+            raise TypeError(f"unknown inputs {sorted(unknown)}")
+        self._sources = dict(sources)
+        self._built: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._names:
+            raise AttributeError(name)
+        if name not in self._built:
+            src = self._sources[name]
+            self._built[name] = src if isinstance(src, DataFrame) else src()
+        return self._built[name]
+
+
+class Feeds(Lazy):
+    """The three raw daily feeds (spend wide, revenue, factors); each may hold repeated dates."""
+
+    _names = ("spend", "revenue", "factors")
 
 
 def _parquet_order() -> Column:
