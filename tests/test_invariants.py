@@ -1,0 +1,95 @@
+"""Cross-operator invariants I1-I8 on the sf0.01 driver mapping."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF01
+from spendlens import operators as ops
+from spendlens.plans.prepared import prepare
+from spendlens.sources.driver_tables import driver_feeds
+
+
+@pytest.fixture(scope="module")
+def p(spark):
+    return prepare(driver_feeds(spark, SF01))
+
+
+@pytest.fixture(scope="module")
+def joined_revenue(p):
+    dates = p.spend.select("date")
+    return float(p.revenue.join(dates, "date").agg(F.sum("revenue")).collect()[0][0])
+
+
+def _total(df, col):
+    return float(df.agg(F.sum(col)).collect()[0][0])
+
+
+def test_i1_i2_attribution_conserves_revenue_and_spend(p, joined_revenue):
+    windows = ops.attribution_windows(p.spend, p.revenue).collect()
+    same = ops.same_day_attribution(p.spend, p.revenue)
+    spend = _total(same, "total_spend")
+    assert _total(same, "total_revenue_attributed") == pytest.approx(joined_revenue, rel=1e-12)
+    for k in (7, 14, 30):
+        rows = [r for r in windows if r["attribution_window_days"] == k]
+        assert sum(r["total_revenue_attributed_k"] for r in rows) == pytest.approx(joined_revenue, rel=1e-12)
+        assert float(sum(r["total_spend"] for r in rows)) == pytest.approx(spend, rel=1e-15)
+    fact = ops.attributed_fact(p.spend, p.revenue, (30,))
+    for df in (ops.perf_by_month(fact), ops.perf_by_day_type(fact, p.factors), ops.perf_by_promo(fact, p.factors),
+               ops.cohort_by_quarter(fact)):
+        assert _total(df, "total_spend") == pytest.approx(spend, rel=1e-15)
+
+
+def test_i3_month_by_quarter_equals_cohort(p):
+    fact = ops.attributed_fact(p.spend, p.revenue, (30,))
+    m = (ops.perf_by_month(fact).groupBy("period_quarter", "channel")
+         .agg(F.sum("total_revenue_attr_30").alias("m")))
+    c = ops.cohort_by_quarter(fact).select("period_quarter", "channel", F.col("total_attr_rev_30").alias("c"))
+    diff = m.join(c, ["period_quarter", "channel"]).agg(F.max(F.abs(F.col("m") - F.col("c")))).collect()[0][0]
+    assert diff < 1e-6
+
+
+def test_i4_buckets_rebuild_revenue(p):
+    b = ops.seasonality_buckets(p.revenue, p.factors).collect()
+    days = p.revenue.join(p.factors.select("date"), "date")
+    assert sum(r["num_days"] for r in b) == days.count()
+    assert sum(r["avg_revenue"] * r["num_days"] for r in b) == pytest.approx(_total(days, "revenue"), rel=1e-12)
+
+
+def test_i5_i6_bins_rebuild_channel_totals(p):
+    same = {r["channel"]: r for r in ops.same_day_attribution(p.spend, p.revenue).collect()}
+    ranked = ops.curves.ranked_same_day(p.spend, p.revenue)
+    sizes = {(r["channel"], r["decile"]): r["count"] for r in
+             ranked.withColumn("decile", ops.equal_count_bin("rn", "n", 10)).groupBy("channel", "decile").count()
+             .collect()}
+    rebuilt = {}
+    for r in ops.efficiency_curve(p.spend, p.revenue).collect():
+        rebuilt[r["channel"]] = rebuilt.get(r["channel"], 0.0) + r["avg_spend"] * sizes[(r["channel"], r["decile"])]
+    for ch, v in rebuilt.items():
+        assert v == pytest.approx(float(same[ch]["total_spend"]), rel=1e-12)
+    n_low = {r["channel"]: r["count"] for r in
+             ranked.where(ops.in_lowest_fraction("rn", "n", 10)).groupBy("channel").count().collect()}
+    n_all = {r["channel"]: r["count"] for r in ranked.groupBy("channel").count().collect()}
+    for r in ops.incrementality(p.spend, p.revenue).collect():
+        ch = r["channel"]
+        total = n_low[ch] * r["baseline_attr_rev"] + (n_all[ch] - n_low[ch]) * r["higher_spend_attr_rev"]
+        assert total == pytest.approx(same[ch]["total_revenue_attributed"], rel=1e-9)
+
+
+def test_i7_reallocation_conserves_spend(p):
+    out = ops.budget_reallocation(p.spend, p.revenue).collect()
+    assert sum(r["new_total_spend"] for r in out) == pytest.approx(sum(r["total_spend"] for r in out), abs=0.05)
+    assert sum(r["incr_rev"] for r in out) == pytest.approx(
+        sum(r["exp_rev_after"] - r["exp_rev_before"] for r in out), abs=0.1)
+    donors = sorted(out, key=lambda r: r["roas_30d"])[:2]
+    for d in donors:
+        assert d["new_total_spend"] == pytest.approx(d["total_spend"] * 0.9, abs=0.01)
+
+
+def test_i8_lift_arms_are_whole_days(p):
+    lift = ops.revenue_lift(p.revenue, p.factors).collect()
+    days = p.revenue.join(p.factors, "date")
+    for r in lift:
+        col = {"holiday": "is_holiday", "promotion": "promotion_active", "weekend": "is_weekend"}[r["factor"]]
+        n1 = days.where(F.col(col) == 1).count()
+        s1 = _total(days.where(F.col(col) == 1), "revenue")
+        assert r["avg_treated"] * n1 == pytest.approx(s1, rel=1e-12)
