@@ -1,0 +1,3 @@
+from spendlens.streaming.feed_stream import feed_stream, publish_first_rows
+
+__all__ = ["feed_stream", "publish_first_rows"]

@@ -1,0 +1,33 @@
+"""Incremental feed load keeps the first row per date across micro-batches."""
+
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from spendlens.streaming import feed_stream, publish_first_rows
+
+HEADER = "date,is_weekend,is_holiday,promotion_active,competitor_index,seasonality_index\n"
+
+
+def _drop(folder, name, rows):
+    with open(os.path.join(folder, name), "w") as fh:
+        fh.write(HEADER + "".join(rows))
+
+
+def test_first_row_wins_across_batches(spark):
+    root = tempfile.mkdtemp(prefix="spendlens-stream-")
+    inbox, target = os.path.join(root, "in"), os.path.join(root, "out")
+    os.makedirs(inbox)
+    _drop(inbox, "f1.csv", ["2023-03-25,1,0,0,1.0,1.0\n", "2023-03-26,1,0,0,1.0,1.0\n",
+                            "2023-03-26,1,1,0,1.0,1.0\n"])
+    q = publish_first_rows(feed_stream(spark, inbox, "external_factors"), target, query_name="ef_test")
+    q.awaitTermination(120)
+    _drop(inbox, "f2.csv", ["2023-03-26,1,1,1,1.0,1.0\n", "2023-03-27,0,0,1,1.0,0.8\n"])
+    q = publish_first_rows(feed_stream(spark, inbox, "external_factors"), target, query_name="ef_test")
+    q.awaitTermination(120)
+    out = spark.read.parquet(target).orderBy("date").collect()
+    assert [str(r["date"]) for r in out] == ["2023-03-25", "2023-03-26", "2023-03-27"]
+    d26 = [r for r in out if str(r["date"]) == "2023-03-26"][0]
+    assert (d26["is_holiday"], d26["promotion_active"]) == (0, 0)
+    assert spark.read.parquet(target).groupBy("date").count().where(F.col("count") > 1).count() == 0
