@@ -57,12 +57,19 @@ def null_skipping_total(cols: Sequence[Column]) -> Column:
     return F.when(any_value, total)
 
 
-def _fact_long(spend_long: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str]) -> DataFrame:
+def _trailing(spec, k: int, frame: str):
+    if frame == "rows":
+        return spec.orderBy("date").rowsBetween(-(k - 1), 0)
+    return spec.orderBy(F.unix_date("date")).rangeBetween(-(k - 1), 0)
+
+
+def _fact_long(spend_long: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str],
+               frame: str = "rows") -> DataFrame:
     base = spend_long.select(*keys, "date", "channel", "spend")
-    by_channel = Window.partitionBy(*keys, "channel").orderBy("date")
+    by_channel = Window.partitionBy(*keys, "channel")
     rolled = base.select("*", *[
-        (F.col("spend") if k == 1 else F.sum("spend").over(by_channel.rowsBetween(-(k - 1), 0))).alias(f"_r{k}")
-        for k in wins])
+        (F.col("spend") if k == 1 and frame == "rows" else F.sum("spend").over(_trailing(by_channel, k, frame)))
+        .alias(f"_r{k}") for k in wins])
     by_day = Window.partitionBy(*keys, "date")
     totals = rolled.select("*", *[F.sum(f"_r{k}").over(by_day).alias(f"_t{k}") for k in wins])
     stacked = totals.select(*keys, "date", "channel", "spend", F.inline(F.array(*[
@@ -80,13 +87,14 @@ def _q(name: str) -> str:
 
 
 def _fact_wide(spend_wide: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str],
-               channels: Sequence[str], suffix: str) -> DataFrame:
+               channels: Sequence[str], suffix: str, frame: str = "rows") -> DataFrame:
     # Built from SQL expression strings: dozens of per-channel expressions, one JVM call each.
     cols = {c: f"{c}{suffix}" for c in channels}
     part = f"PARTITION BY {', '.join(_q(k) for k in keys)} " if keys else ""
+    order = ("ORDER BY date ROWS" if frame == "rows" else "ORDER BY unix_date(date) RANGE")
     rolled = [
-        (f"{_q(col)}" if k == 1 else
-         f"SUM({_q(col)}) OVER ({part}ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)")
+        (f"{_q(col)}" if k == 1 and frame == "rows" else
+         f"SUM({_q(col)}) OVER ({part}{order} BETWEEN {k - 1} PRECEDING AND CURRENT ROW)")
         + f" AS {_q(f'_r{k}_{c}')}"
         for k in wins for c, col in cols.items()]
     base = spend_wide.selectExpr(*[_q(k) for k in keys], "date", *[_q(c) for c in cols.values()], *rolled)
@@ -110,16 +118,20 @@ def _fact_wide(spend_wide: DataFrame, revenue: DataFrame, wins: list[int], keys:
 
 def attributed_fact(spend: DataFrame, revenue: DataFrame, windows: Iterable[int] = (30,),
                     keys: Sequence[str] = (), channels: Sequence[str] = CHANNELS,
-                    suffix: str = SPEND_SUFFIX) -> DataFrame:
-    """Per (keys, date, channel, k): spend, trailing-K-row spend, the day's total of those, revenue
+                    suffix: str = SPEND_SUFFIX, frame: str = "rows") -> DataFrame:
+    """Per (keys, date, channel, k): spend, trailing-K spend, the day's total of those, revenue
     and attributed revenue. K = 1 is same-day attribution.
 
     ``spend`` is long (has a ``channel`` column) or wide (``<channel><suffix>`` columns).
+    ``frame="rows"`` (the reference's semantics) counts K rows; ``frame="days"`` counts K
+    calendar days, which differs only where dates are missing.
     """
+    if frame not in ("rows", "days"):
+        raise ValueError("frame must be 'rows' or 'days'")
     wins, keys = _windows(windows), list(keys)
     if is_long(spend):
-        return _fact_long(spend, revenue, wins, keys)
-    return _fact_wide(spend, revenue, wins, keys, channels, suffix)
+        return _fact_long(spend, revenue, wins, keys, frame)
+    return _fact_wide(spend, revenue, wins, keys, channels, suffix, frame)
 
 
 def as_long(spend: DataFrame, keys: Sequence[str] = (), channels: Sequence[str] = CHANNELS,
@@ -149,20 +161,20 @@ def _roas_by(fact: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def rolling_attribution(spend: DataFrame, revenue: DataFrame, k: int = 30,
-                        keys: Sequence[str] = ()) -> DataFrame:
+                        keys: Sequence[str] = (), frame: str = "rows") -> DataFrame:
     """Trailing-K-row attribution: (channel, total_spend, total_revenue_attributed_k, roas_k,
     attribution_window_days), best ROAS first."""
-    fact = attributed_fact(spend, revenue, (k,), keys)
+    fact = attributed_fact(spend, revenue, (k,), keys, frame=frame)
     return (_roas_by(fact, [*keys, "channel"])
             .withColumn("attribution_window_days", F.lit(int(k)))
             .orderBy(*keys, F.col("roas_k").desc(), "channel"))
 
 
 def attribution_windows(spend: DataFrame, revenue: DataFrame, windows: Iterable[int] = (7, 14, 30),
-                        keys: Sequence[str] = ()) -> DataFrame:
+                        keys: Sequence[str] = (), frame: str = "rows") -> DataFrame:
     """All windows in one pass: (channel, attribution_window_days, total_spend,
     total_revenue_attributed_k, roas_k), by window then best ROAS."""
-    fact = attributed_fact(spend, revenue, windows, keys)
+    fact = attributed_fact(spend, revenue, windows, keys, frame=frame)
     return (_roas_by(fact.withColumnRenamed("k", "attribution_window_days"),
                      [*keys, "channel", "attribution_window_days"])
             .select(*keys, "channel", "attribution_window_days", "total_spend", "total_revenue_attributed_k",

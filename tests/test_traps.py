@@ -178,3 +178,18 @@ def test_nulls_rank_first(spark):
     s = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", 1, 3)], "g string, v int, d int")
     r = {x["d"]: x["rn"] for x in rank_within(s, ["g"], ["v", "d"]).collect()}
     assert r == {1: 1, 3: 2, 2: 3}
+
+
+def test_d7_calendar_window_option(spark):
+    # days 0, 1, 3 (day 2 missing); K = 2 rows reaches back to day 1 for day 3, K = 2 days does not
+    s = long_df(spark, [(i, "a", v) for i, v in ((0, 1), (1, 2), (3, 4))]).unionByName(
+        long_df(spark, [(i, "b", 1) for i in (0, 1, 3)]))
+    r = revenue_df(spark, [(3, 100)])
+    rows = {x["channel"]: x["rolling_spend"] for x in ops.attributed_fact(s, r, (2,)).collect()}
+    days = {x["channel"]: x["rolling_spend"] for x in ops.attributed_fact(s, r, (2,), frame="days").collect()}
+    assert rows == {"a": 6, "b": 2} and days == {"a": 4, "b": 1}
+    wide = s.groupBy("date").pivot("channel", ["a", "b"]).agg(F.first("spend"))
+    wide = wide.select("date", F.col("a").alias("a_spend"), F.col("b").alias("b_spend"))
+    wdays = {x["channel"]: x["rolling_spend"]
+             for x in ops.attributed_fact(wide, r, (2,), channels=("a", "b"), frame="days").collect()}
+    assert wdays == days
