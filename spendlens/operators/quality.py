@@ -41,7 +41,9 @@ def date_gaps(df: DataFrame, date_col: str = "date") -> DataFrame:
     rows = (df.where(F.col(date_col).isNotNull())
             .select(F.col(date_col).alias("date"), F.date_sub(F.col(date_col), 1).alias("previous_date")))
     present = df.select(F.col(date_col).alias("previous_date")).where(F.col("previous_date").isNotNull()).distinct()
-    return rows.join(present, "previous_date", "left_anti").select("date", "previous_date").orderBy("date")
+    # Distinct dates are bounded by the calendar (one row per day), so this side is broadcast.
+    return (rows.join(F.broadcast(present), "previous_date", "left_anti")
+            .select("date", "previous_date").orderBy("date"))
 
 
 def outliers(df: DataFrame, value_col: str, z: float = 3.0) -> DataFrame:
