@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import SF001
-from spendlens.plans.inspect import plan_summary
+from spendlens.plans.inspect import plan_summary, plan_text
 from spendlens.plans.prepared import prepare
 from spendlens.plans.report import export_reports, reports
 from spendlens.plans.store import load_prepared, save_prepared
@@ -37,8 +37,8 @@ def test_prepared_store_prunes_months(spark):
     got = q.spend.agg(F.min("date"), F.max("date"), F.count(F.lit(1))).collect()[0]
     want = p.spend.where(F.col("date").between("1996-02-10", "1996-03-20")).count()
     assert str(got[0]) >= "1996-02-10" and str(got[1]) <= "1996-03-20" and got[2] == want
-    text = q.spend._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in text and "year_month" in text
+    text = plan_text(q.spend)
+    assert "PartitionFilters: [isnotnull(year_month" in text and "PushedFilters" in text
 
 
 def test_export_reports(spark):
