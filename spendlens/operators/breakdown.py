@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.columns import guarded_ratio, year_month, year_quarter
 
+# Report labels (top/bottom metrics; weekend flag yes/no; promotion flag yes/no).
+METRICS = ("top_revenue", "bottom_revenue", "top_roas", "bottom_roas")
+DAY_TYPES = ("weekend", "weekday")
+PROMO_FLAGS = ("promo", "non_promo")
+
 
 def _totals(fact: DataFrame, group: Sequence, rev_name: str, roas_name: str) -> DataFrame:
     return (fact.groupBy(*group)
@@ -33,11 +38,12 @@ def top_bottom(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     def row(metric, value, keep):
         return F.struct(F.lit(metric).alias("metric"), F.col(value).alias("value"), keep.alias("_keep"))
 
+    top_rev, bottom_rev, top_roas, bottom_roas = METRICS
     rows = F.array(
-        row("top_revenue", "total_revenue_attributed_30", F.col("_rev") == 1),
-        row("bottom_revenue", "total_revenue_attributed_30", F.col("_rev") == F.col("_rev_max")),
-        row("top_roas", "roas_30", F.col("_roas") == 1),
-        row("bottom_roas", "roas_30", F.col("_roas") == F.col("_roas_max")),
+        row(top_rev, "total_revenue_attributed_30", F.col("_rev") == 1),
+        row(bottom_rev, "total_revenue_attributed_30", F.col("_rev") == F.col("_rev_max")),
+        row(top_roas, "roas_30", F.col("_roas") == 1),
+        row(bottom_roas, "roas_30", F.col("_roas") == F.col("_roas_max")),
     )
     return (ranked.select(*keys, "channel", F.inline(rows)).where("_keep")
             .select(*keys, "metric", "channel", "value").orderBy(*keys, "metric"))
@@ -62,12 +68,12 @@ def _flag_breakdown(fact: DataFrame, factors: DataFrame, flag: str, label: str,
 
 def perf_by_day_type(fact: DataFrame, factors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(day_type weekend|weekday, channel, total_spend, total_revenue_attr_30, roas_30)."""
-    return _flag_breakdown(fact, factors, "is_weekend", "day_type", "weekend", "weekday", keys)
+    return _flag_breakdown(fact, factors, "is_weekend", "day_type", *DAY_TYPES, keys)
 
 
 def perf_by_promo(fact: DataFrame, factors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(promo_flag promo|non_promo, channel, total_spend, total_revenue_attr_30, roas_30)."""
-    return _flag_breakdown(fact, factors, "promotion_active", "promo_flag", "promo", "non_promo", keys)
+    return _flag_breakdown(fact, factors, "promotion_active", "promo_flag", *PROMO_FLAGS, keys)
 
 
 def cohort_by_quarter(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
