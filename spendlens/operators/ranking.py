@@ -34,15 +34,20 @@ def _order(c) -> Column:
     return F.col(c).asc_nulls_first() if isinstance(c, str) else c
 
 
+# Largest block table (rows) that is broadcast; beyond it the rows are joined by a shuffle.
+MAX_BROADCAST_BLOCKS = 1_000_000
+
+
 def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, rn_col: str = "rn",
                 n_col: str = "n", num_partitions: int | None = None,
                 broadcast_blocks: bool | None = None) -> DataFrame:
     """Add ``rn_col`` (1-based row number in the group by ``order_cols``) and ``n_col`` (group size).
 
     ``order_cols`` should make the order total within a group (e.g. spend, then date);
-    NULLs sort first, as in the reference engine. ``broadcast_blocks`` defaults to True when
-    the group is a single low-cardinality label (the block table then has at most
-    partitions + labels rows); otherwise the join is left to AQE's runtime size check.
+    NULLs sort first, as in the reference engine. The block table has at most
+    partitions + groups rows; unless ``broadcast_blocks`` forces a choice, it is counted
+    (one small job over the checkpointed rows) and broadcast only below
+    ``MAX_BROADCAST_BLOCKS`` rows.
     """
     group_cols = list(group_cols)
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -68,7 +73,7 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
         F.sum("_rk_cnt").over(per_group).alias(n_col),
     )
     if broadcast_blocks is None:
-        broadcast_blocks = len(group_cols) <= 1
+        broadcast_blocks = blocks.count() <= MAX_BROADCAST_BLOCKS
     if broadcast_blocks:
         blocks = F.broadcast(blocks)
     cond = [tagged[c].eqNullSafe(blocks[a]) for c, a in zip(group_cols, g_alias)] + [tagged[_BLK] == blocks["_rk_b"]]

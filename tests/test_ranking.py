@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from spendlens.operators.ranking import rank_within
 
 
-def _check(spark, rows, parts):
+def _check(spark, rows, parts, broadcast=None):
     df = spark.createDataFrame(rows, "g string, v int, d int")
-    got = rank_within(df, ["g"], ["v", "d"], num_partitions=parts)
+    got = rank_within(df, ["g"], ["v", "d"], num_partitions=parts, broadcast_blocks=broadcast)
     w = Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first(), "d")
     ref = df.select("g", "v", "d", F.row_number().over(w).alias("rn2"),
                     F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n2"))
@@ -23,6 +23,7 @@ def test_hot_group_spread_over_partitions(spark):
     # one group holds most rows and a third of them share one value: still exact
     rows = [("hot", 7 if i % 3 == 0 else i % 50, i) for i in range(3000)] + [("cold", i, i) for i in range(40)]
     _check(spark, rows, 16)
+    _check(spark, rows, 16, broadcast=False)  # the shuffle-join branch beyond the size check
 
 
 @settings(max_examples=8, deadline=None)
