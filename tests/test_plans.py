@@ -49,3 +49,33 @@ def test_export_reports(spark):
     df = spark.read.option("header", True).csv(os.path.join(out, "attribution_windows"))
     assert df.count() == 18
     assert len(reports(p)) == 26
+
+
+def test_keep_first_limits_before_the_shuffle(spark):
+    from spendlens import operators as ops
+    from spendlens.sources.driver_tables import read_table
+    orders = read_table(spark, SF001, "orders").withColumn("date", F.to_date("o_orderdate"))
+    text = plan_text(ops.keep_first(orders, "date", "o_orderkey"))
+    tree = text.split("\n\n")[0]
+    # one WindowGroupLimit below the exchange (partial) and one above it (final)
+    assert tree.count("WindowGroupLimit") == 2
+    assert "Partial" in text and "Final" in text
+
+
+def test_raw_aggregations_are_partial_before_exchange(spark):
+    p = prepare(driver_feeds(spark, SF001))
+    for df in (p.spend, p.revenue, p.factors):
+        text = plan_text(df)
+        assert "partial_sum" in text or "partial_count" in text or "partial_min" in text
+        assert "SortAggregate" not in text
+
+
+def test_wide_fact_has_one_window_shuffle(spark):
+    from spendlens import operators as ops
+    p = prepare(driver_feeds(spark, SF001))
+    tree = plan_text(ops.attributed_fact(p.spend, p.revenue, (7, 14, 30))).split("\n\n")[0]
+    # two dedup windows (spend, revenue) and ONE trailing window for all channels and all K
+    assert tree.count("Window (") == 3
+    # exchanges: lineitem aggregate, orders aggregate, the trailing window; no per-channel
+    # or per-date shuffle
+    assert plan_summary(ops.attributed_fact(p.spend, p.revenue, (7, 14, 30)))["exchanges"] == 3
