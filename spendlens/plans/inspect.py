@@ -21,7 +21,7 @@ def plan_summary(df: DataFrame) -> dict:
     text = plan_text(df)
     tree = text.split("\n\n")[0]
     return {
-        "exchanges": len(re.findall(r"\bExchange\b", tree)) - len(re.findall(r"BroadcastExchange", tree)),
+        "exchanges": len(re.findall(r"\bExchange\b", tree)),  # shuffles (BroadcastExchange does not match)
         "broadcasts": len(re.findall(r"BroadcastExchange", tree)),
         "single_partition_exchanges": len(re.findall(r"SinglePartition", text)),
         "cartesian": len(re.findall(r"CartesianProduct|BroadcastNestedLoopJoin", tree)),
