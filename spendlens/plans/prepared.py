@@ -17,35 +17,36 @@ from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
 
 
 class Prepared(Lazy):
-    """Deduplicated feeds: spend (wide), spend_long, revenue, factors; built on first use."""
+    """Deduplicated feeds: spend (wide), spend_long, revenue, factors; built on first use.
+
+    ``spend_long`` is derived from ``spend`` (one Expand) unless given.
+    """
 
     _names = ("spend", "spend_long", "revenue", "factors")
 
     def __init__(self, keys: Sequence[str] = (), channels=CHANNELS, suffix: str = SPEND_SUFFIX, **sources):
         super().__init__(**sources)
         self.keys, self.channels, self.suffix = tuple(keys), tuple(channels), suffix
+        self._sources.setdefault(
+            "spend_long", lambda: unpivot_channels(self.spend, self.channels, self.suffix, self.keys))
 
 
 def prepare(feeds: Feeds, keys: Sequence[str] = (), order=INGEST_ORD, channels=CHANNELS,
             suffix: str = SPEND_SUFFIX) -> Prepared:
-    """Keep the first row per (keys, date) of each feed and derive the long spend table."""
+    """Keep the first row per (keys, date) of each feed; the long spend table follows."""
     k = [*keys, "date"]
-    p = Prepared(
+    return Prepared(
         keys, channels, suffix,
         spend=lambda: keep_first(feeds.spend, k, order).drop(order),
         revenue=lambda: keep_first(feeds.revenue, k, order).drop(order),
         factors=lambda: keep_first(feeds.factors, k, order).drop(order),
     )
-    p._sources["spend_long"] = lambda: unpivot_channels(p.spend, channels, suffix, keys)
-    return p
 
 
 def materialize(p: Prepared) -> Prepared:
     """Write the deduplicated feeds to the checkpoint folder and read them back."""
     checkpoint_dir(p.spend.sparkSession)
-    out = Prepared(p.keys, p.channels, p.suffix,
-                   spend=p.spend.checkpoint(eager=True),
-                   revenue=p.revenue.checkpoint(eager=True),
-                   factors=p.factors.checkpoint(eager=True))
-    out._sources["spend_long"] = lambda: unpivot_channels(out.spend, out.channels, out.suffix, out.keys)
-    return out
+    return Prepared(p.keys, p.channels, p.suffix,
+                    spend=p.spend.checkpoint(eager=True),
+                    revenue=p.revenue.checkpoint(eager=True),
+                    factors=p.factors.checkpoint(eager=True))

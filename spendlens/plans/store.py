@@ -10,7 +10,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from spendlens.plans.prepared import Prepared
-from spendlens.operators.shape import unpivot_channels
 
 _TABLES = ("spend", "revenue", "factors")
 
@@ -38,7 +37,5 @@ def load_prepared(spark: SparkSession, root: str, start: dt.date | str | None =
             df = df.where((F.col("year_month") <= F.date_format(e, "yyyy-MM")) & (F.col("date") <= e))
         return df.drop("year_month")
 
-    out = Prepared(keys, spend=lambda: read("spend"), revenue=lambda: read("revenue"),
-                   factors=lambda: read("factors"))
-    out._sources["spend_long"] = lambda: unpivot_channels(out.spend, out.channels, out.suffix, out.keys)
-    return out
+    return Prepared(keys, spend=lambda: read("spend"), revenue=lambda: read("revenue"),
+                    factors=lambda: read("factors"))
