@@ -80,3 +80,29 @@ def reallocation(spend, revenue, k=30, fraction=0.10, n=2):
         out[f"{c}_spend"] = (s, r, s + delta)
     assert roas is not None
     return out
+
+
+def curves(spend, revenue, bins):
+    """Same-day attribution, rows ranked per channel by (spend, date) with NULLs first.
+    Returns ({(channel, bin): (avg_spend, avg_attr)}, {channel: (baseline, higher)})."""
+    fact = rolling_fact(spend, revenue, 1)
+    by_channel = defaultdict(list)
+    for d, c, s, a in fact:
+        by_channel[c].append((d, s, a))
+    out_bins, out_incr = {}, {}
+    for c, rows in by_channel.items():
+        rows.sort(key=lambda r: (r[1] is not None, r[1] if r[1] is not None else 0, r[0]))
+        n = len(rows)
+        groups = defaultdict(list)
+        low, high = [], []
+        for i, (d, s, a) in enumerate(rows, start=1):
+            groups[((i - 1) * bins) // n + 1].append((s, a))
+            (low if i * 10 <= n else high).append(a)
+        for b, vals in groups.items():
+            ss = [s for s, _ in vals if s is not None]
+            aa = [a for _, a in vals if a is not None]
+            out_bins[(c, b)] = (sum(ss) / len(ss) if ss else None, sum(aa) / len(aa) if aa else None)
+        lo = [a for a in low if a is not None]
+        hi = [a for a in high if a is not None]
+        out_incr[c] = (sum(lo) / len(lo) if lo else None, sum(hi) / len(hi) if hi else None)
+    return out_bins, out_incr

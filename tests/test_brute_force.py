@@ -58,3 +58,22 @@ def test_reallocation_matches_brute_force(spark, rows):
         assert got[c]["total_spend"] == pytest.approx(round(s, 2))
         assert got[c]["roas_30d"] == pytest.approx(round(roas, 6), abs=1e-6)
         assert got[c]["new_total_spend"] == pytest.approx(round(new, 2), abs=0.011)
+
+
+@settings(max_examples=EXAMPLES, deadline=None)
+@given(feed, st.sampled_from([4, 10]))
+def test_curves_match_brute_force(spark, rows, bins):
+    spend, revenue, sdf, rdf = _frames(spark, rows)
+    want_bins, want_incr = brute.curves(spend, revenue, bins)
+    op = ops.return_by_quartile if bins == 4 else ops.efficiency_curve
+    label, rev = ("quartile", "avg_attr_revenue") if bins == 4 else ("decile", "avg_attr_rev")
+    got = {(r["channel"], r[label]): r for r in op(sdf, rdf).collect()}
+    assert set(got) == set(want_bins)
+    for key, (avg_s, avg_a) in want_bins.items():
+        assert got[key]["avg_spend"] == pytest.approx(avg_s)
+        assert got[key][rev] == pytest.approx(avg_a)
+    incr = {r["channel"]: r for r in ops.incrementality(sdf, rdf).collect()}
+    assert set(incr) == set(want_incr)
+    for c, (base, higher) in want_incr.items():
+        assert incr[c]["baseline_attr_rev"] == pytest.approx(base)
+        assert incr[c]["higher_spend_attr_rev"] == pytest.approx(higher)
