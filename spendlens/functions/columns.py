@@ -77,3 +77,15 @@ def cents(x) -> Column:
 def from_cents(x, precision: int = 18) -> Column:
     """Integer cents back to DECIMAL(precision, 2), exactly."""
     return (_c(x).cast("decimal(38,0)") / F.lit(100)).cast(f"decimal({precision},2)")
+
+
+# Digits kept when ranking sums of doubles: far above float noise (about 1e-9 relative), so
+# channels whose totals are equal in exact arithmetic tie regardless of the order in which
+# partial sums were merged.
+RANK_DIGITS_MONEY = 6
+RANK_DIGITS_RATIO = 9
+
+
+def rank_key(x, digits: int) -> Column:
+    """Value to rank on: the double rounded to ``digits`` decimals (ties stay ties)."""
+    return F.round(_c(x).cast("double"), digits)

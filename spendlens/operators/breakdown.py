@@ -8,7 +8,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.functions.columns import guarded_ratio, year_month, year_quarter
+from spendlens.functions.columns import (RANK_DIGITS_MONEY, RANK_DIGITS_RATIO, guarded_ratio, rank_key,
+                                         year_month, year_quarter)
 
 # Report labels (top/bottom metrics; weekend flag yes/no; promotion flag yes/no).
 METRICS = ("top_revenue", "bottom_revenue", "top_roas", "bottom_roas")
@@ -26,13 +27,16 @@ def top_bottom(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Four labelled rows (metric, channel, value): top/bottom by attributed revenue and ROAS.
 
     RANK semantics: ties give several rows; "bottom" is the largest rank. Ranks run over the
-    per-channel totals only (one row per channel and key), never over daily rows.
+    per-channel totals only (one row per channel and key), never over daily rows, on values
+    rounded far above float noise so that equal totals tie whatever the summation order.
     """
     agg = _totals(fact, [*keys, "channel"], "total_revenue_attributed_30", "roas_30")
     scope = Window.partitionBy(*keys)
     ranked = (agg
-              .withColumn("_rev", F.rank().over(scope.orderBy(F.col("total_revenue_attributed_30").desc_nulls_last())))
-              .withColumn("_roas", F.rank().over(scope.orderBy(F.col("roas_30").desc_nulls_last())))
+              .withColumn("_rev", F.rank().over(scope.orderBy(
+                  rank_key("total_revenue_attributed_30", RANK_DIGITS_MONEY).desc_nulls_last())))
+              .withColumn("_roas", F.rank().over(scope.orderBy(
+                  rank_key("roas_30", RANK_DIGITS_RATIO).desc_nulls_last())))
               .withColumn("_rev_max", F.max("_rev").over(scope))
               .withColumn("_roas_max", F.max("_roas").over(scope)))
     def row(metric, value, keep):

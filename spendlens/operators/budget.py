@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.functions.columns import guarded_ratio, mean
+from spendlens.functions.columns import RANK_DIGITS_RATIO, guarded_ratio, mean, rank_key
 from spendlens.functions.stats import population_stddev
 from spendlens.operators.attribution import attribute, is_long
 from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
@@ -94,8 +94,9 @@ def budget_reallocation(spend: DataFrame, revenue: DataFrame, k: int = 30, fract
     s = channel_roas_summary(spend, revenue, k, keys, label_suffix)
     scope = Window.partitionBy(*keys)
     spend_d = F.col("total_spend").cast("double")
-    ranked = (s.withColumn("_rk_desc", F.rank().over(scope.orderBy(F.col("roas_30d").desc())))
-              .withColumn("_rk_asc", F.rank().over(scope.orderBy(F.col("roas_30d").asc())))
+    key = rank_key("roas_30d", RANK_DIGITS_RATIO)  # equal ROAS ties whatever the summation order
+    ranked = (s.withColumn("_rk_desc", F.rank().over(scope.orderBy(key.desc())))
+              .withColumn("_rk_asc", F.rank().over(scope.orderBy(key.asc())))
               .withColumn("_out", F.when(F.col("_rk_asc") <= n_donors, F.lit(float(fraction)) * spend_d))
               .withColumn("_is_rec", F.col("_rk_desc") <= n_recipients))
     pooled = (ranked
