@@ -4,7 +4,8 @@ Raw feeds may repeat a date; "first row wins" needs an arrival order, which file
 carry as a column. Readers therefore add ``ingest_ord``, an orderable struct of
 (file path, byte offset of the split, position). Parquet has an exact per-file row index;
 CSV does not, so the split start plus the position inside the task stands in for it
-(rows of one split are read in file order).
+(rows of one split are read in file order). Across files the order is the file path, so
+feed drops should be named in arrival order (e.g. date-stamped).
 """
 
 from __future__ import annotations
