@@ -19,6 +19,8 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files (ranker, materialized feeds) are removed once no plan references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
