@@ -57,63 +57,109 @@ def null_skipping_total(cols: Sequence[Column]) -> Column:
     return F.when(any_value, total)
 
 
-def _trailing(spec, k: int, frame: str):
-    if frame == "rows":
-        return spec.orderBy("date").rowsBetween(-(k - 1), 0)
-    return spec.orderBy(F.unix_date("date")).rangeBetween(-(k - 1), 0)
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _fact_long(spend_long: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str],
-               frame: str = "rows") -> DataFrame:
-    base = spend_long.select(*keys, "date", "channel", "spend")
-    by_channel = Window.partitionBy(*keys, "channel")
-    rolled = base.select("*", *[
-        (F.col("spend") if k == 1 and frame == "rows" else F.sum("spend").over(_trailing(by_channel, k, frame)))
-        .alias(f"_r{k}") for k in wins])
-    by_day = Window.partitionBy(*keys, "date")
-    totals = rolled.select("*", *[F.sum(f"_r{k}").over(by_day).alias(f"_t{k}") for k in wins])
-    stacked = totals.select(*keys, "date", "channel", "spend", F.inline(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.col(f"_r{k}").cast("decimal(38,2)").alias("rolling_spend"),
-                 F.col(f"_t{k}").cast("decimal(38,2)").alias("total_rolling_spend"))
-        for k in wins])))
-    rev = revenue.select(*keys, "date", "revenue")
-    return (stacked.join(rev, [*keys, "date"])
-            .withColumn("attributed_revenue",
-                        attribute(F.col("rolling_spend"), F.col("total_rolling_spend"), F.col("revenue"))))
+# Trailing sums are taken on exact integer cents. A K-row trailing sum is a difference of
+# running sums, cum(i) - cum(i - K): the running sum is an incremental frame and LAG an
+# offset, both O(1) per row, whereas a sliding ROWS frame re-adds the whole frame for every
+# row (O(K) per row and expression). A running count of non-NULL values keeps SUM's rule
+# that a frame of NULLs sums to NULL. The calendar-day form (RANGE) uses the frame itself.
+# Everything is written as SQL expression strings: dozens of per-channel expressions cost
+# one JVM call each.
 
+def _cents_sql(col: str) -> str:
+    return f"CAST(rint(CAST({col} AS DOUBLE) * 100D) AS BIGINT)"
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+
+def _money_sql(cents: str) -> str:
+    return f"CAST(CAST({cents} AS DECIMAL(38,0)) / 100 AS DECIMAL(38,2))"
+
+
+def _prefix_sql(v: str, part: str) -> list[str]:
+    w = f"OVER ({part}ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return [f"SUM(COALESCE({_q(v)}, 0)) {w} AS {_q('_cum' + v)}", f"COUNT({_q(v)}) {w} AS {_q('_n' + v)}"]
+
+
+TRAILING = "prefix"  # "prefix": cum(i) - cum(i-K); "frame": sliding ROWS frame
+
+
+def _trailing_sql(v: str, k: int, part: str, frame: str) -> str:
+    if frame == "rows" and TRAILING == "frame" and k > 1:
+        return f"SUM({_q(v)}) OVER ({part}ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    if frame == "days":
+        return f"SUM({_q(v)}) OVER ({part}ORDER BY unix_date(date) RANGE BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    if k == 1:
+        return _q(v)
+    w = f"OVER ({part}ORDER BY date)"
+    n, cum = _q("_n" + v), _q("_cum" + v)
+    return (f"CASE WHEN {n} - COALESCE(LAG({n}, {k}) {w}, 0) > 0 "
+            f"THEN {cum} - COALESCE(LAG({cum}, {k}) {w}, 0) END")
+
+
+def _attributed_sql(rolling: str, total: str, revenue: str) -> str:
+    """revenue * rolling / total when the day's total is positive, else 0 (cents in, DOUBLE out;
+    cents / 100 is the correctly rounded DOUBLE of the DECIMAL amount)."""
+    return (f"CASE WHEN {total} > 0 THEN CAST({revenue} AS DOUBLE) * "
+            f"((CAST({rolling} AS DOUBLE) / 100D) / (CAST({total} AS DOUBLE) / 100D)) ELSE 0D END")
+
+
+def _partition(cols: Sequence[str]) -> str:
+    return f"PARTITION BY {', '.join(_q(c) for c in cols)} " if cols else ""
+
+
+def _fact_columns(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Final fact columns; the cents-to-DECIMAL conversions sit in a projection, so Catalyst
+    drops them when a consumer does not read the rolling amounts."""
+    return df.selectExpr(*[_q(k) for k in keys], "date", "channel", "spend", "k",
+                         f"{_money_sql('_rc')} AS rolling_spend", f"{_money_sql('_tc')} AS total_rolling_spend",
+                         "revenue", "attributed_revenue")
+
+
+def _fact_long(spend_long: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str],
+               frame: str = "rows") -> DataFrame:
+    kq = [_q(k) for k in keys]
+    part = _partition([*keys, "channel"])
+    step = spend_long.selectExpr(*kq, "date", "channel", "spend", f"{_cents_sql('spend')} AS _v")
+    if frame == "rows" and wins[-1] > 1 and TRAILING == "prefix":
+        step = step.selectExpr("*", *_prefix_sql("_v", part))
+    rolled = step.selectExpr("*", *[f"{_trailing_sql('_v', k, part, frame)} AS _r{k}" for k in wins])
+    day = _partition([*keys, "date"])
+    totals = rolled.selectExpr("*", *[f"SUM(_r{k}) OVER ({day}) AS _t{k}" for k in wins])
+    joined = totals.join(revenue.select(*keys, "date", "revenue"), [*keys, "date"])
+    structs = ", ".join(
+        f"named_struct('k', {k}, '_rc', _r{k}, '_tc', _t{k}, "
+        f"'attributed_revenue', {_attributed_sql(f'_r{k}', f'_t{k}', 'revenue')})"
+        for k in wins)
+    return _fact_columns(joined.selectExpr(*kq, "date", "channel", "spend", "revenue",
+                                           f"inline(array({structs}))"), keys)
 
 
 def _fact_wide(spend_wide: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str],
                channels: Sequence[str], suffix: str, frame: str = "rows") -> DataFrame:
-    # Built from SQL expression strings: dozens of per-channel expressions, one JVM call each.
     cols = {c: f"{c}{suffix}" for c in channels}
-    part = f"PARTITION BY {', '.join(_q(k) for k in keys)} " if keys else ""
-    order = ("ORDER BY date ROWS" if frame == "rows" else "ORDER BY unix_date(date) RANGE")
-    rolled = [
-        (f"{_q(col)}" if k == 1 and frame == "rows" else
-         f"SUM({_q(col)}) OVER ({part}{order} BETWEEN {k - 1} PRECEDING AND CURRENT ROW)")
-        + f" AS {_q(f'_r{k}_{c}')}"
-        for k in wins for c, col in cols.items()]
-    base = spend_wide.selectExpr(*[_q(k) for k in keys], "date", *[_q(c) for c in cols.values()], *rolled)
+    kq = [_q(k) for k in keys]
+    part = _partition(keys)
+    v = {c: f"_v_{c}" for c in channels}
+    step = spend_wide.selectExpr(*kq, "date", *[_q(col) for col in cols.values()],
+                                 *[f"{_cents_sql(_q(col))} AS {_q(v[c])}" for c, col in cols.items()])
+    if frame == "rows" and wins[-1] > 1 and TRAILING == "prefix":
+        step = step.selectExpr("*", *[e for c in channels for e in _prefix_sql(v[c], part)])
+    rolled = step.selectExpr("*", *[f"{_trailing_sql(v[c], k, part, frame)} AS {_q(f'_r{k}_{c}')}"
+                                    for k in wins for c in channels])
     totals = []
     for k in wins:
         parts = [_q(f"_r{k}_{c}") for c in channels]
         totals.append(f"CASE WHEN {' OR '.join(p + ' IS NOT NULL' for p in parts)} "
                       f"THEN {' + '.join(f'COALESCE({p}, 0)' for p in parts)} END AS {_q(f'_t{k}')}")
-    rev = revenue.select(*keys, "date", "revenue")
-    joined = base.selectExpr("*", *totals).join(rev, [*keys, "date"])
+    joined = rolled.selectExpr("*", *totals).join(revenue.select(*keys, "date", "revenue"), [*keys, "date"])
     structs = ", ".join(
         f"named_struct('channel', '{c}', 'spend', {_q(col)}, 'k', {k}, "
-        f"'rolling_spend', CAST({_q(f'_r{k}_{c}')} AS DECIMAL(38,2)), "
-        f"'total_rolling_spend', CAST({_q(f'_t{k}')} AS DECIMAL(38,2)))"
+        f"'_rc', {_q(f'_r{k}_{c}')}, '_tc', {_q(f'_t{k}')}, "
+        f"'attributed_revenue', {_attributed_sql(_q(f'_r{k}_{c}'), _q(f'_t{k}'), 'revenue')})"
         for k in wins for c, col in cols.items())
-    return (joined.selectExpr(*[_q(k) for k in keys], "date", "revenue", f"inline(array({structs}))")
-            .select(*keys, "date", "channel", "spend", "k", "rolling_spend", "total_rolling_spend", "revenue")
-            .withColumn("attributed_revenue",
-                        attribute(F.col("rolling_spend"), F.col("total_rolling_spend"), F.col("revenue"))))
+    return _fact_columns(joined.selectExpr(*kq, "date", "revenue", f"inline(array({structs}))"), keys)
 
 
 def attributed_fact(spend: DataFrame, revenue: DataFrame, windows: Iterable[int] = (30,),

@@ -37,6 +37,7 @@ HOLIDAYS = ("01-01", "05-01", "12-24", "12-25", "12-26", "12-31")
 # time, and the scan reads just these columns.
 TABLE_SCHEMAS = {
     "lineitem": T.StructType([
+        T.StructField("l_suppkey", T.LongType()),
         T.StructField("l_extendedprice", T.DoubleType()),
         T.StructField("l_discount", T.DoubleType()),
         T.StructField("l_tax", T.DoubleType()),
@@ -52,6 +53,22 @@ TABLE_SCHEMAS = {
         T.StructField("o_orderdate", T.TimestampNTZType()),
         T.StructField("o_orderpriority", T.StringType()),
     ]),
+    "supplier": T.StructType([
+        T.StructField("s_suppkey", T.LongType()),
+        T.StructField("s_nationkey", T.IntegerType()),
+    ]),
+    "customer": T.StructType([
+        T.StructField("c_custkey", T.LongType()),
+        T.StructField("c_nationkey", T.IntegerType()),
+    ]),
+    "nation": T.StructType([
+        T.StructField("n_nationkey", T.IntegerType()),
+        T.StructField("n_regionkey", T.IntegerType()),
+    ]),
+    "region": T.StructType([
+        T.StructField("r_regionkey", T.IntegerType()),
+        T.StructField("r_name", T.StringType()),
+    ]),
     "events": T.StructType([
         T.StructField("event_id", T.LongType()),
         T.StructField("ts", T.TimestampNTZType()),
@@ -70,6 +87,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _table = read_table
 
 
+def _spend_sums() -> list:
+    return [
+        from_cents(F.coalesce(
+            F.sum(F.when((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls), F.col("price"))),
+            F.lit(0),
+        )).alias(col)
+        for col, (rf, ls) in zip(spend_columns(), CHANNEL_FLAGS)
+    ]
+
+
 def spend_from_lineitem(lineitem: DataFrame) -> DataFrame:
     li = lineitem.select(
         F.to_date("l_shipdate").alias("date"),
@@ -77,14 +104,7 @@ def spend_from_lineitem(lineitem: DataFrame) -> DataFrame:
         "l_linestatus",
         cents("l_extendedprice").alias("price"),
     )
-    sums = [
-        from_cents(F.coalesce(
-            F.sum(F.when((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls), F.col("price"))),
-            F.lit(0),
-        )).alias(col)
-        for col, (rf, ls) in zip(spend_columns(), CHANNEL_FLAGS)
-    ]
-    return (li.groupBy("date").agg(*sums)
+    return (li.groupBy("date").agg(*_spend_sums())
             .withColumn(INGEST_ORD, F.unix_date("date").cast("bigint")))
 
 
@@ -141,6 +161,52 @@ def driver_feeds(spark: SparkSession, sf_dir: str) -> Feeds:
     )
 
 
+def nation_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n_nationkey, region): the fixed 25-row nation dimension, so it is broadcast."""
+    n = _table(spark, sf_dir, "nation")
+    r = _table(spark, sf_dir, "region")
+    return F.broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+                       .select("n_nationkey", F.col("r_name").alias("region")))
+
+
+def region_feeds(spark: SparkSession, sf_dir: str) -> Feeds:
+    """Spend and revenue per (region, date): one entity key for the multi-entity operators.
+
+    Spend takes the supplier's region, revenue the customer's. Supplier and customer grow
+    with the data, so their joins are left to the planner (broadcast only when AQE measures
+    them small); only the nation -> region dimension is hinted.
+    """
+    def spend():
+        # Fact first with its growing dimension, then the fixed 25-row nation dimension: joining
+        # supplier with nation first makes the planner's size estimate (a product of inputs
+        # without statistics) exceed lineitem's, and lineitem would become the broadcast side.
+        li = (_table(spark, sf_dir, "lineitem")
+              .join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+              .join(nation_regions(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
+              .select("region", F.to_date("l_shipdate").alias("date"), "l_returnflag", "l_linestatus",
+                      cents("l_extendedprice").alias("price")))
+        return (li.groupBy("region", "date").agg(*_spend_sums())
+                .withColumn(INGEST_ORD, F.unix_date("date").cast("bigint")))
+
+    def revenue():
+        o = (_table(spark, sf_dir, "orders")
+             .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+             .join(nation_regions(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+             .select("region", "o_custkey", "o_orderdate", F.to_date("o_orderdate").alias("date"),
+                     cents("o_totalprice").alias("price")))
+        daily = o.groupBy("region", "date").agg(from_cents(F.sum("price")).alias("revenue"),
+                                                F.count(F.lit(1)).alias("transactions"))
+        firsts = (o.groupBy("region", "o_custkey").agg(F.min("o_orderdate").alias("first"))
+                  .groupBy("region", F.to_date("first").alias("date"))
+                  .agg(F.count(F.lit(1)).alias("new_customers")))
+        return (daily.join(firsts, ["region", "date"], "left")
+                .select("region", "date", "revenue", "transactions",
+                        F.coalesce("new_customers", F.lit(0)).cast("bigint").alias("new_customers"),
+                        F.unix_date("date").cast("bigint").alias(INGEST_ORD)))
+
+    return Feeds(spend=spend, revenue=revenue)
+
+
 def event_spend_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second, long-form channel set: the day's summed event value per event type."""
     ev = _table(spark, sf_dir, "events")

@@ -39,6 +39,8 @@ class Lazy:
         if name.startswith("_") or name not in self._names:
             raise AttributeError(name)
         if name not in self._built:
+            if name not in self._sources:
+                raise AttributeError(f"{type(self).__name__} has no {name!r} input")
             src = self._sources[name]
             self._built[name] = src if isinstance(src, DataFrame) else src()
         return self._built[name]

@@ -69,8 +69,10 @@ def reallocation(spend, revenue, k=30, fraction=0.10, n=2):
             summ[c][1] += (revenue.get(d) or 0.0) * share
     rows = {c: (s, (a / s) if s > 0 else 0.0) for c, (s, a) in summ.items()}
     roas = sorted(r for _, r in rows.values())
-    desc_rank = {c: 1 + sum(1 for _, r in rows.values() if r > rows[c][1]) for c in rows}
-    asc_rank = {c: 1 + sum(1 for _, r in rows.values() if r < rows[c][1]) for c in rows}
+    # equal ROAS must tie even when float noise separates them (rank on 9 decimals)
+    key = {c: round(r, 9) for c, (_, r) in rows.items()}
+    desc_rank = {c: 1 + sum(1 for x in key.values() if x > key[c]) for c in rows}
+    asc_rank = {c: 1 + sum(1 for x in key.values() if x < key[c]) for c in rows}
     donors = [c for c in rows if asc_rank[c] <= n]
     recips = [c for c in rows if desc_rank[c] <= n]
     pool = sum(fraction * rows[c][0] for c in donors)

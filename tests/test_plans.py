@@ -74,8 +74,10 @@ def test_wide_fact_has_one_window_shuffle(spark):
     from spendlens import operators as ops
     p = prepare(driver_feeds(spark, SF001))
     tree = plan_text(ops.attributed_fact(p.spend, p.revenue, (7, 14, 30))).split("\n\n")[0]
-    # two dedup windows (spend, revenue) and ONE trailing window for all channels and all K
-    assert tree.count("Window (") == 3
+    # two dedup windows (spend, revenue); the trailing sums of all channels and all K are a
+    # running-sum window and an offset (LAG) window over the same exchange and the same sort
+    assert tree.count("Window (") == 4
+    assert tree.count("Sort (") == 3
     # exchanges: lineitem aggregate, orders aggregate, the trailing window; no per-channel
     # or per-date shuffle
     assert plan_summary(ops.attributed_fact(p.spend, p.revenue, (7, 14, 30)))["exchanges"] == 3
