@@ -30,12 +30,6 @@ FACT_COLUMNS = ("date", "channel", "spend", "k", "rolling_spend", "total_rolling
                 "attributed_revenue")
 
 
-def attribute(rolling: Column, total: Column, revenue: Column) -> Column:
-    """revenue * rolling / total when the day's total is positive, else 0."""
-    share = rolling.cast("double") / total.cast("double")
-    return F.when(total > 0, revenue.cast("double") * share).otherwise(F.lit(0.0))
-
-
 def _windows(windows: Iterable[int]) -> list[int]:
     wins = sorted(set(int(k) for k in windows))
     if not wins or wins[0] < 1:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.columns import RANK_DIGITS_RATIO, guarded_ratio, mean, rank_key
 from spendlens.functions.stats import population_stddev
-from spendlens.operators.attribution import attribute, is_long
+from spendlens.operators.attribution import _attributed_sql, _cents_sql, _partition, _q, is_long
 from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
 
 
@@ -27,37 +27,49 @@ def spend_consistency(spend_long: DataFrame, keys: Sequence[str] = ()) -> DataFr
             .orderBy(*keys, F.col("cv_spend").asc_nulls_first()))
 
 
+def _trailing_cents(df: DataFrame, cols: Sequence[str], part: str, k: int) -> DataFrame:
+    """Add ``_roll_<col>``: the exact trailing K-row sum of each non-NULL cents column, as a
+    running sum minus the running sum K rows back (O(1) per row, see attribution)."""
+    w_cum = f"OVER ({part}ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    w_lag = f"OVER ({part}ORDER BY date)"
+    cum = df.selectExpr("*", *[f"SUM({_q(c)}) {w_cum} AS {_q('_cum_' + c)}" for c in cols])
+    return cum.selectExpr("*", *[f"{_q('_cum_' + c)} - COALESCE(LAG({_q('_cum_' + c)}, {k}) {w_lag}, 0) "
+                                 f"AS {_q('_roll_' + c)}" for c in cols])
+
+
+def _revenue_or_zero() -> str:
+    return "COALESCE(CAST(revenue AS DOUBLE), 0D) AS revenue"
+
+
 def _share_long(spend_long: DataFrame, revenue: DataFrame, k: int, keys: Sequence[str],
                 label_suffix: str) -> DataFrame:
+    kq = [_q(x) for x in keys]
     daily = (spend_long.groupBy(*keys, "date", F.concat(F.col("channel"), F.lit(label_suffix)).alias("channel"))
-             .agg(F.coalesce(F.sum("spend"), F.lit(0).cast("decimal(18,2)")).alias("spend")))
-    total = daily.groupBy(*keys, "date").agg(F.sum("spend").alias("total_spend"))
-    frame = (-(k - 1), 0)
-    roll_c = daily.withColumn("roll_channel", F.sum("spend").over(
-        Window.partitionBy(*keys, "channel").orderBy("date").rowsBetween(*frame)))
-    roll_t = total.select(*keys, "date", F.sum("total_spend").over(
-        Window.partitionBy(*keys).orderBy("date").rowsBetween(*frame)).alias("roll_total"))
+             .agg(F.coalesce(F.sum("spend"), F.lit(0).cast("decimal(18,2)")).alias("spend"))
+             .selectExpr("*", f"{_cents_sql('spend')} AS _c"))
+    roll_c = _trailing_cents(daily, ["_c"], _partition([*keys, "channel"]), k)
+    total = daily.groupBy(*keys, "date").agg(F.sum("_c").alias("_ct"))
+    roll_t = _trailing_cents(total, ["_ct"], _partition(keys), k).selectExpr(*kq, "date", "_roll__ct")
     rev = revenue.select(*keys, "date", "revenue")
     return (roll_c.join(roll_t, [*keys, "date"]).join(rev, [*keys, "date"], "left")
-            .select(*keys, "channel", "spend", "roll_channel", "roll_total",
-                    F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("revenue")))
+            .selectExpr(*kq, "channel", "spend", "_roll__c AS roll_channel", "_roll__ct AS roll_total",
+                        _revenue_or_zero()))
 
 
 def _share_wide(spend_wide: DataFrame, revenue: DataFrame, k: int, keys: Sequence[str], channels: Sequence[str],
                 suffix: str, label_suffix: str) -> DataFrame:
     cols = {c: f"{c}{suffix}" for c in channels}
-    base = spend_wide.select(*keys, "date", *[F.coalesce(F.col(col), F.lit(0).cast("decimal(18,2)")).alias(c)
-                                              for c, col in cols.items()])
-    base = base.withColumn("_total", sum((F.col(c) for c in channels), F.lit(0)))
-    by_date = Window.partitionBy(*keys).orderBy("date").rowsBetween(-(k - 1), 0)
-    rolled = base.select("*", *[F.sum(c).over(by_date).alias(f"_r_{c}") for c in channels],
-                         F.sum("_total").over(by_date).alias("roll_total"))
-    rev = revenue.select(*keys, "date", "revenue")
-    joined = rolled.join(rev, [*keys, "date"], "left")
-    rows = F.array(*[F.struct(F.lit(f"{c}{label_suffix}").alias("channel"), F.col(c).alias("spend"),
-                              F.col(f"_r_{c}").alias("roll_channel")) for c in channels])
-    return joined.select(*keys, F.inline(rows), "roll_total",
-                         F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("revenue"))
+    kq = [_q(x) for x in keys]
+    base = spend_wide.selectExpr(
+        *kq, "date",
+        *[f"COALESCE({_q(col)}, CAST(0 AS DECIMAL(18,2))) AS {_q(c)}" for c, col in cols.items()],
+        *[f"{_cents_sql(f'COALESCE({_q(col)}, 0)')} AS {_q('_c_' + c)}" for c, col in cols.items()])
+    base = base.selectExpr("*", f"{' + '.join(_q('_c_' + c) for c in channels)} AS _c_total")
+    rolled = _trailing_cents(base, [f"_c_{c}" for c in channels] + ["_c_total"], _partition(keys), k)
+    joined = rolled.join(revenue.select(*keys, "date", "revenue"), [*keys, "date"], "left")
+    rows = ", ".join(f"named_struct('channel', '{c}{label_suffix}', 'spend', {_q(c)}, "
+                     f"'roll_channel', {_q('_roll__c_' + c)})" for c in channels)
+    return joined.selectExpr(*kq, f"inline(array({rows}))", "_roll__c_total AS roll_total", _revenue_or_zero())
 
 
 def channel_roas_summary(spend: DataFrame, revenue: DataFrame, k: int = 30, keys: Sequence[str] = (),
@@ -74,8 +86,9 @@ def channel_roas_summary(spend: DataFrame, revenue: DataFrame, k: int = 30, keys
         share = _share_long(spend, revenue, k, keys, label_suffix)
     else:
         share = _share_wide(spend, revenue, k, keys, channels, suffix, label_suffix)
+    # rolling amounts are exact cents here
     share = share.withColumn("attributed_revenue_30d",
-                             attribute(F.col("roll_channel"), F.col("roll_total"), F.col("revenue")))
+                             F.expr(_attributed_sql("roll_channel", "roll_total", "revenue")))
     s = share.groupBy(*keys, "channel").agg(F.sum("spend").alias("total_spend"),
                                               F.sum("attributed_revenue_30d").alias("attr_rev_30d"))
     return s.withColumn("roas_30d", F.coalesce(guarded_ratio("attr_rev_30d", "total_spend"), F.lit(0.0)))
