@@ -31,3 +31,17 @@ def test_first_row_wins_across_batches(spark):
     d26 = [r for r in out if str(r["date"]) == "2023-03-26"][0]
     assert (d26["is_holiday"], d26["promotion_active"]) == (0, 0)
     assert spark.read.parquet(target).groupBy("date").count().where(F.col("count") > 1).count() == 0
+
+
+def test_parquet_feed_uses_row_index(spark):
+    from helpers import factors_df
+    root = tempfile.mkdtemp(prefix="spendlens-stream-pq-")
+    inbox, target = os.path.join(root, "in"), os.path.join(root, "out")
+    # one file, rows in this order: day 0 with holiday 0, then day 0 again with holiday 1
+    factors_df(spark, [(0, 1, 0, 0, 1.0), (0, 1, 1, 0, 1.0), (1, 0, 0, 1, 0.8)]).coalesce(1) \
+        .write.parquet(os.path.join(inbox, "batch1"))
+    q = publish_first_rows(feed_stream(spark, os.path.join(inbox, "batch1"), "external_factors", fmt="parquet"),
+                           target, query_name="ef_pq_test")
+    q.awaitTermination(120)
+    out = {str(r["date"]): r for r in spark.read.parquet(target).collect()}
+    assert len(out) == 2 and out["2023-01-01"]["is_holiday"] == 0
