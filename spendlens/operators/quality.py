@@ -32,26 +32,39 @@ def null_profile(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence
     return out
 
 
-def date_gaps(df: DataFrame, date_col: str = "date") -> DataFrame:
-    """Each date whose previous calendar day is absent: (date, previous_date), by date.
+def date_gaps(df: DataFrame, date_col: str = "date", keys: Sequence[str] = ()) -> DataFrame:
+    """Each date whose previous calendar day is absent (per entity key): (keys, date, previous_date).
 
     Anti join against the distinct non-NULL dates (a NOT IN would return nothing at all if
     one date were NULL, and plans as a null-aware broadcast). Repeated dates repeat.
     """
+    keys = list(keys)
     rows = (df.where(F.col(date_col).isNotNull())
-            .select(F.col(date_col).alias("date"), F.date_sub(F.col(date_col), 1).alias("previous_date")))
-    present = df.select(F.col(date_col).alias("previous_date")).where(F.col("previous_date").isNotNull()).distinct()
-    # Distinct dates are bounded by the calendar (one row per day), so this side is broadcast.
-    return (rows.join(F.broadcast(present), "previous_date", "left_anti")
-            .select("date", "previous_date").orderBy("date"))
-
-
-def outliers(df: DataFrame, value_col: str, z: float = 3.0) -> DataFrame:
-    """Rows with |x - mean| > z * population sd, largest deviation first; input columns only.
-
-    Mean and sd come from one global aggregate, used as scalar subqueries (one row).
+            .select(*keys, F.col(date_col).alias("date"), F.date_sub(F.col(date_col), 1).alias("previous_date")))
+    present = (df.select(*keys, F.col(date_col).alias("previous_date"))
+               .where(F.col("previous_date").isNotNull()).distinct())
+    # Without entity keys the distinct dates are bounded by the calendar (one row per day), so
+    # that side is broadcast; with keys it grows with the entities and AQE decides.
+    lookup = present if keys else F.broadcast(present)
+    return (rows.join(lookup, [*keys, "previous_date"], "left_anti")
+            .select(*keys, "date", "previous_date").orderBy(*keys, "date"))
+
+
+def outliers(df: DataFrame, value_col: str, z: float = 3.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows with |x - mean| > z * population sd (per entity key), largest deviation first;
+    input columns only.
+
+    Without keys, mean and sd come from one global aggregate used as scalar subqueries (one
+    row); with keys, from a per-entity aggregate joined back on the keys.
     """
+    keys = list(keys)
     x = F.col(value_col).cast("double")
+    if keys:
+        stats = df.groupBy(*keys).agg(F.avg(x).alias("_mu"), F.stddev_pop(x).alias("_sigma"))
+        joined = df.join(stats, keys)
+        dev = F.abs(x - F.col("_mu"))
+        return (joined.where(F.col("_sigma").isNotNull() & (dev > F.lit(z) * F.col("_sigma")))
+                .orderBy(*keys, dev.desc()).select(*df.columns))
     stats = df.agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sigma"))
     mu = stats.select("mu").scalar()
     sigma = stats.select("sigma").scalar()
@@ -60,11 +73,12 @@ def outliers(df: DataFrame, value_col: str, z: float = 3.0) -> DataFrame:
             .orderBy(dev.desc()))
 
 
-def spend_outliers(spend_wide: DataFrame, z: float = 3.0, value_cols: Sequence[str] | None = None) -> DataFrame:
-    """Outliers of the day's total spend (sum of the channel columns), on raw rows: (date, spend)."""
+def spend_outliers(spend_wide: DataFrame, z: float = 3.0, value_cols: Sequence[str] | None = None,
+                   keys: Sequence[str] = ()) -> DataFrame:
+    """Outliers of the day's total spend (sum of the channel columns), on raw rows: (keys, date, spend)."""
     cols = list(value_cols or spend_columns())
-    ms = spend_wide.select("date", row_total(cols).alias("spend"))
-    return outliers(ms, "spend", z)
+    ms = spend_wide.select(*keys, "date", row_total(cols).alias("spend"))
+    return outliers(ms, "spend", z, keys)
 
 
 def duplicate_keys(df: DataFrame, key="date", count_col: str = "num_occurrences") -> DataFrame:

@@ -58,3 +58,16 @@ def test_entity_keys_curves_and_budget(p):
         multi = op(spend, rev, keys=["acct"])
         single = op(spend.where(F.col("acct") == "b").drop("acct"), rev.where(F.col("acct") == "b").drop("acct"))
         assert _rows(multi.where(F.col("acct") == "b").drop("acct")) == _rows(single)
+
+
+def test_entity_keys_quality_checks(p):
+    spend, rev = _two_entities(p)
+    for acct in ("a", "b"):
+        one = rev.where(F.col("acct") == acct).drop("acct")
+        multi = ops.date_gaps(rev, keys=["acct"]).where(F.col("acct") == acct).drop("acct")
+        assert _rows(multi) == _rows(ops.date_gaps(one))
+        multi = ops.outliers(rev, "revenue", keys=["acct"]).where(F.col("acct") == acct).drop("acct")
+        assert _rows(multi) == _rows(ops.outliers(one, "revenue"))
+    # entity b misses day 3 of every month: its spend gaps are more than a's
+    g = {r["acct"]: r["count"] for r in ops.date_gaps(spend, keys=["acct"]).groupBy("acct").count().collect()}
+    assert g["b"] > g["a"]
