@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from .pretoken import splitter
 
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
+ROWS_AT_ONCE = 512
 _MASK, _STEP, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -156,6 +157,13 @@ class Vocabulary:
         return {k: v for k, v in self.__dict__.items() if k != "memo"}
 
 
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``ROWS_AT_ONCE`` rows, so that what a task makes of them stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(low, ROWS_AT_ONCE)
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids",
            keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (default: all) and ``out``, the ids of the whole ``text`` as array<int>.
@@ -170,7 +178,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(len(kept))
             ids = [own.encode(t.as_py() or "") for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], _lists(ids)], names=[*kept, out])
@@ -192,7 +200,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             column = batch.column(len(kept))
             values = column.values.to_numpy(zero_copy_only=False)
             cuts, there = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)

@@ -40,7 +40,7 @@ TEXTS_A_BATCH = 256
 SPLIT_ROWS = 1 << 20
 
 
-def gram_set(text: str | None, n: int) -> np.ndarray:
+def gram_set(text, n: int) -> np.ndarray:
     """Sorted distinct n-gram hashes of the whole text; none without words."""
     return np.unique(grams(words(text, NON_SPACE), n))
 
@@ -51,7 +51,7 @@ def set_key(own: np.ndarray) -> int:
 
 def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[tuple[int, np.ndarray, int]]:
     for i, text in enumerate(batch.column(column)):
-        own = gram_set(text.as_py(), n)
+        own = gram_set(text.as_buffer(), n)
         yield i, own, set_key(own)
 
 

@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, token_files
+from . import bpe, decontaminate, ngram_join, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,13 +47,22 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                        decontaminate.is_contaminated().alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_files": op3_token_files,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_decontaminate": op7_decontaminate,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_jaccard": f"""
@@ -77,4 +86,36 @@ r AS (
 ),
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN c ON c.a = s.doc_id""",
+    "op7_decontaminate": f"""
+WITH iw AS (
+  SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{ALNUM}') AS ws FROM benchmark
+),
+il AS (SELECT item_id, ws, least(13, len(ws)) AS size FROM iw WHERE len(ws) > 0),
+ig AS (
+  SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(ws) - size + 2),
+                                                       i -> array_to_string(ws[i:i + size - 1], ' '))) AS gram
+  FROM il
+),
+dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS ws
+  FROM documents
+),
+dg AS (
+  SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS at,
+         unnest(list_transform(range(1, len(ws) - size + 2), i -> array_to_string(ws[i:i + size - 1], ' '))) AS gram
+  FROM dw CROSS JOIN (SELECT DISTINCT size FROM ig) z WHERE len(ws) >= size
+),
+m AS (SELECT dg.doc_id, dg.at, dg.size, ig.item_id FROM dg JOIN ig ON ig.gram = dg.gram AND ig.size = dg.size),
+h AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(at, at + size)) AS p FROM m) x GROUP BY doc_id
+),
+n AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) x GROUP BY doc_id
+)
+SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN h ON h.doc_id = dw.doc_id LEFT JOIN n ON n.doc_id = dw.doc_id""",
 }

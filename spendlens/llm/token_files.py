@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Memo
+from .bpe import Memo, sliced
 from .pretoken import splitter
 from .work import new_path, offsets, stored
 
@@ -132,7 +132,7 @@ def write(df: DataFrame, path: str, tokenizer: LibraryTokenizer, doc_id: str = "
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first_ids = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [np.concatenate([own.encode(t.as_py() or ""), tail]) for t in batch.column(1)]
             known = pc.fill_null(batch.column(0), 0).to_numpy()
             shard = np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), 0,
@@ -143,7 +143,7 @@ def write(df: DataFrame, path: str, tokenizer: LibraryTokenizer, doc_id: str = "
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
-        for batch in batches:
+        for batch in sliced(batches):
             for shard, doc, n, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None or out.shard != shard:
                     if out:

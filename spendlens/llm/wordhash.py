@@ -54,14 +54,15 @@ def _piece(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix((sums[last] - sums[first]) * down[first]), first, last
 
 
-def words(text: str | None, is_word: np.ndarray) -> np.ndarray:
-    """The hash of every word of the text with A-Z lower-cased, in order."""
+def words(text, is_word: np.ndarray) -> np.ndarray:
+    """The hash of every word of the text (a string, UTF-8 bytes or None) with A-Z lower-cased, in order."""
     return spans(text, is_word)[0]
 
 
-def spans(text: str | None, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(text, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte of every word of the text with A-Z lower-cased, in order."""
-    data = LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+    raw = text.encode() if isinstance(text, str) else text
+    data = LOWER[np.frombuffer(raw, dtype=np.uint8)] if raw else np.zeros(0, dtype=np.uint8)
     found, at = [], 0
     while at < len(data):
         end = at + PIECE
