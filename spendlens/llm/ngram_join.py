@@ -30,9 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
+from .bpe import sliced
 from .graph import components
 from .wordhash import NON_SPACE, grams, words
-from .work import store, stored
+from .work import stored
 
 WORDS = 5
 THRESHOLD = (75, 100)
@@ -59,7 +60,7 @@ def _rows_and_sketch(texts: DataFrame, n: int) -> DataFrame:
     """doc_id, n and key of every text, and, in rows of their own, slices of the tasks' sketches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.Counts(), set()
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, keys, held = [], [], []
             for _, own, key in _sets(batch, 1, n):
                 sizes.append(len(own))
@@ -90,7 +91,7 @@ def _postings(texts: DataFrame, n: int, frequency: np.ndarray, t: tuple[int, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen, held = shared.value, set(), []
-        for batch in batches:
+        for batch in sliced(batches):
             for _, own, key in _sets(batch, 1, n):
                 if not len(own) or key in seen:
                     continue
@@ -153,8 +154,10 @@ def _reachable(t: tuple[int, int], a: str, b: str) -> Column:
     return F.expr(f"least({a}.rest, {b}.rest) * {t[0] + t[1]} >= {need}")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose whole rows overlap enough."""
+def _linked(pairs: DataFrame, texts: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose whole rows overlap enough; only rows of pairs are made again and shuffled."""
+    keys = sketch.of_column(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key")
+    sets = _sets_of(texts, keys, n)
     left, right = sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), \
         sets.select(F.col("key").alias("b"), F.col("grams").alias("gb"))
     both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ga", "gb")))
@@ -168,7 +171,7 @@ def _sets_of(texts: DataFrame, keys: np.ndarray, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen, held = np.unpackbits(shared.value), set(), []
-        for batch in batches:
+        for batch in sliced(batches):
             for _, own, key in _sets(batch, 1, n):
                 if key in seen or not len(own) or not wanted[sketch.cells(np.array([key]).view(np.uint64))[0]]:
                     continue
@@ -210,8 +213,7 @@ def similar_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: i
     first = entries.alias("y").join(hubs, F.col("x.gram") == F.col("y.gram")) \
         .where((F.col("x.key") < F.col("y.key")) & _reachable(threshold, "x", "y")) \
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    sets = stored(_sets_of(texts, sketch.of_column(entries.select("key").distinct(), "key"), n), "grams")
-    found, _ = store(_linked(first, sets, threshold), "links")
+    found = stored(_linked(stored(first, "pairs"), texts, n, threshold), "links")
 
     parts = components(found)
     labelled = entries.join(parts.withColumnRenamed("node", "key"), "key", "left") \
@@ -222,7 +224,7 @@ def similar_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: i
     second = left.alias("x").join(left.alias("y"), F.col("x.gram") == F.col("y.gram")) \
         .where((F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _reachable(threshold, "x", "y")) \
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    links = stored(found.union(_linked(second, sets, threshold)), "links")
+    links = stored(found.union(_linked(stored(second, "pairs"), texts, n, threshold)), "links")
     return rows, links
 
 
