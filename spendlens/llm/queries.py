@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ngram_join, token_files
+from . import bpe, chat, decontaminate, fingerprints, licences, ngram_join, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,20 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.with_next_text(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited", fingerprints.edited_text(F.col("text"), F.col("next_text"))) \
+        .withColumn("fingerprint", fingerprints.root(F.col("text"))) \
+        .withColumn("edited_fingerprint", fingerprints.root(F.col("edited"))) \
+        .withColumn("next_fingerprint", fingerprints.root(F.col("next_text"))) \
+        .withColumn("edited_leaves", fingerprints.leaves(F.col("edited")))
+    near = lambda other: fingerprints.likeness(F.col("fingerprint"), F.col("leaves"), F.col(f"{other}_fingerprint"),
+                                               F.col(f"{other}_leaves"))
+    return rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"),
+                       F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                       near("edited").alias("near_edited"), near("next").alias("near_next"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ngram_join.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id")
@@ -54,17 +68,108 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         decontaminate.is_contaminated().alias("contaminated"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_files": op3_token_files,
+    "op5_fingerprints": op5_fingerprints,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_decontaminate": op7_decontaminate,
+    "op8_chat_format": op8_chat_format,
+    "op9_licence_scan": op9_licence_scan,
+    "op10_sharding": op10_sharding,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+
+def _licence_sql() -> str:
+    known = [(name, grams) for name, t in licences.TEMPLATES if (grams := licences.template_bigrams(t))]
+    rows = ",\n    ".join(f"('{name}', {grams!r})" for name, grams in known)
+    return f"""
+WITH t(licence, grams) AS (VALUES
+    {rows}),
+l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+p AS (
+  SELECT doc_id, line AS part FROM l
+  UNION SELECT doc_id, unnest(string_split(regexp_replace(line, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1))) FROM l
+),
+w AS (SELECT doc_id, part, regexp_extract_all(translate(part, '{UPPER}', '{LOWER}'), '[a-z0-9]+') AS ws FROM p),
+g AS (
+  SELECT doc_id, part, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams
+  FROM w WHERE len(ws) > 1
+),
+m AS (
+  SELECT doc_id, licence, part, 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
+  FROM g CROSS JOIN t
+),
+b AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence, part) AS r
+  FROM m WHERE dice >= {licences.THRESHOLD}
+)
+SELECT d.doc_id, b.licence, coalesce(b.dice, 0.0) AS dice, b.part
+FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND b.r = 1"""
+
+
+def _root_sql(text: str) -> str:
+    return (f"sha256(array_to_string(list_transform(string_split({text}, chr(10) || chr(10)), lambda s: "
+            f"sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ','))), ','))")
+
+
+def _near_sql(a: str, b: str) -> str:
+    common = f"len(list_intersect({a}_pieces, {b}_pieces))"
+    return (f"CASE WHEN {a}_text = {b}_text THEN 1.0 ELSE coalesce({common} / "
+            f"nullif(CAST(len({a}_pieces) + len({b}_pieces) - {common} AS DOUBLE), 0), 0.0) END")
+
+
+_PIECES = "[^.!?\\n]{1,48}[.!?\\n]*|[.!?\\n]+"
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_fingerprints": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS own_text FROM documents),
+n AS (
+  SELECT *, coalesce(lead(own_text) OVER (ORDER BY doc_id DESC), first_value(own_text) OVER (ORDER BY doc_id DESC)) AS next_text
+  FROM d
+),
+e AS (
+  SELECT *, left(own_text, length(own_text) - length(own_text) // 3) || left(next_text, length(own_text) // 3) AS edited_text
+  FROM n
+),
+p AS (
+  SELECT *, list_distinct(regexp_extract_all(own_text, '{_PIECES}')) AS own_pieces,
+         list_distinct(regexp_extract_all(next_text, '{_PIECES}')) AS next_pieces,
+         list_distinct(regexp_extract_all(edited_text, '{_PIECES}')) AS edited_pieces FROM e
+)
+SELECT doc_id, CAST(length(own_text) AS BIGINT) AS n_chars, sha256(edited_text) AS edited_sha256,
+       {_root_sql('own_text')} AS fingerprint, {_root_sql('edited_text')} AS edited_fingerprint,
+       CAST({_near_sql('own', 'edited')} AS DOUBLE) AS near_edited, CAST({_near_sql('own', 'next')} AS DOUBLE) AS near_next
+FROM p""",
+    "op8_chat_format": """
+WITH l AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn, role, text) AS turns
+  FROM conversations GROUP BY conv_id
+),
+proper AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM l) x),
+m AS (SELECT min(conv_id) AS conv_id, turns FROM l GROUP BY turns)
+SELECT conv_id, CAST(0 AS BIGINT) AS part, CAST(len(turns) AS BIGINT) AS n_turns,
+       array_to_string(list_transform(turns, lambda x: '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10)), '') AS rendered
+FROM m WHERE NOT EXISTS (SELECT 1 FROM proper p WHERE p.turns = m.turns)""",
+    "op9_licence_scan": _licence_sql(),
     "op6_ngram_jaccard": f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws
@@ -72,7 +177,7 @@ WITH RECURSIVE w AS (
 ),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) END AS grams
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS grams
   FROM w
 ),
 e AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
@@ -93,7 +198,7 @@ WITH iw AS (
 il AS (SELECT item_id, ws, least(13, len(ws)) AS size FROM iw WHERE len(ws) > 0),
 ig AS (
   SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(ws) - size + 2),
-                                                       i -> array_to_string(ws[i:i + size - 1], ' '))) AS gram
+                                                       lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS gram
   FROM il
 ),
 dw AS (
@@ -101,14 +206,14 @@ dw AS (
   FROM documents
 ),
 dg AS (
-  SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS at,
-         unnest(list_transform(range(1, len(ws) - size + 2), i -> array_to_string(ws[i:i + size - 1], ' '))) AS gram
+  SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS pos,
+         unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS gram
   FROM dw CROSS JOIN (SELECT DISTINCT size FROM ig) z WHERE len(ws) >= size
 ),
-m AS (SELECT dg.doc_id, dg.at, dg.size, ig.item_id FROM dg JOIN ig ON ig.gram = dg.gram AND ig.size = dg.size),
+m AS (SELECT dg.doc_id, dg.pos, dg.size, ig.item_id FROM dg JOIN ig ON ig.gram = dg.gram AND ig.size = dg.size),
 h AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit
-  FROM (SELECT DISTINCT doc_id, unnest(range(at, at + size)) AS p FROM m) x GROUP BY doc_id
+  FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS p FROM m) x GROUP BY doc_id
 ),
 n AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
