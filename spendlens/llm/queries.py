@@ -8,10 +8,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprints, licences, ngram_join, sharding, token_files
+from . import bpe, chat, decontaminate, fingerprints, licences, ngram_join, sharding, token_files, toxicity
+from .work import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +44,16 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+TOXIC = 0.7
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train_on_labels(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                         (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.with_next_text(table(spark, sf_dir, "documents"))
     rows = rows.withColumn("edited", fingerprints.edited_text(F.col("text"), F.col("next_text"))) \
@@ -85,6 +97,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_files": op3_token_files,
+    "op4_toxicity": op4_toxicity,
     "op5_fingerprints": op5_fingerprints,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_decontaminate": op7_decontaminate,

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's source, once per application; needed where it is not installed on them."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="spendlens-src-")) / "spendlens_src.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.glob("spendlens/**/*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; it goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/spendlens-{label}-{uuid.uuid4().hex}"
