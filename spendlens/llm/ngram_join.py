@@ -10,13 +10,13 @@ in full: a column only counts where a pair could still reach the overlap that it
    these are shuffled, blocked by column; a column seen in one row falls out within its block. Columns that the
    sketch calls very frequent are split by row into several blocks.
 3. In each column, an entry with ``rest`` entries from it to the end of its row allows an overlap of ``rest`` at most;
-   pairs whose sizes and rests are below the size-derived overlap are discarded. The rest are pairs of a first round,
-   every row with the smallest of its column, and of a second one, all rows of a column that the first round has not
-   put in one component. Pairs inside a component need no test: they change no component.
+   pairs whose sizes and rests are below the size-derived overlap are discarded. Of the rest, a few rounds take one
+   pair per component, a row and a hub of its column; then come all pairs of rows in a column that those rounds have
+   not put in one component. Pairs inside a component need no test: they change no component.
 4. The overlaps of the pairs that are left are counted over the whole rows, and links found.
 
 No row, column or pair is dropped for its size: a frequent column costs blocks and not pairs, because near-copies
-meet in round one (as many pairs as rows) and rows that merely share it fail the bounds of step 3.
+meet in the first rounds (no more pairs than rows) and rows that merely share it fail the bounds of step 3.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ WORDS = 5
 THRESHOLD = (75, 100)
 TEXTS_A_BATCH = 256
 SPLIT_ROWS = 1 << 20
+FREQUENCY_BITS = 23
+STAR_ROUNDS = 2
 
 
 def gram_set(text, n: int) -> np.ndarray:
@@ -59,7 +61,7 @@ def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[tuple[int, np.
 def _rows_and_sketch(texts: DataFrame, n: int) -> DataFrame:
     """doc_id, n and key of every text, and, in rows of their own, slices of the tasks' sketches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = sketch.Counts(), set()
+        counts, seen = sketch.Counts(FREQUENCY_BITS), set()
         for batch in sliced(batches):
             sizes, keys, held = [], [], []
             for _, own, key in _sets(batch, 1, n):
@@ -87,7 +89,7 @@ def _batch(columns: dict) -> pa.RecordBatch:
 
 def _postings(texts: DataFrame, n: int, frequency: np.ndarray, t: tuple[int, int]) -> DataFrame:
     """(gram, salt, key, n, rest) of the first entries of every row that a task meets for the first time."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequency.astype(np.uint32))
+    shared = texts.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen, held = shared.value, set(), []
@@ -97,7 +99,7 @@ def _postings(texts: DataFrame, n: int, frequency: np.ndarray, t: tuple[int, int
                     continue
                 seen.add(key)
                 size = len(own)
-                estimate = often[sketch.cells(own)]
+                estimate = often[sketch.cells(own, often.size.bit_length() - 1)]
                 first = np.argsort(estimate, kind="stable")[:size - -(-size * t[0] // t[1]) + 1]
                 salt = np.mod(np.int64(key), 1 + estimate[first].astype(np.int64) // SPLIT_ROWS)
                 held.append((own[first].view(np.int64), salt, np.full(len(first), key), np.full(len(first), size),
@@ -203,29 +205,37 @@ def similar_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: i
     texts = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
     both = stored(_rows_and_sketch(texts, n), "sets")
     rows = both.where("slice is null").select("doc_id", "n", "key")
-    frequency = sketch.total(both.where("slice is not null"))
+    frequency = sketch.total(both.where("slice is not null"), FREQUENCY_BITS)
     blocks = _postings(texts, n, frequency, threshold).repartition("gram", "salt") \
         .sortWithinPartitions("gram", "salt", "key")
     entries = stored(_shared_columns(blocks), "entries")
 
-    hubs = entries.groupBy("gram").agg(F.min("key").alias("key"), F.min_by("n", "key").alias("n"),
-                                       F.min_by("rest", "key").alias("rest")).alias("x")
-    first = entries.alias("y").join(hubs, F.col("x.gram") == F.col("y.gram")) \
-        .where((F.col("x.key") < F.col("y.key")) & _reachable(threshold, "x", "y")) \
-        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    found = stored(_linked(stored(first, "pairs"), texts, n, threshold), "links")
-
-    parts = components(found)
-    labelled = entries.join(parts.withColumnRenamed("node", "key"), "key", "left") \
-        .withColumn("root", F.coalesce("root", "key"))
-    open_columns = labelled.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")) \
-        .where("r0 < r1").select("gram")
-    left = stored(labelled.join(open_columns, "gram"), "open")
+    links, left = None, entries.withColumn("root", F.col("key"))
+    for turn in range(STAR_ROUNDS):
+        found = _linked(stored(_star_pairs(left, turn, threshold), "pairs"), texts, n, threshold)
+        links = stored(found if links is None else links.union(found), "links")
+        labelled = entries.join(components(links).withColumnRenamed("node", "key"), "key", "left") \
+            .withColumn("root", F.coalesce("root", "key"))
+        open_columns = labelled.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")) \
+            .where("r0 < r1").select("gram")
+        left = stored(labelled.join(open_columns, "gram"), "open")
     second = left.alias("x").join(left.alias("y"), F.col("x.gram") == F.col("y.gram")) \
         .where((F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _reachable(threshold, "x", "y")) \
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    links = stored(found.union(_linked(stored(second, "pairs"), texts, n, threshold)), "links")
-    return rows, links
+    return rows, stored(links.union(_linked(stored(second, "pairs"), texts, n, threshold)), "links")
+
+
+def _star_pairs(entries: DataFrame, turn: int, t: tuple[int, int]) -> DataFrame:
+    """At most one pair (a, b) per component: its entry beside the first reachable hub over all of its columns.
+
+    A column's hub is the entry of its first component in a pseudo-random order that each turn draws anew.
+    """
+    drawn = entries.withColumn("o", F.xxhash64("root", F.lit(turn)))
+    hubs = drawn.groupBy("gram").agg(F.min("o").alias("o"), *(F.min_by(c, "o").alias(c) for c in ("root", "key", "n", "rest")))
+    beside = drawn.alias("y").join(hubs.alias("x"), F.col("x.gram") == F.col("y.gram")) \
+        .where((F.col("x.root") != F.col("y.root")) & _reachable(t, "x", "y")) \
+        .select(F.col("y.root").alias("r"), F.col("x.o").alias("o"), F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    return beside.groupBy("r").agg(F.min_by("a", "o").alias("a"), F.min_by("b", "o").alias("b")).select("a", "b").distinct()
 
 
 def near_duplicate_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = WORDS,

@@ -1,7 +1,7 @@
 """A count sketch of fixed size, built by tasks, summed in slices by tasks, and small enough to broadcast.
 
-``counts[mix(hash) >> SHIFT]`` is at least the number of times that a hash was added. The sketch holds
-``1 << BITS`` counters whatever the data, so broadcasting it needs no size check.
+``counts[cells(hash)]`` is at least the number of times that a hash was added. The sketch holds ``1 << bits`` counters
+whatever the data, so broadcasting it needs no size check.
 """
 
 from __future__ import annotations
@@ -16,49 +16,53 @@ from .wordhash import mix
 
 BITS = 20
 SLICES = 64
-_WIDTH = (1 << BITS) // SLICES
 
 
-def cells(hashes: np.ndarray) -> np.ndarray:
-    return (mix(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+def cells(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (mix(hashes) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Counts:
     """A task's counters."""
 
-    def __init__(self):
-        self.counts = np.zeros(1 << BITS, dtype=np.int64)
+    def __init__(self, bits: int = BITS):
+        self.bits, self.counts = bits, np.zeros(1 << bits, dtype=np.uint32)
 
     def add(self, hashes: np.ndarray) -> None:
-        np.add.at(self.counts, cells(hashes), 1)
+        np.add.at(self.counts, cells(hashes, self.bits), np.uint32(1))
 
     def slices(self) -> list[tuple[int, bytes]]:
         """Number and counters of each slice, in the narrowest unsigned type that holds them."""
-        out = []
+        out, width = [], (1 << self.bits) // SLICES
         for i in range(SLICES):
-            part = self.counts[i * _WIDTH:(i + 1) * _WIDTH]
+            part = self.counts[i * width:(i + 1) * width]
             if part.any():
                 out.append((i, part.astype(np.min_scalar_type(int(part.max()))).tobytes()))
         return out
 
 
-def total(slices: DataFrame) -> np.ndarray:
-    """The sum of the slices of all tasks (columns ``slice``, ``counts``); 8 MB come back at most."""
+def total(slices: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The sum of the slices of all tasks (columns ``slice``, ``counts``), capped at 2^32 - 1; 4 bytes a counter come
+    back at most.
+    """
+    width = (1 << bits) // SLICES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = data.as_buffer()
-                part = np.frombuffer(raw, dtype=f"u{len(raw) // _WIDTH}").astype(np.int64)
+                part = np.frombuffer(raw, dtype=f"u{len(raw) // width}").astype(np.int64)
                 sums[i] = sums[i] + part if i in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()),
-                                          pa.array([s.tobytes() for s in sums.values()], pa.binary())],
+        most = {i: np.minimum(s, 0xFFFFFFFF).astype(np.uint32) for i, s in sums.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int32()),
+                                          pa.array([s.tobytes() for s in most.values()], pa.binary())],
                                          names=["slice", "counts"])
 
-    out = np.zeros(1 << BITS, dtype=np.int64)
+    out = np.zeros(1 << bits, dtype=np.uint32)
     summed = slices.select("slice", "counts").repartition(SLICES, "slice").mapInArrow(run, "slice int, counts binary")
-    for row in summed.collect():
-        out[row["slice"] * _WIDTH:(row["slice"] + 1) * _WIDTH] = np.frombuffer(row["counts"], dtype=np.int64)
+    for row in summed.toLocalIterator():
+        out[row["slice"] * width:(row["slice"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint32)
     return out
 
 

@@ -138,10 +138,10 @@ def test_columns_split_into_blocks(spark, monkeypatch):
         rows.append((i, " ".join(copy)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     texts = df.select("doc_id", "text")
-    often = np.full(1 << sketch.BITS, 5 * ngram_join.SPLIT_ROWS)
+    often = np.full(1 << 10, 5 * ngram_join.SPLIT_ROWS)
     split = ngram_join._postings(texts, 5, often, ngram_join.THRESHOLD)
     assert split.select("salt").distinct().count() == 6
-    whole = ngram_join._postings(texts, 5, np.zeros(1 << sketch.BITS, dtype=np.int64), ngram_join.THRESHOLD)
+    whole = ngram_join._postings(texts, 5, np.zeros(1 << 10, dtype=np.int64), ngram_join.THRESHOLD)
 
     def shared(p):
         p = p.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "key")
