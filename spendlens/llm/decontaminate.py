@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import sketch
 from .bpe import sliced
@@ -53,6 +54,20 @@ def _filter(df: DataFrame, column: str) -> np.ndarray:
     return np.packbits(sketch.of_column(df, column) > 0)
 
 
+def with_key(df: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of ``df`` and ``key``, the digest that names equal texts; a column of that name is replaced."""
+    kept = [c for c in df.columns if c != "key"]
+    at = kept.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            keys = [key for _, _, key in _texts(batch, at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*kept, "key"])
+
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("key", T.LongType())])
+    return df.select(*kept).mapInArrow(run, schema)
+
+
 def item_words(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(item, item_id, words): the word hashes of every distinct row that has an id and at least a word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

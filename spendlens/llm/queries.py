@@ -8,8 +8,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprints, licences, ngram_join, sharding, token_files, toxicity
-from .work import ship
+from . import bpe, chat, decontaminate, fingerprints, licences, ngram_join, sharding, token_files, toxicity, warc
+from .work import new_path, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def library_tokenizer(path: str | None = None) -> token_files.LibraryTokenizer:
         return token_files.LibraryTokenizer(f.read(), public_tokenizers.PATTERN)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.pages(warc.read(spark, path))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vocabulary = table(spark, sf_dir, "documents"), byte_bpe()
     ids = bpe.encode(docs, vocabulary, keep=["doc_id"])
@@ -95,6 +101,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_files": op3_token_files,
     "op4_toxicity": op4_toxicity,
@@ -153,6 +160,15 @@ def _near_sql(a: str, b: str) -> str:
 _PIECES = "[^.!?\\n]{1,48}[.!?\\n]*|[.!?\\n]+"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+g AS (
+  SELECT body, max(page_id) AS first_id FROM p WHERE octet_length(body) >= 1000 GROUP BY body HAVING count(*) > 1
+)
+SELECT p.page_id, CAST(octet_length(p.body) AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
+       CASE WHEN g.first_id IS DISTINCT FROM p.page_id AND g.first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.first_id IS DISTINCT FROM p.page_id THEN g.first_id END AS refers_to
+FROM p LEFT JOIN g ON g.body = p.body""",
     "op5_fingerprints": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS own_text FROM documents),
 n AS (

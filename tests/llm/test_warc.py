@@ -1,0 +1,103 @@
+"""WARC files: exact round trips, payloads that hold records, split files, revisits, broken chains."""
+
+import hashlib
+import random
+
+import pytest
+
+from spendlens.llm import warc
+from spendlens.llm.work import new_path
+
+FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 28\r\n\r\n" \
+       "HTTP/1.1 200 OK\r\n\r\nfake page\r\n\r\n"
+
+
+def expected(rows):
+    """page_id, bytes, digest, type, refers_to of (page_id, url, html) rows."""
+    largest = {}
+    for p, _, h in rows:
+        if p is not None:
+            largest[h or ""] = max(p, largest.get(h or "", p))
+    count = {}
+    for _, _, h in rows:
+        count[h or ""] = count.get(h or "", 0) + 1
+    out = []
+    for p, _, h in rows:
+        data, first = (h or "").encode(), largest.get(h or "")
+        revisit = len(data) >= 1000 and count[h or ""] > 1 and first is not None and first != p
+        out.append((p, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response",
+                    first if revisit else None))
+    return sorted(out, key=repr)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
+
+
+def round_trip(spark, rows, parts=3):
+    path = new_path(spark, "test-warc")
+    warc.write(frame(spark, rows).repartition(parts), path)
+    return path, warc.read(spark, path)
+
+
+def some_pages():
+    rng = random.Random(6)
+    word = lambda: rng.choice(["page", "é中😀", "WARC/1.", "WARC/1.1\r\n", FAKE, "\r\n\r\n", "\n", "<p>"])
+    rows = [(i, f"http://x/{i}", "".join(word() for _ in range(rng.randrange(0, 60)))) for i in range(80)]
+    rows += [(100, None, None), (101, "http://é/\r\nContent-Length: 3", ""), (None, "u", "z" * 50), (None, "u", "same" * 400)]
+    rows += [(i, "u", "same" * 400) for i in (200, 201, 202, 202)] + [(i, "u", "short") for i in (300, 301)]
+    rows += [(400, "u", FAKE * 5000), (401, "u", FAKE * 5000), (None, "u", "lone" * 500), (500, "u", "WARC/1." * 40)]
+    return rows
+
+
+def test_round_trip(spark):
+    rows = some_pages()
+    _, records = round_trip(spark, rows)
+    assert sorted(map(tuple, warc.pages(records).collect()), key=repr) == expected(rows)
+    urls = {r.record_id: r.target_uri for r in records.collect()}
+    assert urls["<urn:page:101>"] == "http://é/%0D%0AContent-Length: 3" and urls["<urn:page:100>"] == ""
+
+
+def test_files_split_into_small_blocks(spark):
+    rows = some_pages()[:30]
+    path, whole = round_trip(spark, rows, parts=2)
+    want = sorted((r.file, r.off, r.record_id, bytes(r.payload)) for r in whole.collect())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("331b", "2000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = warc.read(spark, path).collect()
+            assert sorted((r.file, r.off, r.record_id, bytes(r.payload)) for r in got) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_empty(spark):
+    _, records = round_trip(spark, [])
+    assert records.collect() == [] and warc.pages(records).collect() == []
+
+
+@pytest.mark.parametrize("data,ids", [
+    (FAKE + FAKE, 2), (FAKE[:-5], 0), ("junk" + FAKE, 0), (FAKE + "junk" + FAKE, 1), ("", 0), ("WARC/1.", 0),
+    (FAKE.replace("28", "29") + FAKE, 1), (FAKE.replace("28", "9" * 18), 0), (FAKE.replace("Length: 28", "Length: x"), 0),
+    (FAKE + FAKE.replace("1.1", "1.0"), 2), (FAKE + FAKE[:70], 1)])
+def test_broken_chains(spark, tmp_path, data, ids):
+    (tmp_path / "a.warc").write_bytes(data.encode())
+    assert len(warc.read(spark, str(tmp_path)).collect()) == ids
+
+
+def test_reachable_against_walk(spark):
+    rng = random.Random(1)
+    rows, want = [], set()
+    for f in range(5):
+        offs = sorted({0, *rng.sample(range(1, 2000), 300)} if f else rng.sample(range(1, 2000), 30))
+        succ = {o: rng.choice(offs[i + 1:i + 4] or [9999]) if rng.random() < 0.98 else None for i, o in enumerate(offs)}
+        rows += [(f, o, s) for o, s in succ.items()]
+        at = 0
+        while at in succ:
+            want.add((f, at))
+            at = succ[at]
+    got = warc.reachable(spark.createDataFrame(rows, "file long, off long, succ long")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
