@@ -20,16 +20,13 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendlens.functions.columns import guarded_ratio
 from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
 
-FACT_COLUMNS = ("date", "channel", "spend", "k", "rolling_spend", "total_rolling_spend", "revenue",
-                "attributed_revenue")
-
-
 def _windows(windows: Iterable[int]) -> list[int]:
     wins = sorted(set(int(k) for k in windows))
     if not wins or wins[0] < 1:
@@ -41,34 +38,29 @@ def is_long(spend: DataFrame) -> bool:
     return "channel" in spend.columns
 
 
-def null_skipping_total(cols: Sequence[Column]) -> Column:
-    """Sum across columns that ignores NULLs like SUM does; NULL only if all are NULL."""
-    any_value = None
-    total = None
-    for c in cols:
-        any_value = c.isNotNull() if any_value is None else (any_value | c.isNotNull())
-        total = F.coalesce(c, F.lit(0)) if total is None else total + F.coalesce(c, F.lit(0))
-    return F.when(any_value, total)
-
-
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-# Trailing sums are taken on exact integer cents. A K-row trailing sum is a difference of
-# running sums, cum(i) - cum(i - K): the running sum is an incremental frame and LAG an
+# Trailing sums keep every digit of the spend. On DECIMAL spend (up to 6 digits after the
+# point) and integers they are exact, and a K-row trailing sum is a difference of running sums, cum(i) - cum(i - K): the running sum is an incremental frame and LAG an
 # offset, both O(1) per row, whereas a sliding ROWS frame re-adds the whole frame for every
 # row (O(K) per row and expression). A running count of non-NULL values keeps SUM's rule
-# that a frame of NULLs sums to NULL. The calendar-day form (RANGE) uses the frame itself.
+# that a frame of NULLs sums to NULL. DOUBLE spend is summed over the sliding frame itself, as
+# differences of running sums would lose small amounts; so is the calendar-day form (RANGE).
 # Everything is written as SQL expression strings: dozens of per-channel expressions cost
 # one JVM call each.
 
-def _cents_sql(col: str) -> str:
-    return f"CAST(rint(CAST({col} AS DOUBLE) * 100D) AS BIGINT)"
+EXACT_SCALE = 6
 
 
-def _money_sql(cents: str) -> str:
-    return f"CAST(CAST({cents} AS DECIMAL(38,0)) / 100 AS DECIMAL(38,2))"
+def exact_type(df: DataFrame, cols: Sequence[str]) -> str:
+    """SQL type that holds sums of the columns: DECIMAL(38, scale) if that is exact, else DOUBLE."""
+    kinds = [df.schema[c].dataType for c in cols]
+    scales = [k.scale if isinstance(k, T.DecimalType) else 0 if isinstance(k, T.IntegralType) else None for k in kinds]
+    if any(s is None or s > EXACT_SCALE for s in scales):
+        return "DOUBLE"
+    return f"DECIMAL(38,{max(scales)})"
 
 
 def _prefix_sql(v: str, part: str) -> list[str]:
@@ -76,11 +68,8 @@ def _prefix_sql(v: str, part: str) -> list[str]:
     return [f"SUM(COALESCE({_q(v)}, 0)) {w} AS {_q('_cum' + v)}", f"COUNT({_q(v)}) {w} AS {_q('_n' + v)}"]
 
 
-TRAILING = "prefix"  # "prefix": cum(i) - cum(i-K); "frame": sliding ROWS frame
-
-
-def _trailing_sql(v: str, k: int, part: str, frame: str) -> str:
-    if frame == "rows" and TRAILING == "frame" and k > 1:
+def _trailing_sql(v: str, k: int, part: str, frame: str, exact: bool) -> str:
+    if frame == "rows" and not exact and k > 1:
         return f"SUM({_q(v)}) OVER ({part}ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
     if frame == "days":
         return f"SUM({_q(v)}) OVER ({part}ORDER BY unix_date(date) RANGE BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
@@ -93,10 +82,9 @@ def _trailing_sql(v: str, k: int, part: str, frame: str) -> str:
 
 
 def _attributed_sql(rolling: str, total: str, revenue: str) -> str:
-    """revenue * rolling / total when the day's total is positive, else 0 (cents in, DOUBLE out;
-    cents / 100 is the correctly rounded DOUBLE of the DECIMAL amount)."""
+    """revenue * rolling / total when the day's total is positive, else 0, in DOUBLE."""
     return (f"CASE WHEN {total} > 0 THEN CAST({revenue} AS DOUBLE) * "
-            f"((CAST({rolling} AS DOUBLE) / 100D) / (CAST({total} AS DOUBLE) / 100D)) ELSE 0D END")
+            f"(CAST({rolling} AS DOUBLE) / CAST({total} AS DOUBLE)) ELSE 0D END")
 
 
 def _partition(cols: Sequence[str]) -> str:
@@ -104,10 +92,8 @@ def _partition(cols: Sequence[str]) -> str:
 
 
 def _fact_columns(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Final fact columns; the cents-to-DECIMAL conversions sit in a projection, so Catalyst
-    drops them when a consumer does not read the rolling amounts."""
     return df.selectExpr(*[_q(k) for k in keys], "date", "channel", "spend", "k",
-                         f"{_money_sql('_rc')} AS rolling_spend", f"{_money_sql('_tc')} AS total_rolling_spend",
+                         "_rc AS rolling_spend", "_tc AS total_rolling_spend",
                          "revenue", "attributed_revenue")
 
 
@@ -115,10 +101,12 @@ def _fact_long(spend_long: DataFrame, revenue: DataFrame, wins: list[int], keys:
                frame: str = "rows") -> DataFrame:
     kq = [_q(k) for k in keys]
     part = _partition([*keys, "channel"])
-    step = spend_long.selectExpr(*kq, "date", "channel", "spend", f"{_cents_sql('spend')} AS _v")
-    if frame == "rows" and wins[-1] > 1 and TRAILING == "prefix":
+    kind = exact_type(spend_long, ["spend"])
+    exact = kind != "DOUBLE"
+    step = spend_long.selectExpr(*kq, "date", "channel", "spend", f"CAST(spend AS {kind}) AS _v")
+    if frame == "rows" and wins[-1] > 1 and exact:
         step = step.selectExpr("*", *_prefix_sql("_v", part))
-    rolled = step.selectExpr("*", *[f"{_trailing_sql('_v', k, part, frame)} AS _r{k}" for k in wins])
+    rolled = step.selectExpr("*", *[f"{_trailing_sql('_v', k, part, frame, exact)} AS _r{k}" for k in wins])
     day = _partition([*keys, "date"])
     totals = rolled.selectExpr("*", *[f"SUM(_r{k}) OVER ({day}) AS _t{k}" for k in wins])
     joined = totals.join(revenue.select(*keys, "date", "revenue"), [*keys, "date"])
@@ -136,11 +124,13 @@ def _fact_wide(spend_wide: DataFrame, revenue: DataFrame, wins: list[int], keys:
     kq = [_q(k) for k in keys]
     part = _partition(keys)
     v = {c: f"_v_{c}" for c in channels}
+    kind = exact_type(spend_wide, list(cols.values()))
+    exact = kind != "DOUBLE"
     step = spend_wide.selectExpr(*kq, "date", *[_q(col) for col in cols.values()],
-                                 *[f"{_cents_sql(_q(col))} AS {_q(v[c])}" for c, col in cols.items()])
-    if frame == "rows" and wins[-1] > 1 and TRAILING == "prefix":
+                                 *[f"CAST({_q(col)} AS {kind}) AS {_q(v[c])}" for c, col in cols.items()])
+    if frame == "rows" and wins[-1] > 1 and exact:
         step = step.selectExpr("*", *[e for c in channels for e in _prefix_sql(v[c], part)])
-    rolled = step.selectExpr("*", *[f"{_trailing_sql(v[c], k, part, frame)} AS {_q(f'_r{k}_{c}')}"
+    rolled = step.selectExpr("*", *[f"{_trailing_sql(v[c], k, part, frame, exact)} AS {_q(f'_r{k}_{c}')}"
                                     for k in wins for c in channels])
     totals = []
     for k in wins:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendlens.functions.columns import RANK_DIGITS_RATIO, guarded_ratio, mean, rank_key
 from spendlens.functions.stats import population_stddev
-from spendlens.operators.attribution import _attributed_sql, _cents_sql, _partition, _q, is_long
+from spendlens.operators.attribution import _attributed_sql, exact_type, _partition, _q, is_long
 from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
 
 
@@ -27,9 +27,12 @@ def spend_consistency(spend_long: DataFrame, keys: Sequence[str] = ()) -> DataFr
             .orderBy(*keys, F.col("cv_spend").asc_nulls_first()))
 
 
-def _trailing_cents(df: DataFrame, cols: Sequence[str], part: str, k: int) -> DataFrame:
-    """Add ``_roll_<col>``: the exact trailing K-row sum of each non-NULL cents column, as a
-    running sum minus the running sum K rows back (O(1) per row, see attribution)."""
+def _trailing(df: DataFrame, cols: Sequence[str], part: str, k: int, exact: bool) -> DataFrame:
+    """Add ``_roll_<col>``: the trailing K-row sum of each non-NULL column, if exact as a running sum
+    minus the running sum K rows back (O(1) per row, see attribution)."""
+    if not exact:
+        frame = f"OVER ({part}ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+        return df.selectExpr("*", *[f"SUM({_q(c)}) {frame} AS {_q('_roll_' + c)}" for c in cols])
     w_cum = f"OVER ({part}ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     w_lag = f"OVER ({part}ORDER BY date)"
     cum = df.selectExpr("*", *[f"SUM({_q(c)}) {w_cum} AS {_q('_cum_' + c)}" for c in cols])
@@ -45,11 +48,12 @@ def _share_long(spend_long: DataFrame, revenue: DataFrame, k: int, keys: Sequenc
                 label_suffix: str) -> DataFrame:
     kq = [_q(x) for x in keys]
     daily = (spend_long.groupBy(*keys, "date", F.concat(F.col("channel"), F.lit(label_suffix)).alias("channel"))
-             .agg(F.coalesce(F.sum("spend"), F.lit(0).cast("decimal(18,2)")).alias("spend"))
-             .selectExpr("*", f"{_cents_sql('spend')} AS _c"))
-    roll_c = _trailing_cents(daily, ["_c"], _partition([*keys, "channel"]), k)
+             .agg(F.coalesce(F.sum("spend"), F.lit(0)).alias("spend")))
+    kind = exact_type(spend_long, ["spend"])
+    daily = daily.selectExpr("*", f"CAST(spend AS {kind}) AS _c")
+    roll_c = _trailing(daily, ["_c"], _partition([*keys, "channel"]), k, kind != "DOUBLE")
     total = daily.groupBy(*keys, "date").agg(F.sum("_c").alias("_ct"))
-    roll_t = _trailing_cents(total, ["_ct"], _partition(keys), k).selectExpr(*kq, "date", "_roll__ct")
+    roll_t = _trailing(total, ["_ct"], _partition(keys), k, kind != "DOUBLE").selectExpr(*kq, "date", "_roll__ct")
     rev = revenue.select(*keys, "date", "revenue")
     return (roll_c.join(roll_t, [*keys, "date"]).join(rev, [*keys, "date"], "left")
             .selectExpr(*kq, "channel", "spend", "_roll__c AS roll_channel", "_roll__ct AS roll_total",
@@ -59,13 +63,13 @@ def _share_long(spend_long: DataFrame, revenue: DataFrame, k: int, keys: Sequenc
 def _share_wide(spend_wide: DataFrame, revenue: DataFrame, k: int, keys: Sequence[str], channels: Sequence[str],
                 suffix: str, label_suffix: str) -> DataFrame:
     cols = {c: f"{c}{suffix}" for c in channels}
-    kq = [_q(x) for x in keys]
+    kq, kind = [_q(x) for x in keys], exact_type(spend_wide, list(cols.values()))
     base = spend_wide.selectExpr(
         *kq, "date",
-        *[f"COALESCE({_q(col)}, CAST(0 AS DECIMAL(18,2))) AS {_q(c)}" for c, col in cols.items()],
-        *[f"{_cents_sql(f'COALESCE({_q(col)}, 0)')} AS {_q('_c_' + c)}" for c, col in cols.items()])
+        *[f"COALESCE({_q(col)}, 0) AS {_q(c)}" for c, col in cols.items()],
+        *[f"CAST(COALESCE({_q(col)}, 0) AS {kind}) AS {_q('_c_' + c)}" for c, col in cols.items()])
     base = base.selectExpr("*", f"{' + '.join(_q('_c_' + c) for c in channels)} AS _c_total")
-    rolled = _trailing_cents(base, [f"_c_{c}" for c in channels] + ["_c_total"], _partition(keys), k)
+    rolled = _trailing(base, [f"_c_{c}" for c in channels] + ["_c_total"], _partition(keys), k, kind != "DOUBLE")
     joined = rolled.join(revenue.select(*keys, "date", "revenue"), [*keys, "date"], "left")
     rows = ", ".join(f"named_struct('channel', '{c}{label_suffix}', 'spend', {_q(c)}, "
                      f"'roll_channel', {_q('_roll__c_' + c)})" for c in channels)
@@ -86,7 +90,6 @@ def channel_roas_summary(spend: DataFrame, revenue: DataFrame, k: int = 30, keys
         share = _share_long(spend, revenue, k, keys, label_suffix)
     else:
         share = _share_wide(spend, revenue, k, keys, channels, suffix, label_suffix)
-    # rolling amounts are exact cents here
     share = share.withColumn("attributed_revenue_30d",
                              F.expr(_attributed_sql("roll_channel", "roll_total", "revenue")))
     s = share.groupBy(*keys, "channel").agg(F.sum("spend").alias("total_spend"),

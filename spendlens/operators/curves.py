@@ -1,8 +1,7 @@
 """Spend-response curves over same-day attribution: incrementality proxy (A24), returns by
 spend quartile (A25), efficiency curve by spend decile (A28).
 
-Rows are ranked per channel by (spend, date) with the distributed ranker, so no channel
-is ever held by one task; bins follow the floor rule on integers.
+Daily rows are ranked per channel by (spend, date); bins follow the floor rule on integers.
 """
 
 from __future__ import annotations
@@ -17,19 +16,17 @@ from spendlens.operators.attribution import attributed_fact
 from spendlens.operators.ranking import equal_count_bin, in_lowest_fraction, rank_within
 
 
-def ranked_same_day(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = (),
-                    num_partitions: int | None = None) -> DataFrame:
+def ranked_same_day(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Same-day attributed rows with rn (by spend, then date) and n per (keys, channel)."""
     fact = attributed_fact(spend, revenue, (1,), keys).select(*keys, "date", "channel", "spend",
                                                                     "attributed_revenue")
-    return rank_within(fact, [*keys, "channel"], ["spend", "date"], num_partitions=num_partitions)
+    return rank_within(fact, [*keys, "channel"], ["spend", "date"])
 
 
-def incrementality(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = (), lowest_parts: int = 10,
-                   num_partitions: int | None = None) -> DataFrame:
+def incrementality(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = (), lowest_parts: int = 10) -> DataFrame:
     """(channel, baseline_attr_rev, higher_spend_attr_rev, abs_lift, pct_lift): mean attributed
     revenue on the lowest-spend tenth of days (rn <= n / 10) versus the rest."""
-    r = ranked_same_day(spend, revenue, keys, num_partitions)
+    r = ranked_same_day(spend, revenue, keys)
     low = in_lowest_fraction("rn", "n", lowest_parts)
     g = r.groupBy(*keys, "channel").agg(
         mean(F.when(low, F.col("attributed_revenue"))).alias("baseline_attr_rev"),
@@ -40,25 +37,23 @@ def incrementality(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = (
             .orderBy(*keys, "channel"))
 
 
-def _binned(spend, revenue, keys, bins, bin_col, num_partitions) -> DataFrame:
-    r = ranked_same_day(spend, revenue, keys, num_partitions)
+def _binned(spend, revenue, keys, bins, bin_col) -> DataFrame:
+    r = ranked_same_day(spend, revenue, keys)
     return r.withColumn(bin_col, equal_count_bin("rn", "n", bins))
 
 
-def return_by_quartile(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = (),
-                       num_partitions: int | None = None) -> DataFrame:
+def return_by_quartile(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(channel, quartile, avg_spend, avg_attr_revenue, avg_roas); avg_roas is a ratio of means."""
-    b = _binned(spend, revenue, keys, 4, "quartile", num_partitions)
+    b = _binned(spend, revenue, keys, 4, "quartile")
     return (b.groupBy(*keys, "channel", "quartile")
             .agg(mean("spend").alias("avg_spend"), mean("attributed_revenue").alias("avg_attr_revenue"))
             .withColumn("avg_roas", guarded_ratio("avg_attr_revenue", "avg_spend"))
             .orderBy(*keys, "channel", "quartile"))
 
 
-def efficiency_curve(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = (), bins: int = 10,
-                     num_partitions: int | None = None) -> DataFrame:
+def efficiency_curve(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = (), bins: int = 10) -> DataFrame:
     """(channel, decile, avg_spend, avg_attr_rev, avg_roas); a zero mean spend gives NULL ROAS."""
-    b = _binned(spend, revenue, keys, bins, "decile", num_partitions)
+    b = _binned(spend, revenue, keys, bins, "decile")
     return (b.groupBy(*keys, "channel", "decile")
             .agg(mean("spend").alias("avg_spend"), mean("attributed_revenue").alias("avg_attr_rev"))
             .withColumn("avg_roas", F.try_divide(F.col("avg_attr_rev"), F.col("avg_spend")))

@@ -1,21 +1,7 @@
-"""Exact per-group row numbers and equal-count bins without one task per group.
+"""Row numbers per group and equal-count bins over daily rows.
 
-``row_number() OVER (PARTITION BY channel ORDER BY spend)`` sends a whole channel to one
-task; with few channels and much data that is a handful of huge tasks. Instead:
-
-1. range-partition on (group, order) with an explicit partition count (AQE leaves such a
-   repartition alone, so partition ids are stable) and sort inside each partition; the
-   range bounds come from a sample, so one huge group spreads over many partitions;
-2. tag each row with ``monotonically_increasing_id`` (partition id in the high bits,
-   position in the low bits);
-3. count rows per (group, partition) - a table of at most partitions + groups rows - and
-   prefix-sum those counts per group in partition order;
-4. row number = rows of the group in earlier partitions + position inside this partition.
-
-The tagged rows are checkpointed (reliably, into ``spark.checkpoint.dir``) before steps 3
-and 4: both read them, and without the lineage cut each would re-plan its own copy of the
-input (column pruning differs), sample its own range bounds and number the rows
-differently. The only shuffles are the range repartition and the small block table.
+The ranked facts hold one row per (entity, channel, date), so a window partition is bounded by the calendar, as those
+of the trailing sums are. Nothing runs before an action.
 """
 
 from __future__ import annotations
@@ -25,61 +11,18 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendlens.session import checkpoint_dir
-
-_POS, _BLK = "_rk_pos", "_rk_blk"
-
-
-def _order(c) -> Column:
-    return F.col(c).asc_nulls_first() if isinstance(c, str) else c
-
-
-# Largest block table (rows) that is broadcast; beyond it the rows are joined by a shuffle.
-MAX_BROADCAST_BLOCKS = 1_000_000
-
 
-def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, rn_col: str = "rn",
-                n_col: str = "n", num_partitions: int | None = None,
-                broadcast_blocks: bool | None = None) -> DataFrame:
+def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], rn_col: str = "rn",
+                n_col: str = "n") -> DataFrame:
     """Add ``rn_col`` (1-based row number in the group by ``order_cols``) and ``n_col`` (group size).
 
-    ``order_cols`` should make the order total within a group (e.g. spend, then date);
-    NULLs sort first, as in the reference engine. The block table has at most
-    partitions + groups rows; unless ``broadcast_blocks`` forces a choice, it is counted
-    (one small job over the checkpointed rows) and broadcast only below
-    ``MAX_BROADCAST_BLOCKS`` rows.
+    ``order_cols`` should make the order total within a group (e.g. spend, then date); NULLs sort first, as in the
+    reference engine.
     """
-    group_cols = list(group_cols)
-    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sort_spec = [_order(c) for c in (*group_cols, *order_cols)]
-    checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(parts, *sort_spec)
-              .sortWithinPartitions(*sort_spec)
-              .withColumn(_POS, F.monotonically_increasing_id())
-              .persist())
-    # The eager checkpoint runs a count, then writes; the persisted copy spares the write
-    # a recomputation and is dropped as soon as the files are there.
-    tagged = ranged.checkpoint(eager=True).withColumn(_BLK, F.shiftright(F.col(_POS), 33))
-    ranged.unpersist()
-    g_alias = [f"_rk_g{i}" for i in range(len(group_cols))]
-    blocks = (tagged.groupBy(*[F.col(c).alias(a) for c, a in zip(group_cols, g_alias)], F.col(_BLK).alias("_rk_b"))
-              .agg(F.count(F.lit(1)).alias("_rk_cnt"), F.min(_POS).alias("_rk_first")))
-    per_group = Window.partitionBy(*g_alias)
-    blocks = blocks.select(
-        *g_alias, "_rk_b", "_rk_first",
-        (F.sum("_rk_cnt").over(per_group.orderBy("_rk_b")
-                               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-         - F.col("_rk_cnt")).alias("_rk_before"),
-        F.sum("_rk_cnt").over(per_group).alias(n_col),
-    )
-    if broadcast_blocks is None:
-        broadcast_blocks = blocks.count() <= MAX_BROADCAST_BLOCKS
-    if broadcast_blocks:
-        blocks = F.broadcast(blocks)
-    cond = [tagged[c].eqNullSafe(blocks[a]) for c, a in zip(group_cols, g_alias)] + [tagged[_BLK] == blocks["_rk_b"]]
-    joined = tagged.join(blocks, cond)
-    rn = F.col("_rk_before") + (F.col(_POS) - F.col("_rk_first")) + 1
-    return joined.select(*df.columns, rn.alias(rn_col), F.col(n_col))
+    group = Window.partitionBy(*group_cols)
+    order = [F.col(c).asc_nulls_first() for c in order_cols]
+    return df.withColumn(rn_col, F.row_number().over(group.orderBy(*order))) \
+        .withColumn(n_col, F.count(F.lit(1)).over(group))
 
 
 def equal_count_bin(rn: str, n: str, bins: int) -> Column:
@@ -88,7 +31,7 @@ def equal_count_bin(rn: str, n: str, bins: int) -> Column:
     Sizes follow the floor rule (not NTILE): 728 rows in 10 bins give
     73,73,73,73,72,73,73,73,73,72.
     """
-    return F.expr(f"(({rn} - 1) * {int(bins)}) div {n} + 1").cast("bigint")
+    return F.expr(f"((CAST({rn} AS BIGINT) - 1) * {int(bins)}) div {n} + 1").cast("bigint")
 
 
 def in_lowest_fraction(rn: Column | str, n: Column | str, parts: int = 10) -> Column:

@@ -142,7 +142,7 @@ def test_t6_quarter_labels(spark):
 
 def test_w3_tied_spend_ordered_by_date(spark):
     s = long_df(spark, [(i, "a", 7) for i in range(4)])
-    r = rank_within(s, ["channel"], ["spend", "date"], num_partitions=3).orderBy("rn").collect()
+    r = rank_within(s, ["channel"], ["spend", "date"]).orderBy("rn").collect()
     assert [x["date"] for x in r] == [day(i) for i in range(4)]
 
 
@@ -175,7 +175,7 @@ def test_t15_tied_roas_ranks(spark):
 ])
 def test_t3_floor_bins(spark, n, bins, expected):
     df = spark.range(n).select(F.lit("a").alias("g"), F.col("id").alias("v"))
-    r = rank_within(df, ["g"], ["v"], num_partitions=5).withColumn("bin", equal_count_bin("rn", "n", bins))
+    r = rank_within(df, ["g"], ["v"]).withColumn("bin", equal_count_bin("rn", "n", bins))
     sizes = {x["bin"]: x["count"] for x in r.groupBy("bin").count().collect()}
     low = r.where(in_lowest_fraction("rn", "n", 10)).count()
     if expected:
