@@ -1,10 +1,11 @@
 """Run every report over the three daily feeds and export them.
 
     python -m spendlens --spend feeds/spend --revenue feeds/revenue --factors feeds/factors \
-        --out results [--format csv|parquet] [--only attribution_windows,budget_reallocation]
+        --out results [--format csv|parquet] [--only attribution_windows,budget_reallocation] [--keys region]
 
 Feeds are CSV with a header (or parquet with --input-format parquet) in the declared schemas;
-duplicate dates are allowed and resolved by arrival order.
+duplicate dates are allowed and resolved by arrival order. With --keys, the feeds hold these entity columns, and
+every report is made per entity.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ def _parser() -> argparse.ArgumentParser:
     ap.add_argument("--format", default="csv")
     ap.add_argument("--input-format", default="csv")
     ap.add_argument("--only", default="")
+    ap.add_argument("--keys", default="")
     ap.add_argument("--master", default="local[*]")
     return ap
 
@@ -33,9 +35,10 @@ def _parser() -> argparse.ArgumentParser:
 def run(argv, spark) -> list[str]:
     """Export the reports with a given session; returns the report names written."""
     args = _parser().parse_args(argv)
-    feeds = read_feeds(spark, args.spend, args.revenue, args.factors, fmt=args.input_format)
+    keys = [k for k in args.keys.split(",") if k]
+    feeds = read_feeds(spark, args.spend, args.revenue, args.factors, fmt=args.input_format, keys=keys)
     names = {n for n in args.only.split(",") if n} or None
-    written = export_reports(prepare(feeds), args.out, fmt=args.format, names=names)
+    written = export_reports(prepare(feeds, keys), args.out, fmt=args.format, names=names)
     for name in written:
         print(f"wrote {args.out}/{name}")
     return written

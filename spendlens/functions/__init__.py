@@ -1,6 +1,6 @@
-from spendlens.functions.columns import (guarded_ratio, mean, quarter_label, row_total, share_or_zero,
-                                         weekday_abbrev, weekday_sunday0, year_month, year_quarter)
+from spendlens.functions.columns import (guarded_ratio, mean, row_total, share_or_zero,
+                                         weekday_abbrev, year_month, year_quarter)
 from spendlens.functions.stats import pearson, population_stddev
 
-__all__ = ["guarded_ratio", "share_or_zero", "mean", "row_total", "quarter_label", "year_month",
-           "year_quarter", "weekday_abbrev", "weekday_sunday0", "pearson", "population_stddev"]
+__all__ = ["guarded_ratio", "share_or_zero", "mean", "row_total", "year_month",
+           "year_quarter", "weekday_abbrev", "pearson", "population_stddev"]

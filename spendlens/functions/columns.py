@@ -44,20 +44,11 @@ def year_month(d) -> Column:
     return F.date_format(_c(d), "yyyy-MM")
 
 
-def quarter_label(d) -> Column:
-    return F.concat(F.lit("Q"), F.quarter(_c(d)).cast("string"))
-
-
 def year_quarter(d) -> Column:
     d = _c(d)
     return F.concat(F.date_format(d, "yyyy"), F.lit("-Q"), F.quarter(d).cast("string"))
 
 
-def weekday_sunday0(d) -> Column:
-    """Day of week with Sunday = 0 .. Saturday = 6."""
-    return F.dayofweek(_c(d)) - 1
-
-
 def weekday_abbrev(d) -> Column:
     return F.date_format(_c(d), "EEE")
 

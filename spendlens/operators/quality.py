@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlens.functions.columns import row_total
@@ -35,19 +35,18 @@ def null_profile(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence
 def date_gaps(df: DataFrame, date_col: str = "date", keys: Sequence[str] = ()) -> DataFrame:
     """Each date whose previous calendar day is absent (per entity key): (keys, date, previous_date).
 
-    Anti join against the distinct non-NULL dates (a NOT IN would return nothing at all if
-    one date were NULL, and plans as a null-aware broadcast). Repeated dates repeat.
+    Rows are first counted per date, so everything after one partial aggregate of the raw rows is calendar-sized: the
+    date before, by LAG, is the day before or there is a gap; NULL dates are left out, repeated dates repeat, times of
+    day do not count, and a NULL entity is an entity of its own.
     """
     keys = list(keys)
-    rows = (df.where(F.col(date_col).isNotNull())
-            .select(*keys, F.col(date_col).alias("date"), F.date_sub(F.col(date_col), 1).alias("previous_date")))
-    present = (df.select(*keys, F.col(date_col).alias("previous_date"))
-               .where(F.col("previous_date").isNotNull()).distinct())
-    # Without entity keys the distinct dates are bounded by the calendar (one row per day), so
-    # that side is broadcast; with keys it grows with the entities and AQE decides.
-    lookup = present if keys else F.broadcast(present)
-    return (rows.join(lookup, [*keys, "previous_date"], "left_anti")
-            .select(*keys, "date", "previous_date").orderBy(*keys, "date"))
+    days = (df.select(*keys, F.to_date(date_col).alias("date")).where(F.col("date").isNotNull())
+            .groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("_n")))
+    before = F.lag("date").over(Window.partitionBy(*keys).orderBy("date"))
+    gaps = (days.withColumn("previous_date", F.date_sub("date", 1)).withColumn("_before", before)
+            .where(F.col("_before").isNull() | (F.col("_before") < F.col("previous_date"))))
+    repeated = gaps.select(*keys, "date", "previous_date", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))))
+    return repeated.select(*keys, "date", "previous_date").orderBy(*keys, "date")
 
 
 def outliers(df: DataFrame, value_col: str, z: float = 3.0, keys: Sequence[str] = ()) -> DataFrame:
@@ -61,16 +60,17 @@ def outliers(df: DataFrame, value_col: str, z: float = 3.0, keys: Sequence[str]
     x = F.col(value_col).cast("double")
     if keys:
         stats = df.groupBy(*keys).agg(F.avg(x).alias("_mu"), F.stddev_pop(x).alias("_sigma"))
-        joined = df.join(stats, keys)
+        entity = {k: f"_k{i}" for i, k in enumerate(keys)}
+        stats = stats.withColumnsRenamed(entity)
+        joined = df.join(stats, [df[k].eqNullSafe(stats[e]) for k, e in entity.items()])  # a NULL entity is one, too
         dev = F.abs(x - F.col("_mu"))
         return (joined.where(F.col("_sigma").isNotNull() & (dev > F.lit(z) * F.col("_sigma")))
                 .orderBy(*keys, dev.desc()).select(*df.columns))
     stats = df.agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sigma"))
     mu = stats.select("mu").scalar()
     sigma = stats.select("sigma").scalar()
-    dev = F.abs(x - mu)
-    return (df.where(sigma.isNotNull() & (dev > F.lit(z) * sigma))
-            .orderBy(dev.desc()))
+    far = df.withColumn("_dev", F.abs(x - mu)).where(sigma.isNotNull() & (F.col("_dev") > F.lit(z) * sigma))
+    return far.orderBy(F.col("_dev").desc()).drop("_dev")
 
 
 def spend_outliers(spend_wide: DataFrame, z: float = 3.0, value_cols: Sequence[str] | None = None,

@@ -19,14 +19,16 @@ from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
 class Prepared(Lazy):
     """Deduplicated feeds: spend (wide), spend_long, revenue, factors; built on first use.
 
-    ``spend_long`` is derived from ``spend`` (one Expand) unless given.
+    ``spend_long`` is derived from ``spend`` (one Expand) unless given. ``raw`` holds the feeds as they
+    arrived, for the data-quality reports.
     """
 
     _names = ("spend", "spend_long", "revenue", "factors")
 
-    def __init__(self, keys: Sequence[str] = (), channels=CHANNELS, suffix: str = SPEND_SUFFIX, **sources):
+    def __init__(self, keys: Sequence[str] = (), channels=CHANNELS, suffix: str = SPEND_SUFFIX,
+                 raw: Feeds | None = None, **sources):
         super().__init__(**sources)
-        self.keys, self.channels, self.suffix = tuple(keys), tuple(channels), suffix
+        self.keys, self.channels, self.suffix, self.raw = tuple(keys), tuple(channels), suffix, raw
         self._sources.setdefault(
             "spend_long", lambda: unpivot_channels(self.spend, self.channels, self.suffix, self.keys))
 
@@ -36,7 +38,7 @@ def prepare(feeds: Feeds, keys: Sequence[str] = (), order=INGEST_ORD, channels=C
     """Keep the first row per (keys, date) of each feed; the long spend table follows."""
     k = [*keys, "date"]
     return Prepared(
-        keys, channels, suffix,
+        keys, channels, suffix, feeds,
         spend=lambda: keep_first(feeds.spend, k, order).drop(order),
         revenue=lambda: keep_first(feeds.revenue, k, order).drop(order),
         factors=lambda: keep_first(feeds.factors, k, order).drop(order),
@@ -46,7 +48,7 @@ def prepare(feeds: Feeds, keys: Sequence[str] = (), order=INGEST_ORD, channels=C
 def materialize(p: Prepared) -> Prepared:
     """Write the deduplicated feeds to the checkpoint folder and read them back."""
     checkpoint_dir(p.spend.sparkSession)
-    return Prepared(p.keys, p.channels, p.suffix,
+    return Prepared(p.keys, p.channels, p.suffix, p.raw,
                     spend=p.spend.checkpoint(eager=True),
                     revenue=p.revenue.checkpoint(eager=True),
                     factors=p.factors.checkpoint(eager=True))

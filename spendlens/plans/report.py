@@ -1,7 +1,7 @@
 """Run every report of the reference scripts over one set of prepared feeds and export them.
 
 The prepared feeds are materialized once (lineage cut into the checkpoint folder) because
-all reports read them; each report is then a small job over daily rows.
+all reports read them; each report is then a small job over daily rows, per entity if the feeds have keys.
 """
 
 from __future__ import annotations
@@ -13,40 +13,48 @@ from pyspark.sql import DataFrame
 
 from spendlens import operators as ops
 from spendlens.plans.prepared import Prepared, materialize
-from spendlens.sources.feeds import write_result
+from spendlens.sources.feeds import INGEST_ORD, write_result
+
+
+FEEDS = {"spend": "marketing_spend", "revenue": "revenue", "factors": "external_factors"}
 
 
 def reports(p: Prepared) -> dict[str, Callable[[], DataFrame]]:
     """Report name -> builder, in the order the reference runs them."""
-    fact30 = lambda: ops.attributed_fact(p.spend, p.revenue, (30,))
+    k = list(p.keys)
+    raw = p.raw or p
+    raw = {n: getattr(raw, n).drop(INGEST_ORD) for n in FEEDS if hasattr(raw, n)}
+    fact30 = lambda: ops.attributed_fact(p.spend, p.revenue, (30,), keys=k)
     return {
-        "null_profile": lambda: ops.null_profile({"marketing_spend": p.spend, "revenue": p.revenue,
-                                                  "external_factors": p.factors}),
-        "date_gaps": lambda: ops.date_gaps(p.spend),
-        "revenue_outliers": lambda: ops.outliers(p.revenue, "revenue"),
-        "spend_outliers": lambda: ops.spend_outliers(p.spend),
-        "channel_summary": lambda: ops.channel_summary(p.spend_long),
-        "revenue_summary": lambda: ops.revenue_summary(p.revenue),
-        "monthly_totals": lambda: ops.monthly_totals(p.spend, p.revenue),
-        "dow_pattern": lambda: ops.dow_pattern(p.spend, p.revenue),
-        "month_seasonality": lambda: ops.month_seasonality(p.spend, p.revenue, p.factors),
-        "same_day_attribution": lambda: ops.same_day_attribution(p.spend, p.revenue),
-        "attribution_30": lambda: ops.rolling_attribution(p.spend, p.revenue, 30),
-        "attribution_windows": lambda: ops.attribution_windows(p.spend, p.revenue),
-        "top_bottom": lambda: ops.top_bottom(fact30()),
-        "perf_by_month": lambda: ops.perf_by_month(fact30()),
-        "perf_weekend": lambda: ops.perf_by_day_type(fact30(), p.factors),
-        "perf_promo": lambda: ops.perf_by_promo(fact30(), p.factors),
-        "corr_spend_revenue": lambda: ops.corr_spend_revenue(p.spend, p.revenue),
-        "revenue_lift": lambda: ops.revenue_lift(p.revenue, p.factors),
-        "corr_seasonality": lambda: ops.corr_revenue_seasonality(p.revenue, p.factors),
-        "seasonality_buckets": lambda: ops.seasonality_buckets(p.revenue, p.factors),
-        "incrementality": lambda: ops.incrementality(p.spend, p.revenue),
-        "return_by_quartile": lambda: ops.return_by_quartile(p.spend, p.revenue),
-        "cohort_quarter": lambda: ops.cohort_by_quarter(fact30()),
-        "spend_consistency": lambda: ops.spend_consistency(p.spend_long),
-        "efficiency_curve": lambda: ops.efficiency_curve(p.spend, p.revenue),
-        "budget_reallocation": lambda: ops.budget_reallocation(p.spend, p.revenue),
+        # data quality looks at the rows as they arrived
+        "null_profile": lambda: ops.null_profile({FEEDS[n]: df for n, df in raw.items()}),
+        "date_gaps": lambda: ops.date_gaps(raw["spend"], keys=k),
+        "revenue_outliers": lambda: ops.outliers(raw["revenue"], "revenue", keys=k),
+        "spend_outliers": lambda: ops.spend_outliers(raw["spend"], keys=k),
+        **{f"duplicate_dates_{n}": (lambda df=df: ops.duplicate_keys(df, [*k, "date"]).orderBy(*k, "date"))
+           for n, df in raw.items()},
+        "channel_summary": lambda: ops.channel_summary(p.spend_long, keys=k),
+        "revenue_summary": lambda: ops.revenue_summary(p.revenue, keys=k),
+        "monthly_totals": lambda: ops.monthly_totals(p.spend, p.revenue, keys=k),
+        "dow_pattern": lambda: ops.dow_pattern(p.spend, p.revenue, keys=k),
+        "month_seasonality": lambda: ops.month_seasonality(p.spend, p.revenue, p.factors, keys=k),
+        "same_day_attribution": lambda: ops.same_day_attribution(p.spend, p.revenue, keys=k),
+        "attribution_30": lambda: ops.rolling_attribution(p.spend, p.revenue, 30, keys=k),
+        "attribution_windows": lambda: ops.attribution_windows(p.spend, p.revenue, keys=k),
+        "top_bottom": lambda: ops.top_bottom(fact30(), keys=k),
+        "perf_by_month": lambda: ops.perf_by_month(fact30(), keys=k),
+        "perf_weekend": lambda: ops.perf_by_day_type(fact30(), p.factors, keys=k),
+        "perf_promo": lambda: ops.perf_by_promo(fact30(), p.factors, keys=k),
+        "corr_spend_revenue": lambda: ops.corr_spend_revenue(p.spend, p.revenue, keys=k),
+        "revenue_lift": lambda: ops.revenue_lift(p.revenue, p.factors, keys=k),
+        "corr_seasonality": lambda: ops.corr_revenue_seasonality(p.revenue, p.factors, keys=k),
+        "seasonality_buckets": lambda: ops.seasonality_buckets(p.revenue, p.factors, keys=k),
+        "incrementality": lambda: ops.incrementality(p.spend, p.revenue, keys=k),
+        "return_by_quartile": lambda: ops.return_by_quartile(p.spend, p.revenue, keys=k),
+        "cohort_quarter": lambda: ops.cohort_by_quarter(fact30(), keys=k),
+        "spend_consistency": lambda: ops.spend_consistency(p.spend_long, keys=k),
+        "efficiency_curve": lambda: ops.efficiency_curve(p.spend, p.revenue, keys=k),
+        "budget_reallocation": lambda: ops.budget_reallocation(p.spend, p.revenue, keys=k),
     }
 
 

@@ -17,7 +17,7 @@ _TABLES = ("spend", "revenue", "factors")
 def save_prepared(p: Prepared, root: str, mode: str = "overwrite") -> None:
     for name in _TABLES:
         (getattr(p, name).withColumn("year_month", F.date_format("date", "yyyy-MM"))
-         .write.mode(mode).partitionBy("year_month").parquet(os.path.join(root, name)))
+         .repartition("year_month").write.mode(mode).partitionBy("year_month").parquet(os.path.join(root, name)))
 
 
 def load_prepared(spark: SparkSession, root: str, start: dt.date | str | None = None,

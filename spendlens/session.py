@@ -56,25 +56,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="spendlens-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
-
-
-def scale_conf(input_bytes: int, total_cores: int, target_split_mb: int = 256,
-               target_shuffle_mb: int = 200) -> dict[str, str]:
-    """Session settings sized for a cluster run over ``input_bytes`` of raw tables.
-
-    Scan splits of ``target_split_mb`` keep per-task input within executor memory; the
-    shuffle partition count starts at 3 waves of tasks (AQE coalesces small partitions and
-    splits skewed ones at runtime). After partial aggregation the shuffles of this library
-    carry daily rows, so the scan split size is the setting that matters at scale.
-    """
-    mb = 1024 * 1024
-    shuffle = max(3 * total_cores, min(input_bytes // (target_shuffle_mb * mb), 20 * total_cores))
-    return {
-        "spark.sql.files.maxPartitionBytes": str(target_split_mb * mb),
-        "spark.sql.shuffle.partitions": str(int(shuffle)),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_shuffle_mb * mb),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
-    }

@@ -10,12 +10,13 @@ feed drops should be named in arrival order (e.g. date-stamped).
 
 from __future__ import annotations
 
-from typing import Callable, Union
+from typing import Callable, Sequence, Union
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spendlens.sources.schemas import SCHEMAS
+from spendlens.sources.schemas import MONEY, SCHEMAS
 
 INGEST_ORD = "ingest_ord"
 
@@ -68,12 +69,27 @@ def _csv_order() -> Column:
     )
 
 
-def read_feed(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> DataFrame:
-    """Read one feed with its declared schema (no inference) and an ``ingest_ord`` column."""
-    schema = SCHEMAS[name]
+def _exact_money(name: str) -> Column:
+    """A money column read as text, as the declared DECIMAL; a value that it cannot hold fails the job."""
+    wide = F.col(name).cast("decimal(38,14)")
+    money = F.col(name).cast(MONEY)
+    return F.when(F.col(name).isNotNull() & ~wide.eqNullSafe(money.cast("decimal(38,14)")),
+                  F.raise_error(F.concat(F.lit(f"{name} does not fit {MONEY.simpleString()}: "), F.col(name)))) \
+        .otherwise(money).alias(name)
+
+
+def read_feed(spark: SparkSession, path: str, name: str, fmt: str = "csv", keys: Sequence[str] = ()) -> DataFrame:
+    """Read one feed with its declared schema (no inference) and an ``ingest_ord`` column.
+
+    ``keys`` are further text columns that name an entity.
+    """
+    declared = SCHEMAS[name]
+    schema = T.StructType([T.StructField(k, T.StringType()) for k in keys] + list(declared.fields))
     if fmt == "csv":
-        df = (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+        text = T.StructType([T.StructField(f.name, T.StringType() if f.dataType == MONEY else f.dataType) for f in schema])
+        df = (spark.read.schema(text).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
               .option("dateFormat", "yyyy-MM-dd").csv(path))
+        df = df.select(*[_exact_money(f.name) if f.dataType == MONEY else f.name for f in schema], "_metadata")
         order = _csv_order()
     elif fmt == "parquet":
         df = spark.read.schema(schema).parquet(path)
@@ -83,20 +99,23 @@ def read_feed(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> Da
     return df.select(*schema.fieldNames(), order.alias(INGEST_ORD))
 
 
-def read_feeds(spark: SparkSession, spend: str, revenue: str, factors: str, fmt: str = "csv") -> Feeds:
+def read_feeds(spark: SparkSession, spend: str, revenue: str, factors: str, fmt: str = "csv",
+               keys: Sequence[str] = ()) -> Feeds:
     return Feeds(
-        spend=read_feed(spark, spend, "marketing_spend", fmt),
-        revenue=read_feed(spark, revenue, "revenue", fmt),
-        factors=read_feed(spark, factors, "external_factors", fmt),
+        spend=read_feed(spark, spend, "marketing_spend", fmt, keys),
+        revenue=read_feed(spark, revenue, "revenue", fmt, keys),
+        factors=read_feed(spark, factors, "external_factors", fmt, keys),
     )
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
-                 single_file: bool = False) -> None:
-    """Export a result (replace-if-exists). ``single_file`` is for small, bounded reports only."""
+                 single_file: bool = False, quote_all: bool = False) -> None:
+    """Export a result (replace-if-exists). ``single_file`` is for small, bounded reports only; ``quote_all`` puts
+    every CSV field and the header in quotes.
+    """
     out = df.coalesce(1) if single_file else df
     writer = out.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).option("quoteAll", False).csv(path)
+        writer.option("header", True).option("quoteAll", quote_all).csv(path)
     else:
         writer.format(fmt).save(path)

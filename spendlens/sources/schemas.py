@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 CHANNELS = ("paid_search", "paid_social", "display", "email", "affiliate", "tv")
 SPEND_SUFFIX = "_spend"
 
-# Money is exact: summed in DECIMAL, divided in DOUBLE.
-MONEY = T.DecimalType(18, 2)
+# Money is exact: summed in DECIMAL, divided in DOUBLE. Six digits after the point hold amounts below a cent.
+MONEY = T.DecimalType(24, 6)
 
 
 def spend_columns(channels=CHANNELS, suffix: str = SPEND_SUFFIX) -> list[str]:

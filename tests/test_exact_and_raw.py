@@ -1,0 +1,96 @@
+"""Amounts below a cent, data quality on raw rows, keyed report suites, row order."""
+
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF001
+from helpers import day, factors_df, long_df, revenue_df, spend_df
+from spendlens import operators as ops
+from spendlens.plans.prepared import prepare
+from spendlens.plans.report import reports
+from spendlens.sources.driver_tables import region_feeds
+from spendlens.sources.feeds import Feeds, read_feed
+
+
+def raw_feeds(spark):
+    with_ord = lambda df: df.withColumn("ingest_ord", F.monotonically_increasing_id())
+    spend = spend_df(spark, [(0, [1, 2, 3, 4, 5, 6]), (0, [None] * 6), (2, [1] * 6), (2, [2] * 6), (3, [9] * 6)])
+    spend = spend.union(spend.limit(1).withColumn("date", F.lit(None).cast("date")))
+    return Feeds(spend=with_ord(spend), revenue=with_ord(revenue_df(spark, [(0, 5), (1, 6), (1, 7), (3, 8)])),
+                 factors=with_ord(factors_df(spark, [(0, 0, 0, 1, 1.0), (1, 1, 0, 0, 1.0), (3, 0, 1, 0, 1.1)])))
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(18,4)", "decimal(24,6)"])
+@pytest.mark.parametrize("k", [1, 7])
+def test_spend_below_a_cent(spark, kind, k):
+    rows = [(day(0), "a", Decimal("0.004")), (day(0), "b", Decimal("0.012"))]
+    spend = spark.createDataFrame(rows, "date date, channel string, spend decimal(24,6)") \
+        .withColumn("spend", F.col("spend").cast(kind))
+    got = {r.channel: r.total_revenue_attributed_k for r in
+           ops.rolling_attribution(spend, revenue_df(spark, [(0, 100)]), k).collect()}
+    assert got == pytest.approx({"a": 25.0, "b": 75.0})
+    wide = spend.groupBy("date").agg(*[F.sum(F.when(F.col("channel") == c, F.col("spend"))).alias(f"{c}_spend") for c in "ab"])
+    fact = ops.attributed_fact(wide, revenue_df(spark, [(0, 100)]), (k,), channels=["a", "b"]).collect()
+    assert {r.channel: r.attributed_revenue for r in fact} == pytest.approx({"a": 25.0, "b": 75.0})
+
+
+def test_csv_money_keeps_its_digits_or_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,revenue,transactions,new_customers\n2023-01-01,0.004,1,1\n2023-01-02,,1,0\n")
+    rows = read_feed(spark, str(tmp_path), "revenue").orderBy("date").collect()
+    assert [r.revenue for r in rows] == [Decimal("0.004"), None]
+    (tmp_path / "a.csv").write_text("date,revenue,transactions,new_customers\n2023-01-01,0.00000004,1,1\n")
+    with pytest.raises(Exception, match="does not fit"):
+        read_feed(spark, str(tmp_path), "revenue").collect()
+
+
+def test_suite_checks_raw_rows(spark):
+    feeds = raw_feeds(spark)
+    suite = reports(prepare(feeds))
+    drop = lambda df: df.drop("ingest_ord")
+    missing = {(r.table_name, r.column_name): (r.missing_values, r.total_rows) for r in suite["null_profile"]().collect()}
+    assert missing["marketing_spend", "date"] == (1, 6) and missing["marketing_spend", "tv_spend"] == (1, 6)
+    for name, direct in (("date_gaps", ops.date_gaps(drop(feeds.spend))),
+                         ("duplicate_dates_spend", ops.duplicate_keys(drop(feeds.spend), "date")),
+                         ("revenue_outliers", ops.outliers(drop(feeds.revenue), "revenue"))):
+        assert sorted(map(str, suite[name]().collect())) == sorted(map(str, direct.collect())), name
+    assert [(r.date, r.previous_date) for r in suite["date_gaps"]().collect()] == \
+        [(day(0), day(-1))] * 2 + [(day(2), day(1))] * 2
+    assert [r.num_occurrences for r in suite["duplicate_dates_revenue"]().collect()] == [2]
+    assert suite["duplicate_dates_factors"]().collect() == []
+
+
+def test_suite_over_entities_equals_keyed_operators(spark):
+    p = prepare(region_feeds(spark, SF001), keys=["region"])
+    suite = reports(p)
+    for name, direct in (("attribution_30", ops.rolling_attribution(p.spend, p.revenue, 30, keys=["region"])),
+                         ("budget_reallocation", ops.budget_reallocation(p.spend, p.revenue, keys=["region"]))):
+        got = suite[name]().collect()
+        assert "region" in got[0].__fields__ and len(got) == len(direct.collect())
+        assert sum(r.total_spend for r in got) == pytest.approx(float(sum(r.total_spend for r in direct.collect())), abs=1) \
+            if name != "attribution_30" else sum(r.total_spend for r in got) == Decimal("30273212.76")
+
+
+def test_gaps_ignore_the_time_of_day_and_know_null_entities(spark):
+    at = [dt.datetime(2023, 1, 1, 5), dt.datetime(2023, 1, 2, 7), dt.datetime(2023, 1, 4, 1)]
+    df = spark.createDataFrame([(t,) for t in at], "date timestamp")
+    assert [r.date for r in ops.date_gaps(df).collect()] == [dt.date(2023, 1, 1), dt.date(2023, 1, 4)]
+    rows = [(None, day(0)), (None, day(1)), ("x", day(1))]
+    keyed = ops.date_gaps(spark.createDataFrame(rows, "e string, date date"), keys=["e"]).collect()
+    assert [(r.e, r.date) for r in keyed] == [(None, day(0)), ("x", day(1))]
+    values = [(None, float(v)) for v in [1] * 20 + [500]] + [("x", 1.0)] * 3
+    out = ops.outliers(spark.createDataFrame(values, "e string, v double"), "v", keys=["e"]).collect()
+    assert [(r.e, r.v) for r in out] == [(None, 500.0)]
+
+
+def test_row_order(spark):
+    spend = long_df(spark, [(i, c, v) for i in range(14) for c, v in (("a", 1), ("b", 3), ("c", 2))])
+    revenue = revenue_df(spark, [(i, 10 + i) for i in range(14)])
+    rows = ops.same_day_attribution(spend, revenue).collect()
+    assert [r.channel for r in rows] == ["b", "c", "a"]
+    roas = [r.roas_k for r in ops.rolling_attribution(spend, revenue, 7).collect()]
+    assert roas == sorted(roas, reverse=True)
+    far = revenue_df(spark, [(i, v) for i, v in enumerate([10] * 40 + [900, 1000])])
+    assert [r.revenue for r in ops.outliers(far, "revenue").collect()] == [1000, 900]

@@ -48,7 +48,7 @@ def test_export_reports(spark):
     assert sorted(names) == ["attribution_windows", "budget_reallocation"]
     df = spark.read.option("header", True).csv(os.path.join(out, "attribution_windows"))
     assert df.count() == 18
-    assert len(reports(p)) == 26
+    assert len(reports(p)) == 29
 
 
 def test_keep_first_limits_before_the_shuffle(spark):
