@@ -22,6 +22,7 @@ meet in the first rounds (no more pairs than rows) and rows that merely share it
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -158,11 +159,11 @@ def _reachable(t: tuple[int, int], a: str, b: str) -> Column:
 
 def _linked(pairs: DataFrame, texts: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose whole rows overlap enough; only rows of pairs are made again and shuffled."""
-    keys = sketch.of_column(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key")
+    keys = sketch.of_column(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
     sets = _sets_of(texts, keys, n)
     left, right = sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), \
         sets.select(F.col("key").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ga", "gb")))
+    both = pairs.select("a", "b").join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ga", "gb")))
     union = F.size("ga") + F.size("gb") - F.col("common")
     return both.where(F.col("common") * t[1] >= union * t[0]).select("a", "b")
 
@@ -210,23 +211,47 @@ def similar_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: i
         .sortWithinPartitions("gram", "salt", "key")
     entries = stored(_shared_columns(blocks), "entries")
 
-    links, left = None, entries.withColumn("root", F.col("key"))
+    links, left, roots = [], entries.withColumn("root", F.col("key")), None
     for turn in range(STAR_ROUNDS):
-        found = _linked(stored(_star_pairs(left, turn, threshold), "pairs"), texts, n, threshold)
-        links = stored(found if links is None else links.union(found), "links")
-        labelled = entries.join(components(links).withColumnRenamed("node", "key"), "key", "left") \
-            .withColumn("root", F.coalesce("root", "key"))
+        pairs = stored(_star_pairs(left, turn, threshold), "pairs")
+        found = stored(_linked(pairs, texts, n, threshold).join(pairs, ["a", "b"]).distinct(), "links")
+        links.append(found.select("a", "b"))
+        parents = _jump(found.select(F.col("r").alias("child"), F.col("hub").alias("parent")))
+        if roots is None:
+            roots = parents.select(F.col("child").alias("key"), F.col("parent").alias("root"))
+        else:
+            moved = roots.join(parents, F.col("root") == F.col("child"), "left") \
+                .select("key", F.coalesce("parent", "root").alias("root"))
+            alone = parents.join(roots, F.col("child") == F.col("key"), "left_anti").select("child", "parent")
+            roots = moved.union(alone)
+        roots = stored(roots, "roots")
+        labelled = entries.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         open_columns = labelled.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")) \
             .where("r0 < r1").select("gram")
         left = stored(labelled.join(open_columns, "gram"), "open")
     second = left.alias("x").join(left.alias("y"), F.col("x.gram") == F.col("y.gram")) \
         .where((F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _reachable(threshold, "x", "y")) \
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    return rows, stored(links.union(_linked(stored(second, "pairs"), texts, n, threshold)), "links")
+    links.append(_linked(stored(second, "pairs"), texts, n, threshold))
+    return rows, stored(reduce(DataFrame.union, links), "links")
+
+
+def _jump(parents: DataFrame, times: int = 3) -> DataFrame:
+    """(child, parent) with every pointer led on up to 2^times steps; a pointer that ends earlier stays at its end.
+
+    Pointers go to hubs that come earlier in the turn's order, so they have no cycles.
+    """
+    for _ in range(times):
+        parents = stored(parents, "parents")
+        up = parents.select(F.col("child").alias("c"), F.col("parent").alias("p"))
+        parents = parents.join(up, F.col("parent") == F.col("c"), "left") \
+            .select("child", F.coalesce("p", "parent").alias("parent"))
+    return parents
 
 
 def _star_pairs(entries: DataFrame, turn: int, t: tuple[int, int]) -> DataFrame:
-    """At most one pair (a, b) per component: its entry beside the first reachable hub over all of its columns.
+    """At most one row (r, hub, a, b) per component r: an entry b of it beside the first reachable hub over its columns,
+    entry a of component ``hub``.
 
     A column's hub is the entry of its first component in a pseudo-random order that each turn draws anew.
     """
@@ -234,8 +259,9 @@ def _star_pairs(entries: DataFrame, turn: int, t: tuple[int, int]) -> DataFrame:
     hubs = drawn.groupBy("gram").agg(F.min("o").alias("o"), *(F.min_by(c, "o").alias(c) for c in ("root", "key", "n", "rest")))
     beside = drawn.alias("y").join(hubs.alias("x"), F.col("x.gram") == F.col("y.gram")) \
         .where((F.col("x.root") != F.col("y.root")) & _reachable(t, "x", "y")) \
-        .select(F.col("y.root").alias("r"), F.col("x.o").alias("o"), F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    return beside.groupBy("r").agg(F.min_by("a", "o").alias("a"), F.min_by("b", "o").alias("b")).select("a", "b").distinct()
+        .select(F.col("y.root").alias("r"), F.col("x.o").alias("o"), F.col("x.root").alias("hub"),
+                F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    return beside.groupBy("r").agg(*(F.min_by(c, "o").alias(c) for c in ("hub", "a", "b")))
 
 
 def near_duplicate_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = WORDS,
