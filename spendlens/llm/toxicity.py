@@ -158,7 +158,7 @@ def train(texts: DataFrame, positives: DataFrame, unlabelled: DataFrame, prior:
                                              names=["p", "cells"])
 
     matrix = {True: [], False: []}
-    for r in rows.mapInArrow(features, "p boolean, cells array<int>").toLocalIterator():
+    for r in rows.mapInArrow(features, "p boolean, cells array<int>").collect():
         row = np.zeros(len(kept), dtype=np.float32)
         row[r["cells"]] = 1
         matrix[r["p"]].append(row)
