@@ -8,7 +8,7 @@ in full: a column only counts where a pair could still reach the overlap that it
    texts. Within a row, columns are put in one global order, rarest first (estimate, then hash).
 2. A row of n entries that links at all shares one of its first n - ceil(t n) + 1 columns with the other row, so only
    these are shuffled, blocked by column; a column seen in one row falls out within its block. Columns that the
-   sketch calls very frequent are split by row into several blocks.
+   sketch calls very frequent are split by row into several blocks, and keep entries that are alone in theirs.
 3. In each column, an entry with ``rest`` entries from it to the end of its row allows an overlap of ``rest`` at most;
    pairs whose sizes and rests are below the size-derived overlap are discarded. Of the rest, a few rounds take one
    pair per component, a row and a hub of its column; then come all pairs of rows in a column that those rounds have
@@ -89,7 +89,10 @@ def _batch(columns: dict) -> pa.RecordBatch:
 
 
 def _postings(texts: DataFrame, n: int, frequency: np.ndarray, t: tuple[int, int]) -> DataFrame:
-    """(gram, salt, key, n, rest) of the first entries of every row that a task meets for the first time."""
+    """(gram, salt, key, n, rest) of the first entries of every row that a task meets for the first time.
+
+    Salt 0 is that of columns in one block; the blocks of a split column are numbered from 1.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +105,8 @@ def _postings(texts: DataFrame, n: int, frequency: np.ndarray, t: tuple[int, int
                 size = len(own)
                 estimate = often[sketch.cells(own, often.size.bit_length() - 1)]
                 first = np.argsort(estimate, kind="stable")[:size - -(-size * t[0] // t[1]) + 1]
-                salt = np.mod(np.int64(key), 1 + estimate[first].astype(np.int64) // SPLIT_ROWS)
+                blocks = 1 + estimate[first].astype(np.int64) // SPLIT_ROWS
+                salt = np.where(blocks > 1, 1 + np.mod(np.int64(key), blocks), 0)
                 held.append((own[first].view(np.int64), salt, np.full(len(first), key), np.full(len(first), size),
                              size - np.arange(len(first))))
                 if len(held) == TEXTS_A_BATCH:
@@ -121,7 +125,7 @@ def _postings(texts: DataFrame, n: int, frequency: np.ndarray, t: tuple[int, int
 
 
 def _shared_columns(postings: DataFrame) -> DataFrame:
-    """The entries of columns that hold two rows or more; blocks stream through, sorted by column."""
+    """The entries of columns that hold two rows or more, and all of split columns; blocks stream through, sorted by column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 4), dtype=np.int64)
         before = None  # the column of the entry before the held one

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -151,6 +152,22 @@ def test_columns_split_into_blocks(spark, monkeypatch):
     assert shared(split) == shared(whole)
 
 
+def test_near_copies_in_different_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SPLIT_ROWS", 1)
+    rng, rows = random.Random(6), []
+    for i in range(24):
+        base = words_of(rng, 8, 10 ** 6)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base, f"z{i}"]))]
+    keys = [ngram_join.set_key(ngram_join.gram_set(pa.scalar(t).as_buffer(), 5)) for _, t in rows]
+    assert any((a % 3 == 0) != (b % 3 == 0) for a, b in zip(keys[::2], keys[1::2]))
+    texts = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    often = np.full(1 << 10, 2)  # two rows in every column: three blocks
+    p = ngram_join._postings(texts, 5, often, ngram_join.THRESHOLD).repartition(64, "gram", "salt")
+    found = ngram_join._shared_columns(p.sortWithinPartitions("gram", "salt", "key")).select("gram", "key").collect()
+    columns = [{r.gram for r in found if r.key == k} for k in keys]
+    assert all(a & b for a, b in zip(columns[::2], columns[1::2]))
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcde"), max_size=14), min_size=1, max_size=25))
 def test_random_small_alphabets(texts):
