@@ -24,10 +24,10 @@ def byte_bpe(path: str | None = None) -> bpe.Vocabulary:
     return bpe.Vocabulary.from_file(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def library_tokenizer(path: str | None = None) -> token_files.LibraryTokenizer:
+def library_tokenizer(path: str | None = None, added_tokens: bool = False) -> token_files.LibraryTokenizer:
     import public_tokenizers
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        return token_files.LibraryTokenizer(f.read(), public_tokenizers.PATTERN)
+        return token_files.LibraryTokenizer(f.read(), public_tokenizers.PATTERN, added_tokens)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = token_files.write_and_read(table(spark, sf_dir, "documents"), library_tokenizer())
+    docs = token_files.write_and_read(table(spark, sf_dir, "documents"), library_tokenizer(added_tokens=True))
     return docs.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

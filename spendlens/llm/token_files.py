@@ -15,6 +15,7 @@ unpacks any range of it with numpy.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,12 +66,15 @@ class LibraryTokenizer:
     """A tokenizer of the ``tokenizers`` library, as its JSON text, and the pattern of its pre-tokenizer.
 
     With no normalizer and a byte-level pre-tokenizer that only splits, a text's ids are those of its pre-tokens
-    side by side; each distinct pre-token is then given to the library once per worker and remembered. Any other
-    tokenizer is given whole texts.
+    side by side; each distinct pre-token is then given to the library once per worker and remembered. A text is cut
+    at the tokenizer's added tokens first; if these take in text around them or can overlap, a text that holds one is
+    given to the library whole. Any other tokenizer is given whole texts. With ``added_tokens=False`` special tokens in
+    a text are plain text.
     """
 
     json: str
     pattern: str
+    added_tokens: bool = True
 
     def size(self) -> int:
         return self._library().get_vocab_size(with_added_tokens=True)
@@ -78,7 +82,8 @@ class LibraryTokenizer:
     def _library(self):
         from tokenizers import Tokenizer
         t = Tokenizer.from_str(self.json)
-        t.encode_special_tokens = True
+        if not self.added_tokens:
+            t.encode_special_tokens = True
         return t
 
     def _ready(self) -> None:
@@ -89,16 +94,23 @@ class LibraryTokenizer:
             and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
         self.whole = lambda text: t.encode(text, add_special_tokens=False).ids
         self.memo = Memo(self.whole)
+        added = [a for a in spec.get("added_tokens") or [] if a["content"] and (self.added_tokens or not a["special"])]
+        self.cut = re.compile("(" + "|".join(re.escape(a["content"]) for a in added) + ")") if added else None
+        self.cut_alone = len(added) == 1 and not any(added[0].get(k) for k in ("single_word", "lstrip", "rstrip"))
 
     def encode(self, text: str) -> np.ndarray:
         if "memo" not in self.__dict__:
             self._ready()
-        if not self.by_word:
+        held = self.cut is not None and self.cut.search(text)
+        if not self.by_word or held and not self.cut_alone:
             return np.array(self.whole(text), dtype="<i4")
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, splitter(self.pattern)(text))), dtype="<i4")
+        split, out = splitter(self.pattern), []
+        for i, piece in enumerate(self.cut.split(text) if held else [text]):
+            out += [self.memo[piece]] if i % 2 else map(self.memo.__getitem__, split(piece))
+        return np.frombuffer(b"".join(out), dtype="<i4")
 
     def __getstate__(self):
-        return {"json": self.json, "pattern": self.pattern}
+        return {"json": self.json, "pattern": self.pattern, "added_tokens": self.added_tokens}
 
 
 def shard_bounds(df: DataFrame, doc_id: str, text: str, shard_text_bytes: int) -> np.ndarray:

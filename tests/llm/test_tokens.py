@@ -1,6 +1,7 @@
 """Byte-level BPE and token files against the public tokenizer libraries."""
 
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -139,6 +140,36 @@ def test_token_files_odd_rows(spark):
     assert token_files.read(spark, empty).collect() == []
 
 
+ADDED = ["a <|endoftext|> tail", "<|endoftext|>", "<|endoftext|><|endoftext|> ", "x \n <|endoftext|>  y<|endoftext|>é", "<|endoftext"]
+
+
+def test_added_tokens_equal_the_unmodified_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, t = queries.library_tokenizer(added_tokens=True), Tokenizer.from_file(path)
+    assert own.encode(ADDED[0]).tolist() == [64, 220, 50256, 7894]
+    for text in TRICKY + ADDED:
+        assert own.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append({"id": 50257, "content": "<|end", "single_word": False, "lstrip": True, "rstrip": True,
+                                 "normalized": False, "special": False})
+    own = token_files.LibraryTokenizer(json.dumps(spec), public_tokenizers.PATTERN)
+    t = Tokenizer.from_str(json.dumps(spec))
+    for text in TRICKY + ADDED:
+        assert own.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_query_with_added_tokens(spark, tmp_path):
+    rows = list(enumerate(ADDED))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    t, start, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
+    for i, text in rows:
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, queries.op3_token_files(spark, str(tmp_path)).collect())) == want
+
+
 def test_blocks_span_documents(spark, monkeypatch):
     s = token_files._Shard(4, 13)
     rng, docs = np.random.default_rng(1), []
