@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -171,3 +172,16 @@ def test_licences(spark):
     assert {r.licence for r in licences.scan(df, templates=[]).collect()} == {None}
     own = licences.scan(df, templates=[("own", "one word only? no: word word word")], threshold=0.3).collect()
     assert {r.doc_id for r in own if r.licence} == {8}
+
+
+def test_wrapped_notices(spark):
+    gpl, bsd, mit = (next(t for n, t in reversed(licences.NOTICES) if n == name) for name in ("GPL-3.0", "BSD", "MIT"))
+    wrapped = lambda t, width, mark="": "\n".join(mark + line for line in textwrap.wrap(t, width))
+    rows = [(1, "int a;\n" + wrapped(gpl, 72, " * ") + "\nint b;"), (2, wrapped(bsd, 60, "# ") + "\n\n1. Keep it."), (3, mit),
+            (4, "Copyright\n\n" + wrapped(mit, 76) + "\n\nThe above"), (5, "It is\nreleased under\nthe MIT License. Yes."),
+            (6, "permission is granted\nto any software under\nthe license of a person"), (7, gpl[:90] + "\n" + "word " * 50),
+            (8, "\n".join(["Licensed under", "CC BY-NC 4.0."] * 200))]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: (r.licence, r.dice) for d, r in got.items() if r.licence} == {
+        1: ("GPL-3.0", 1.0), 2: ("BSD", 1.0), 3: ("MIT", 1.0), 4: ("MIT", 1.0), 5: ("MIT", 1.0), 8: ("CC-BY-NC-4.0", 1.0)}
+    assert got[3].part == mit and got[5].part == "released under the mit license"
