@@ -127,9 +127,9 @@ def windows(pairs: Column, name: str, grams: list[str], threshold: float) -> Col
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None,
          threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, licence, dice, part) of every row: its best match, or nulls (dice 0) without one of the threshold.
+    """(doc_id, licence, dice, part, matches) of every row: its best match, or nulls (dice 0) without one of the threshold.
 
-    Of equal scores the smallest licence id, then the smallest part is taken. A window's part is its words with single
+    ``matches`` holds all (dice, licence, part) that reach the threshold, best first; none is an empty array. Of equal scores the smallest licence id, then the smallest part is taken. A window's part is its words with single
     spaces. Null and empty texts match nothing; repeated rows and ids stay. No template can match if there is none. Other
     columns are left out.
     """
@@ -138,7 +138,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: l
     kind = "struct<dice: double, licence: string, part: string, words: string>"
     if not known:
         return row.select("doc_id", F.lit(None).cast("string").alias("licence"), F.lit(0.0).alias("dice"),
-                          F.lit(None).cast("string").alias("part"))
+                          F.lit(None).cast("string").alias("part"),
+                          F.array().cast("array<struct<dice: double, licence: string, part: string>>").alias("matches"))
     reach = threshold / (2 - threshold)
     least = min(len(g) for _, g in known) * reach
 
@@ -174,7 +175,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: l
     every = F.array_sort(F.array_distinct(F.transform(F.concat("found", new), lambda m: m.dropFields("words"))), _order)
     return rows.withColumn("matches", every).withColumn("m", F.get("matches", F.lit(0))).select(
         "doc_id", F.col("m.licence").alias("licence"), F.coalesce("m.dice", F.lit(0.0)).alias("dice"),
-        F.col("m.part").alias("part"))
+        F.col("m.part").alias("part"), "matches")
 
 
 def _pairs(word_list: Column) -> Column:

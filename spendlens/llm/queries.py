@@ -91,7 +91,14 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"))
+    """The best match of every row, the columns of its SQL; ``op9_licence_matches`` has all matches."""
+    return licences.scan(table(spark, sf_dir, "documents")).select("doc_id", "licence", "dice", "part")
+
+
+def op9_licence_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # explode_outer: for explode, Spark makes a filter that repeats the whole expression of ``matches`` below it
+    found = licences.scan(table(spark, sf_dir, "documents")).select("doc_id", F.explode_outer("matches").alias("m"))
+    return found.where("m is not null").select("doc_id", "m.licence", "m.dice", "m.part")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_chat_format": op8_chat_format,
     "op9_licence_scan": op9_licence_scan,
+    "op9_licence_matches": op9_licence_matches,
     "op10_sharding": op10_sharding,
 }
 

@@ -185,3 +185,14 @@ def test_wrapped_notices(spark):
     assert {d: (r.licence, r.dice) for d, r in got.items() if r.licence} == {
         1: ("GPL-3.0", 1.0), 2: ("BSD", 1.0), 3: ("MIT", 1.0), 4: ("MIT", 1.0), 5: ("MIT", 1.0), 8: ("CC-BY-NC-4.0", 1.0)}
     assert got[3].part == mit and got[5].part == "released under the mit license"
+
+
+def test_all_licences_of_a_text(spark, tmp_path):
+    mit, cc = "Released under the MIT License.", "Licensed under CC BY-NC 4.0."
+    rows = [(9, f"{mit}\n{cc}"), (10, f"{mit}\nNow {cc}"), (11, "None here."), (12, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    every = sorted(map(tuple, queries.op9_licence_matches(spark, str(tmp_path)).collect()))
+    assert [r for r in every if r[0] == 9] == [(9, "CC-BY-NC-4.0", 1.0, cc), (9, "MIT", 1.0, mit)]
+    assert {r[:2] for r in every} == {(9, "CC-BY-NC-4.0"), (9, "MIT"), (10, "CC-BY-NC-4.0"), (10, "MIT")}
+    best = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [m.licence for m in best[9].matches] == ["CC-BY-NC-4.0", "MIT"] and best[11].matches == []
