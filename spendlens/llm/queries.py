@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprints, licences, ngram_join, sharding, token_files, toxicity, warc
+from . import bpe, chat, decontaminate, fim, fingerprints, licences, ngram_join, sharding, token_files, toxicity, warc
 from .work import new_path, ship
 
 
@@ -107,6 +107,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fim.restored(fim.fill_in_middle(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
@@ -119,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": op9_licence_scan,
     "op9_licence_matches": op9_licence_matches,
     "op10_sharding": op10_sharding,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -195,6 +203,33 @@ p AS (
 SELECT doc_id, CAST(length(own_text) AS BIGINT) AS n_chars, sha256(edited_text) AS edited_sha256,
        {_root_sql('own_text')} AS fingerprint, {_root_sql('edited_text')} AS edited_fingerprint,
        CAST({_near_sql('own', 'edited')} AS DOUBLE) AS near_edited, CAST({_near_sql('own', 'next')} AS DOUBLE) AS near_next
+FROM p""",
+    "op12_fill_in_middle": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS whole, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units
+  FROM documents
+),
+u AS (
+  SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS UBIGINT) % (len(units) + 1) AS c1,
+         CAST('0x' || substr(h, 9, 8) AS UBIGINT) % (len(units) + 1) AS c2,
+         whole = '' OR contains(whole, '<P>') OR contains(whole, '<S>') OR contains(whole, '<M>')
+         OR CAST('0x' || substr(h, 17, 8) AS UBIGINT) % 100 >= 100 AS is_plain,
+         CAST('0x' || substr(h, 25, 8) AS UBIGINT) % 100 < 50 AS suffix_first
+  FROM d
+),
+p AS (
+  SELECT *, coalesce(array_to_string(units[1:least(c1, c2)], ''), '') AS pre,
+         coalesce(array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], ''), '') AS mid,
+         coalesce(array_to_string(units[greatest(c1, c2) + 1:], ''), '') AS suf
+  FROM u
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN is_plain THEN 'plain' WHEN suffix_first THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT is_plain THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN NOT is_plain THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE WHEN is_plain THEN whole WHEN suffix_first THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+                   ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+       sha256(whole) AS restored_sha256
 FROM p""",
     "op8_chat_format": """
 WITH l AS (
