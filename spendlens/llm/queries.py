@@ -8,7 +8,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fim, fingerprints, licences, ngram_join, sharding, token_files, toxicity, warc
+from . import (bpe, chat, clusters, decontaminate, fim, fingerprints, licences, ngram_join, sharding, simhash, token_files,
+               toxicity, warc)
 from .work import new_path, ship
 
 
@@ -107,6 +108,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = fim.restored(fim.fill_in_middle(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output"))
@@ -114,6 +119,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
@@ -126,7 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": op9_licence_scan,
     "op9_licence_matches": op9_licence_matches,
     "op10_sharding": op10_sharding,
+    "op11_clusters": op11_clusters,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_simhash": op13_simhash,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -175,6 +186,42 @@ def _near_sql(a: str, b: str) -> str:
 
 _PIECES = "[^.!?\\n]{1,48}[.!?\\n]*|[.!?\\n]+"
 
+
+
+def _clusters_sql() -> str:
+    """Every round spelled out: a<t> assigns to the centroids c<t>, whose floored means are c<t + 1>."""
+    def assigned(t: int) -> str:
+        return f"""a{t} AS MATERIALIZED (
+  SELECT r, x, min(struct_pack(d := CAST(list_sum(list_transform(range(1, {clusters.DIMS + 1}),
+                                                                   lambda i: (x[i] - m[i]) * (x[i] - m[i]))) AS BIGINT), c := c)) AS best
+  FROM v CROSS JOIN c{t} GROUP BY r, x
+)"""
+
+    steps = []
+    for t in range(clusters.ROUNDS):
+        steps.append(f"""{assigned(t)},
+s{t} AS (
+  SELECT best.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM a{t}, range(1, {clusters.DIMS + 1}) t(i) GROUP BY ALL
+),
+m{t} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM s{t} GROUP BY c),
+c{t + 1} AS MATERIALIZED (SELECT c, coalesce(m{t}.m, c{t}.m) AS m FROM c{t} LEFT JOIN m{t} USING (c))""")
+    last = clusters.ROUNDS
+    return f"""
+WITH k AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor({clusters.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = {clusters.DIMS} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+),
+v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY sha256('{clusters.SEED}:' || vec_id) NULLS LAST, x) AS r FROM k),
+c0 AS MATERIALIZED (SELECT r - 1 AS c, x AS m FROM v WHERE r <= {clusters.K}),
+{", ".join(steps)},
+{assigned(last)}
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{last}.m, ',')) AS centroid_sha256
+FROM a{last} JOIN v USING (r) JOIN c{last} ON c{last}.c = a{last}.best.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
@@ -204,6 +251,7 @@ SELECT doc_id, CAST(length(own_text) AS BIGINT) AS n_chars, sha256(edited_text)
        {_root_sql('own_text')} AS fingerprint, {_root_sql('edited_text')} AS edited_fingerprint,
        CAST({_near_sql('own', 'edited')} AS DOUBLE) AS near_edited, CAST({_near_sql('own', 'next')} AS DOUBLE) AS near_next
 FROM p""",
+    "op11_clusters": _clusters_sql(),
     "op12_fill_in_middle": """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS whole, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
