@@ -25,16 +25,6 @@ def share_or_zero(num, den) -> Column:
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
-def mean(x) -> Column:
-    """AVG as exact sum over count, in DOUBLE; NULL for no values.
-
-    On DECIMAL money the sum is exact, so the mean does not depend on the order in
-    which partitions are merged.
-    """
-    x = _c(x)
-    return F.try_divide(F.sum(x).cast("double"), F.count(x).cast("double"))
-
-
 def row_total(cols: Iterable[str]) -> Column:
     """Sum across columns of one row; NULL if any input is NULL."""
     return reduce(lambda a, b: a + b, [F.col(c) for c in cols])
@@ -68,15 +58,3 @@ def cents(x) -> Column:
 def from_cents(x, precision: int = 18) -> Column:
     """Integer cents back to DECIMAL(precision, 2), exactly."""
     return (_c(x).cast("decimal(38,0)") / F.lit(100)).cast(f"decimal({precision},2)")
-
-
-# Digits kept when ranking sums of doubles: far above float noise (about 1e-9 relative), so
-# channels whose totals are equal in exact arithmetic tie regardless of the order in which
-# partial sums were merged.
-RANK_DIGITS_MONEY = 6
-RANK_DIGITS_RATIO = 9
-
-
-def rank_key(x, digits: int) -> Column:
-    """Value to rank on: the double rounded to ``digits`` decimals (ties stay ties)."""
-    return F.round(_c(x).cast("double"), digits)

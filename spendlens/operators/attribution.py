@@ -7,13 +7,15 @@ arrives) or long (keys, date, channel, spend).
 Wide plan: one Window keyed by the entity columns and ordered by date evaluates every
 channel and every K in a single sort; the day's total of the rolling sums is a row-wise
 sum, so no shuffle by channel or by date is needed. A window partition holds one row per
-date of one entity, i.e. at most the number of distinct dates (not a data-sized group).
+date of one entity, i.e. at most the number of distinct dates (not a data-sized group), or of
+one block of dates, where ``block_steps`` cuts long series.
 
 Long plan: one Window partitioned by (keys, channel) ordered by date evaluates every K in
 a single sort; one Window partitioned by (keys, date) gives the day's total (no self join).
 
-Either way the revenue join is an equi join on (keys, date), and spend days without
-revenue drop out there, after the rolling sums.
+Either way the revenue join is an equi join on (keys, date), where a NULL key is an entity like
+any other, and spend days without revenue drop out there, after the rolling sums. Attributed
+revenue is summed exactly, in any order (see ``functions.exact``).
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.functions.columns import guarded_ratio
+from spendlens.functions.exact import total
+from spendlens.functions.joins import join_on
+from spendlens.operators.blocks import BLOCK, HALO, in_blocks, with_history
 from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
 
 def _windows(windows: Iterable[int]) -> list[int]:
@@ -97,19 +102,31 @@ def _fact_columns(df: DataFrame, keys: Sequence[str]) -> DataFrame:
                          "revenue", "attributed_revenue")
 
 
-def _fact_long(spend_long: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str],
-               frame: str = "rows") -> DataFrame:
+def _rows_to_roll(spend: DataFrame, history: DataFrame | None, series: list[str], k: int, frame: str,
+                  block_steps: int | None) -> tuple[DataFrame, list[str]]:
+    """The rows of all windows, with ``_halo``, and the columns of a window partition."""
+    rows = with_history(spend, history)
+    if block_steps is None:
+        return rows, series
+    return in_blocks(rows, series, block_steps, k, days=frame == "days"), [*series, BLOCK]
+
+
+def _fact_long(spend_long: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str], frame: str,
+               history: DataFrame | None, block_steps: int | None) -> DataFrame:
     kq = [_q(k) for k in keys]
-    part = _partition([*keys, "channel"])
     kind = exact_type(spend_long, ["spend"])
     exact = kind != "DOUBLE"
-    step = spend_long.selectExpr(*kq, "date", "channel", "spend", f"CAST(spend AS {kind}) AS _v")
+    rows, series = _rows_to_roll(spend_long.select(*keys, "date", "channel", "spend"), history, [*keys, "channel"],
+                                 wins[-1], frame, block_steps)
+    part = _partition(series)
+    step = rows.selectExpr("*", f"CAST(spend AS {kind}) AS _v")
     if frame == "rows" and wins[-1] > 1 and exact:
         step = step.selectExpr("*", *_prefix_sql("_v", part))
-    rolled = step.selectExpr("*", *[f"{_trailing_sql('_v', k, part, frame, exact)} AS _r{k}" for k in wins])
+    rolled = step.selectExpr("*", *[f"{_trailing_sql('_v', k, part, frame, exact)} AS _r{k}" for k in wins]) \
+        .where(f"NOT {HALO}")
     day = _partition([*keys, "date"])
     totals = rolled.selectExpr("*", *[f"SUM(_r{k}) OVER ({day}) AS _t{k}" for k in wins])
-    joined = totals.join(revenue.select(*keys, "date", "revenue"), [*keys, "date"])
+    joined = join_on(totals, revenue.select(*keys, "date", "revenue"), keys)
     structs = ", ".join(
         f"named_struct('k', {k}, '_rc', _r{k}, '_tc', _t{k}, "
         f"'attributed_revenue', {_attributed_sql(f'_r{k}', f'_t{k}', 'revenue')})"
@@ -118,26 +135,27 @@ def _fact_long(spend_long: DataFrame, revenue: DataFrame, wins: list[int], keys:
                                            f"inline(array({structs}))"), keys)
 
 
-def _fact_wide(spend_wide: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str],
-               channels: Sequence[str], suffix: str, frame: str = "rows") -> DataFrame:
+def _fact_wide(spend_wide: DataFrame, revenue: DataFrame, wins: list[int], keys: list[str], channels: Sequence[str],
+               suffix: str, frame: str, history: DataFrame | None, block_steps: int | None) -> DataFrame:
     cols = {c: f"{c}{suffix}" for c in channels}
     kq = [_q(k) for k in keys]
-    part = _partition(keys)
     v = {c: f"_v_{c}" for c in channels}
     kind = exact_type(spend_wide, list(cols.values()))
     exact = kind != "DOUBLE"
-    step = spend_wide.selectExpr(*kq, "date", *[_q(col) for col in cols.values()],
-                                 *[f"CAST({_q(col)} AS {kind}) AS {_q(v[c])}" for c, col in cols.items()])
+    rows, series = _rows_to_roll(spend_wide.select(*keys, "date", *cols.values()), history, keys, wins[-1], frame,
+                                 block_steps)
+    part = _partition(series)
+    step = rows.selectExpr("*", *[f"CAST({_q(col)} AS {kind}) AS {_q(v[c])}" for c, col in cols.items()])
     if frame == "rows" and wins[-1] > 1 and exact:
         step = step.selectExpr("*", *[e for c in channels for e in _prefix_sql(v[c], part)])
     rolled = step.selectExpr("*", *[f"{_trailing_sql(v[c], k, part, frame, exact)} AS {_q(f'_r{k}_{c}')}"
-                                    for k in wins for c in channels])
+                                    for k in wins for c in channels]).where(f"NOT {HALO}")
     totals = []
     for k in wins:
         parts = [_q(f"_r{k}_{c}") for c in channels]
         totals.append(f"CASE WHEN {' OR '.join(p + ' IS NOT NULL' for p in parts)} "
                       f"THEN {' + '.join(f'COALESCE({p}, 0)' for p in parts)} END AS {_q(f'_t{k}')}")
-    joined = rolled.selectExpr("*", *totals).join(revenue.select(*keys, "date", "revenue"), [*keys, "date"])
+    joined = join_on(rolled.selectExpr("*", *totals), revenue.select(*keys, "date", "revenue"), keys)
     structs = ", ".join(
         f"named_struct('channel', '{c}', 'spend', {_q(col)}, 'k', {k}, "
         f"'_rc', {_q(f'_r{k}_{c}')}, '_tc', {_q(f'_t{k}')}, "
@@ -148,20 +166,25 @@ def _fact_wide(spend_wide: DataFrame, revenue: DataFrame, wins: list[int], keys:
 
 def attributed_fact(spend: DataFrame, revenue: DataFrame, windows: Iterable[int] = (30,),
                     keys: Sequence[str] = (), channels: Sequence[str] = CHANNELS,
-                    suffix: str = SPEND_SUFFIX, frame: str = "rows") -> DataFrame:
+                    suffix: str = SPEND_SUFFIX, frame: str = "rows", history: DataFrame | None = None,
+                    block_steps: int | None = None) -> DataFrame:
     """Per (keys, date, channel, k): spend, trailing-K spend, the day's total of those, revenue
     and attributed revenue. K = 1 is same-day attribution.
 
     ``spend`` is long (has a ``channel`` column) or wide (``<channel><suffix>`` columns).
     ``frame="rows"`` (the reference's semantics) counts K rows; ``frame="days"`` counts K
     calendar days, which differs only where dates are missing.
+
+    ``history`` holds rows of spend before the first date (same shape), which the windows see and the result leaves
+    out. ``block_steps`` rolls an entity in blocks of so many dates (see ``blocks``), for series too long for one task;
+    the result is the same.
     """
     if frame not in ("rows", "days"):
         raise ValueError("frame must be 'rows' or 'days'")
     wins, keys = _windows(windows), list(keys)
     if is_long(spend):
-        return _fact_long(spend, revenue, wins, keys, frame)
-    return _fact_wide(spend, revenue, wins, keys, channels, suffix, frame)
+        return _fact_long(spend, revenue, wins, keys, frame, history, block_steps)
+    return _fact_wide(spend, revenue, wins, keys, channels, suffix, frame, history, block_steps)
 
 
 def as_long(spend: DataFrame, keys: Sequence[str] = (), channels: Sequence[str] = CHANNELS,
@@ -178,33 +201,35 @@ def same_day_attribution(spend: DataFrame, revenue: DataFrame, keys: Sequence[st
     """(channel, total_spend, total_revenue_attributed), largest spend first."""
     fact = attributed_fact(spend, revenue, (1,), keys)
     return (fact.groupBy(*keys, "channel")
-            .agg(F.sum("spend").alias("total_spend"),
-                 F.sum("attributed_revenue").alias("total_revenue_attributed"))
-            .orderBy(*keys, F.col("total_spend").desc()))
+            .agg(total(fact, "spend").alias("total_spend"),
+                 total(fact, "attributed_revenue").alias("total_revenue_attributed"))
+            .orderBy(*keys, F.col("total_spend").desc(), "channel"))
 
 
 def _roas_by(fact: DataFrame, group: Sequence[str]) -> DataFrame:
     return (fact.groupBy(*group)
-            .agg(F.sum("spend").alias("total_spend"),
-                 F.sum("attributed_revenue").alias("total_revenue_attributed_k"))
+            .agg(total(fact, "spend").alias("total_spend"),
+                 total(fact, "attributed_revenue").alias("total_revenue_attributed_k"))
             .withColumn("roas_k", guarded_ratio("total_revenue_attributed_k", "total_spend")))
 
 
 def rolling_attribution(spend: DataFrame, revenue: DataFrame, k: int = 30,
-                        keys: Sequence[str] = (), frame: str = "rows") -> DataFrame:
+                        keys: Sequence[str] = (), frame: str = "rows", history: DataFrame | None = None,
+                        block_steps: int | None = None) -> DataFrame:
     """Trailing-K-row attribution: (channel, total_spend, total_revenue_attributed_k, roas_k,
     attribution_window_days), best ROAS first."""
-    fact = attributed_fact(spend, revenue, (k,), keys, frame=frame)
+    fact = attributed_fact(spend, revenue, (k,), keys, frame=frame, history=history, block_steps=block_steps)
     return (_roas_by(fact, [*keys, "channel"])
             .withColumn("attribution_window_days", F.lit(int(k)))
             .orderBy(*keys, F.col("roas_k").desc(), "channel"))
 
 
 def attribution_windows(spend: DataFrame, revenue: DataFrame, windows: Iterable[int] = (7, 14, 30),
-                        keys: Sequence[str] = (), frame: str = "rows") -> DataFrame:
+                        keys: Sequence[str] = (), frame: str = "rows", history: DataFrame | None = None,
+                        block_steps: int | None = None) -> DataFrame:
     """All windows in one pass: (channel, attribution_window_days, total_spend,
     total_revenue_attributed_k, roas_k), by window then best ROAS."""
-    fact = attributed_fact(spend, revenue, windows, keys, frame=frame)
+    fact = attributed_fact(spend, revenue, windows, keys, frame=frame, history=history, block_steps=block_steps)
     return (_roas_by(fact.withColumnRenamed("k", "attribution_window_days"),
                      [*keys, "channel", "attribution_window_days"])
             .select(*keys, "channel", "attribution_window_days", "total_spend", "total_revenue_attributed_k",

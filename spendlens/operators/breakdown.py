@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.columns import (RANK_DIGITS_MONEY, RANK_DIGITS_RATIO, guarded_ratio, rank_key,
-                                         year_month, year_quarter)
+from spendlens.functions.columns import guarded_ratio, year_month, year_quarter
+from spendlens.functions.exact import total
+from spendlens.functions.joins import join_on
+from spendlens.operators.ranking import with_facts
 
 # Report labels (top/bottom metrics; weekend flag yes/no; promotion flag yes/no).
 METRICS = ("top_revenue", "bottom_revenue", "top_roas", "bottom_roas")
@@ -19,38 +21,36 @@ PROMO_FLAGS = ("promo", "non_promo")
 
 def _totals(fact: DataFrame, group: Sequence, rev_name: str, roas_name: str) -> DataFrame:
     return (fact.groupBy(*group)
-            .agg(F.sum("spend").alias("total_spend"), F.sum("attributed_revenue").alias(rev_name))
+            .agg(total(fact, "spend").alias("total_spend"), total(fact, "attributed_revenue").alias(rev_name))
             .withColumn(roas_name, guarded_ratio(rev_name, "total_spend")))
 
 
 def top_bottom(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Four labelled rows (metric, channel, value): top/bottom by attributed revenue and ROAS.
+    """Labelled rows (metric, channel, value): top/bottom by attributed revenue and ROAS.
 
-    RANK semantics: ties give several rows; "bottom" is the largest rank. Ranks run over the
-    per-channel totals only (one row per channel and key), never over daily rows, on values
-    rounded far above float noise so that equal totals tie whatever the summation order.
+    RANK semantics: ties give several rows; "bottom" is the largest rank, and NULLs rank last. Totals are exact sums,
+    so they are ranked as they are. The first and the last rank are those of the largest and the smallest value per
+    key, one aggregate that merges; no window or task holds all channels.
     """
     agg = _totals(fact, [*keys, "channel"], "total_revenue_attributed_30", "roas_30")
-    scope = Window.partitionBy(*keys)
-    ranked = (agg
-              .withColumn("_rev", F.rank().over(scope.orderBy(
-                  rank_key("total_revenue_attributed_30", RANK_DIGITS_MONEY).desc_nulls_last())))
-              .withColumn("_roas", F.rank().over(scope.orderBy(
-                  rank_key("roas_30", RANK_DIGITS_RATIO).desc_nulls_last())))
-              .withColumn("_rev_max", F.max("_rev").over(scope))
-              .withColumn("_roas_max", F.max("_roas").over(scope)))
-    def row(metric, value, keep):
-        return F.struct(F.lit(metric).alias("metric"), F.col(value).alias("value"), keep.alias("_keep"))
+    rev, roas = F.col("total_revenue_attributed_30"), F.col("roas_30")
+
+    def least(x):  # that of the largest rank: NULL, if there is one
+        return F.when(F.count(x) == F.count(F.lit(1)), F.min(x))
+
+    bounds = (agg.groupBy(*keys) if keys else agg.groupBy()).agg(
+        F.max(rev).alias("_rev_top"), least(rev).alias("_rev_bottom"),
+        F.max(roas).alias("_roas_top"), least(roas).alias("_roas_bottom"))
+    ranked = with_facts(agg, bounds, keys)
+
+    def row(metric, value, bound):
+        return F.struct(F.lit(metric).alias("metric"), value.alias("value"), value.eqNullSafe(F.col(bound)).alias("_keep"))
 
     top_rev, bottom_rev, top_roas, bottom_roas = METRICS
-    rows = F.array(
-        row(top_rev, "total_revenue_attributed_30", F.col("_rev") == 1),
-        row(bottom_rev, "total_revenue_attributed_30", F.col("_rev") == F.col("_rev_max")),
-        row(top_roas, "roas_30", F.col("_roas") == 1),
-        row(bottom_roas, "roas_30", F.col("_roas") == F.col("_roas_max")),
-    )
+    rows = F.array(row(top_rev, rev, "_rev_top"), row(bottom_rev, rev, "_rev_bottom"),
+                   row(top_roas, roas, "_roas_top"), row(bottom_roas, roas, "_roas_bottom"))
     return (ranked.select(*keys, "channel", F.inline(rows)).where("_keep")
-            .select(*keys, "metric", "channel", "value").orderBy(*keys, "metric"))
+            .select(*keys, "metric", "channel", "value").orderBy(*keys, "metric", "channel"))
 
 
 def perf_by_month(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -64,7 +64,7 @@ def perf_by_month(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def _flag_breakdown(fact: DataFrame, factors: DataFrame, flag: str, label: str, yes: str, no: str,
                     keys: Sequence[str]) -> DataFrame:
     # A NULL flag falls in the "no" arm, as the reference's CASE does.
-    j = fact.join(factors.select(*keys, "date", flag), [*keys, "date"])
+    j = join_on(fact, factors.select(*keys, "date", flag), keys)
     labelled = j.withColumn(label, F.when(F.col(flag) == 1, F.lit(yes)).otherwise(F.lit(no)))
     return (_totals(labelled, [*keys, label, "channel"], "total_revenue_attr_30", "roas_30")
             .orderBy(*keys, label, F.col("roas_30").desc(), "channel"))

@@ -8,8 +8,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlens.functions.columns import mean
-from spendlens.functions.stats import pearson
+from spendlens.functions.exact import average
+from spendlens.functions.joins import join_on
+from spendlens.functions.stats import digits_of, pearson
 from spendlens.operators.attribution import as_long
 
 # Lift factor labels and the flag column each one reads.
@@ -22,15 +23,15 @@ BUCKETS = ("low_seasonality", "mid_seasonality", "high_seasonality")
 
 def corr_spend_revenue(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(channel, pearson_corr_spend_vs_revenue) over the dates present in both feeds."""
-    j = as_long(spend, keys).select(*keys, "date", "channel", "spend").join(revenue.select(*keys, "date", "revenue"),
-                                                                  [*keys, "date"])
-    return (j.groupBy(*keys, "channel")
-            .agg(pearson("spend", "revenue").alias("pearson_corr_spend_vs_revenue"))
+    j = join_on(as_long(spend, keys).select(*keys, "date", "channel", "spend"), revenue.select(*keys, "date", "revenue"),
+                keys)
+    r = pearson("spend", "revenue", digits_of(j, "spend"), digits_of(j, "revenue"))
+    return (j.groupBy(*keys, "channel").agg(r.alias("pearson_corr_spend_vs_revenue"))
             .orderBy(*keys, "channel"))
 
 
 def _revenue_factors(revenue: DataFrame, factors: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    return factors.select(*keys, "date", *cols).join(revenue.select(*keys, "date", "revenue"), [*keys, "date"])
+    return join_on(factors.select(*keys, "date", *cols), revenue.select(*keys, "date", "revenue"), keys)
 
 
 def revenue_lift(revenue: DataFrame, factors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -43,8 +44,8 @@ def revenue_lift(revenue: DataFrame, factors: DataFrame, keys: Sequence[str] = (
     long = j.select(*keys, "revenue", F.inline(F.array(*[
         F.struct(F.lit(name).alias("factor"), F.col(col).alias("flag")) for name, col in LIFT_FACTORS])))
     g = long.groupBy(*keys, "factor").agg(
-        mean(F.when(F.col("flag") == 0, F.col("revenue"))).alias("avg_control"),
-        mean(F.when(F.col("flag") == 1, F.col("revenue"))).alias("avg_treated"))
+        average(long, "revenue", F.when(F.col("flag") == 0, F.col("revenue"))).alias("avg_control"),
+        average(long, "revenue", F.when(F.col("flag") == 1, F.col("revenue"))).alias("avg_treated"))
     lift = F.col("avg_treated") - F.col("avg_control")
     return (g.select(*keys, "factor", "avg_control", "avg_treated", lift.alias("abs_lift"),
                      F.when(F.col("avg_control") > 0, lift * 100 / F.col("avg_control")).alias("pct_lift"))
@@ -55,7 +56,8 @@ def corr_revenue_seasonality(revenue: DataFrame, factors: DataFrame, keys: Seque
     """One row (per key): pearson_corr_revenue_vs_seasonality_index."""
     j = _revenue_factors(revenue, factors, keys, ["seasonality_index"])
     g = j.groupBy(*keys) if keys else j.groupBy()
-    return g.agg(pearson("seasonality_index", "revenue").alias("pearson_corr_revenue_vs_seasonality_index"))
+    r = pearson("seasonality_index", "revenue", digits_of(j, "seasonality_index"), digits_of(j, "revenue"))
+    return g.agg(r.alias("pearson_corr_revenue_vs_seasonality_index"))
 
 
 def seasonality_buckets(revenue: DataFrame, factors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -69,6 +71,6 @@ def seasonality_buckets(revenue: DataFrame, factors: DataFrame, keys: Sequence[s
               .otherwise(F.lit(BUCKETS[2])))
     ordinal = F.when(s < LOW_BOUND, 1).when(s < HIGH_BOUND, 2).otherwise(3)
     return (j.groupBy(*keys, bucket.alias("bucket"), ordinal.alias("_ord"))
-            .agg(mean("revenue").alias("avg_revenue"), F.count(F.lit(1)).alias("num_days"),
+            .agg(average(j, "revenue").alias("avg_revenue"), F.count(F.lit(1)).alias("num_days"),
                  F.min("revenue").alias("min_revenue"), F.max("revenue").alias("max_revenue"))
             .orderBy(*keys, "_ord").drop("_ord"))

@@ -1,7 +1,9 @@
-"""Row numbers per group and equal-count bins over daily rows.
+"""Row numbers per group and equal-count bins over daily rows, and first and last ranks without a window over a group.
 
 The ranked facts hold one row per (entity, channel, date), so a window partition is bounded by the calendar, as those
-of the trailing sums are. Nothing runs before an action.
+of the trailing sums are. The rows that hold the first or last ranks of any number of channels are found by the values
+that bound them: every task offers its n smallest and n largest, and rows are then compared with the bounds, so that no
+task sees more than n values of each other one. Nothing runs before an action.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendlens.functions.joins import join_on
+
 
 def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], rn_col: str = "rn",
                 n_col: str = "n") -> DataFrame:
@@ -39,3 +43,36 @@ def in_lowest_fraction(rn: Column | str, n: Column | str, parts: int = 10) -> Co
     rn = F.col(rn) if isinstance(rn, str) else rn
     n = F.col(n) if isinstance(n, str) else n
     return rn * F.lit(int(parts)) <= n
+
+
+def with_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the columns of ``facts``, which has one row per key (one row, if there are no keys)."""
+    if keys:
+        return join_on(df, facts, keys, on=())
+    row = facts.select(F.struct(*facts.columns)).scalar()
+    return df.select("*", *[row.getField(c).alias(c) for c in facts.columns])
+
+
+def nth_value(df: DataFrame, value: str, n: int, out: str, keys: Sequence[str] = (), largest: bool = False) -> DataFrame:
+    """(keys, out): the n-th smallest (or largest) of the values per key, repeats counted; the last one if there are
+    fewer. NULLs are no values.
+    """
+    order = F.col(value).desc() if largest else F.col(value).asc()
+    last = (F.min if largest else F.max)(value).alias(out)
+    values = df.select(*keys, value).where(F.col(value).isNotNull())
+    if not keys:
+        return values.orderBy(order).limit(n).agg(last)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return values.withColumn("_place", place).where(F.col("_place") <= n).groupBy(*keys).agg(last)
+
+
+def mark_ranks(df: DataFrame, value: str, n_low: int, n_high: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``_is_low`` and ``_is_high``: RANK() of ``value`` per key is n_low or less ascending, n_high or less descending.
+
+    As with RANK, all rows that tie with the n-th one belong; a NULL value has neither rank.
+    """
+    marked = with_facts(df, nth_value(df, value, n_low, "_low", keys), keys)
+    marked = with_facts(marked, nth_value(df, value, n_high, "_high", keys, largest=True), keys)
+    is_low, is_high = F.col(value) <= F.col("_low"), F.col(value) >= F.col("_high")
+    return marked.select(*df.columns, F.coalesce(is_low, F.lit(False)).alias("_is_low"),
+                         F.coalesce(is_high, F.lit(False)).alias("_is_high"))

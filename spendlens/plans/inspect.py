@@ -29,3 +29,18 @@ def plan_summary(df: DataFrame) -> dict:
         "scans": [(loc, schema) for loc, schema in
                   re.findall(r"Location: \w+ \[([^\]]+)\][^\n]*\n(?:[^\n]*\n)*?ReadSchema: (struct<[^\n]*>)", text)],
     }
+
+
+def executed_scans(df: DataFrame) -> dict[str, int]:
+    """Runs ``df`` and counts how often its final plan, subqueries included, scans each file or folder; reused shuffles
+    count once.
+    """
+    df.collect()
+    text = plan_text(df)
+    final = re.findall(r"== Final Plan ==\n(.*?)\+- == Initial Plan ==", text, re.S) or [text.split("\n\n")[0]]
+    counts: dict[str, int] = {}
+    for node in {n for tree in final for n in re.findall(r"Scan parquet\s+\((\d+)\)", tree)}:
+        location = re.search(rf"\n\({node}\) Scan parquet[^\n]*\n(?:[^\n]+\n)*?Location: \w+ \[([^\],]+)", text)[1]
+        name = location.rstrip("/").split("/")[-1]
+        counts[name] = counts.get(name, 0) + 1
+    return counts

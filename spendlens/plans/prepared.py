@@ -11,7 +11,7 @@ from __future__ import annotations
 from typing import Sequence
 
 from spendlens.operators.shape import keep_first, unpivot_channels
-from spendlens.session import checkpoint_dir
+from spendlens.session import cut
 from spendlens.sources.feeds import INGEST_ORD, Feeds, Lazy
 from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
 
@@ -19,11 +19,12 @@ from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
 class Prepared(Lazy):
     """Deduplicated feeds: spend (wide), spend_long, revenue, factors; built on first use.
 
-    ``spend_long`` is derived from ``spend`` (one Expand) unless given. ``raw`` holds the feeds as they
-    arrived, for the data-quality reports.
+    ``spend_long`` is derived from ``spend`` (one Expand) unless given. ``history``, if given, holds the spend before
+    the first date that trailing windows reach back to. ``raw`` holds the feeds as they arrived, for the data-quality
+    reports.
     """
 
-    _names = ("spend", "spend_long", "revenue", "factors")
+    _names = ("spend", "spend_long", "revenue", "factors", "history")
 
     def __init__(self, keys: Sequence[str] = (), channels=CHANNELS, suffix: str = SPEND_SUFFIX,
                  raw: Feeds | None = None, **sources):
@@ -47,8 +48,5 @@ def prepare(feeds: Feeds, keys: Sequence[str] = (), order=INGEST_ORD, channels=C
 
 def materialize(p: Prepared) -> Prepared:
     """Write the deduplicated feeds to the checkpoint folder and read them back."""
-    checkpoint_dir(p.spend.sparkSession)
-    return Prepared(p.keys, p.channels, p.suffix, p.raw,
-                    spend=p.spend.checkpoint(eager=True),
-                    revenue=p.revenue.checkpoint(eager=True),
-                    factors=p.factors.checkpoint(eager=True))
+    feeds = {name: cut(getattr(p, name)) for name in ("spend", "revenue", "factors", "history") if hasattr(p, name)}
+    return Prepared(p.keys, p.channels, p.suffix, p.raw, **feeds)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Values every session used by this library should carry.
 _DEFAULTS = {
@@ -19,7 +19,7 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # checkpoint files (ranker, materialized feeds) are removed once no plan references them
+    # checkpoint files (materialized feeds, passes of bins) are removed once no plan references them
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -56,3 +56,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="spendlens-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there, without the plan behind it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, whichever that is."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark._jsc.hadoopConfiguration())

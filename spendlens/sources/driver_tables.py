@@ -97,48 +97,52 @@ def _spend_sums() -> list:
     ]
 
 
-def spend_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    li = lineitem.select(
-        F.to_date("l_shipdate").alias("date"),
-        "l_returnflag",
-        "l_linestatus",
-        cents("l_extendedprice").alias("price"),
-    )
-    return (li.groupBy("date").agg(*_spend_sums())
-            .withColumn(INGEST_ORD, F.unix_date("date").cast("bigint")))
-
-
-def revenue_from_orders(orders: DataFrame) -> DataFrame:
-    o = orders.select(
-        F.to_date("o_orderdate").alias("date"), "o_orderdate", "o_orderkey", "o_custkey",
-        cents("o_totalprice").alias("price"),
-    )
-    daily = o.groupBy("date").agg(
-        from_cents(F.sum("price")).alias("revenue"),
-        F.count(F.lit(1)).alias("transactions"),
-    )
+def whole(df: DataFrame) -> DataFrame:
+    """``df`` as rows of a generator, which no later column pruning or filter reaches through.
+
+    Several plans over it then hold the same subplan, down to the scan, and Spark runs its shuffle once and reuses it,
+    where it would otherwise read a table again for every other choice of columns.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def lines_by_day(lineitem: DataFrame) -> DataFrame:
+    """One row per ship date: spend by channel, lines, and discounts and taxes in hundredths."""
+    li = lineitem.select(F.to_date("l_shipdate").alias("date"), "l_returnflag", "l_linestatus",
+                         cents("l_extendedprice").alias("price"), cents("l_discount").alias("discount"),
+                         cents("l_tax").alias("tax"))
+    return li.groupBy("date").agg(*_spend_sums(), F.count(F.lit(1)).alias("n_lines"),
+                                  F.sum("discount").alias("disc"), F.sum("tax").alias("tax"))
+
+
+def orders_by_day(orders: DataFrame) -> DataFrame:
+    """One row per order date: revenue and number of orders."""
+    return orders.select(F.to_date("o_orderdate").alias("date"), cents("o_totalprice").alias("price")) \
+        .groupBy("date").agg(from_cents(F.sum("price")).alias("revenue"), F.count(F.lit(1)).alias("n_orders"))
+
+
+def spend_of(lines: DataFrame) -> DataFrame:
+    return lines.select("date", *spend_columns(), F.unix_date("date").cast("bigint").alias(INGEST_ORD))
+
+
+def revenue_of(by_day: DataFrame, orders: DataFrame) -> DataFrame:
     # The customer's first order by (order date, order key) is on the customer's earliest
     # order date, so min(date) per customer is enough: a hash aggregate with partial
     # aggregation (a min over a struct would plan as a sort-based aggregate), and a
     # customer with a huge order history still ships one row per task.
-    firsts = (o.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"))
+    firsts = (orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"))
               .groupBy(F.to_date("first").alias("date"))
               .agg(F.count(F.lit(1)).alias("new_customers")))
-    return (daily.join(firsts, "date", "left")
-            .select("date", "revenue", "transactions",
+    return (by_day.join(firsts, "date", "left")
+            .select("date", "revenue", F.col("n_orders").alias("transactions"),
                     F.coalesce("new_customers", F.lit(0)).cast("bigint").alias("new_customers"),
                     F.unix_date("date").cast("bigint").alias(INGEST_ORD)))
 
 
-def factors_from_tables(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    li = (lineitem.groupBy(F.to_date("l_shipdate").alias("date"))
-          .agg(F.count(F.lit(1)).alias("n_lines"),
-               F.sum(cents("l_discount")).alias("disc"),
-               F.sum(cents("l_tax")).alias("tax")))
-    od = orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("n_orders"))
-    # Two scalars over the per-date table (one row each; executed once as subqueries).
-    n_dates = od.select(F.count(F.lit(1))).scalar()
-    n_orders = od.select(F.sum("n_orders")).scalar()
+def factors_of(lines: DataFrame, by_day: DataFrame) -> DataFrame:
+    li, od = lines.select("date", "n_lines", "disc", "tax"), by_day.select("date", "n_orders")
+    # Two scalars over the per-date table (one row, executed once as a subquery).
+    all_days = od.select(F.struct(F.count(F.lit(1)).alias("dates"), F.sum("n_orders").alias("orders"))).scalar()
     d = F.col("date")
     return (od.join(li, "date").select(
         "date",
@@ -147,18 +151,29 @@ def factors_from_tables(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         # mean discount above 0.05, compared exactly in cents: disc > 5 * lines
         F.when(F.col("disc") > F.col("n_lines") * 5, 1).otherwise(0).alias("promotion_active"),
         ((F.col("tax") / F.lit(100.0)) / F.col("n_lines")).alias("competitor_index"),
-        ((F.col("n_orders") * n_dates).cast("double") / n_orders.cast("double")).alias("seasonality_index"),
+        ((F.col("n_orders") * all_days.getField("dates")).cast("double") / all_days.getField("orders").cast("double"))
+        .alias("seasonality_index"),
         F.unix_date(d).cast("bigint").alias(INGEST_ORD),
     ))
 
 
-def driver_feeds(spark: SparkSession, sf_dir: str) -> Feeds:
-    """The three feeds, each built on first use (a query planning one feed analyses one)."""
-    return Feeds(
-        spend=lambda: spend_from_lineitem(_table(spark, sf_dir, "lineitem")),
-        revenue=lambda: revenue_from_orders(_table(spark, sf_dir, "orders")),
-        factors=lambda: factors_from_tables(_table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")),
-    )
+def driver_feeds(spark: SparkSession, sf_dir: str, share: tuple = ()) -> Feeds:
+    """The three feeds, each built on first use (a query planning one feed analyses one).
+
+    ``share`` names the tables ("lineitem", "orders") that several feeds of a query read: their daily aggregate then
+    has all columns and is made once. Without it, a feed reads only the columns it needs.
+    """
+    def lines():
+        made = lines_by_day(_table(spark, sf_dir, "lineitem"))
+        return whole(made) if "lineitem" in share else made
+
+    def by_day():
+        made = orders_by_day(_table(spark, sf_dir, "orders"))
+        return whole(made) if "orders" in share else made
+
+    return Feeds(spend=lambda: spend_of(lines()),
+                 revenue=lambda: revenue_of(by_day(), _table(spark, sf_dir, "orders")),
+                 factors=lambda: factors_of(lines(), by_day()))
 
 
 def nation_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

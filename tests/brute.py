@@ -4,7 +4,9 @@ Follows the reference queries step by step (NULL handling of SUM, CASE guards, i
 left joins) without any Spark, as an oracle independent of both engines.
 """
 
+import math
 from collections import defaultdict
+from decimal import Decimal
 
 
 def _sum(values):
@@ -56,31 +58,29 @@ def reallocation(spend, revenue, k=30, fraction=0.10, n=2):
     """{channel_spend: (total_spend, roas, new_total)} following the budget query."""
     dates = sorted(spend)
     channels = sorted({c for d in dates for c in spend[d]})
-    daily = {(d, c): (spend[d].get(c) or 0.0) for d in dates for c in channels}
+    daily = {(d, c): Decimal(str(spend[d].get(c) or 0)) for d in dates for c in channels}
     total = {d: sum(daily[(d, c)] for c in channels) for d in dates}
-    summ = defaultdict(lambda: [0.0, 0.0])
+    spent, gains = defaultdict(Decimal), defaultdict(list)
     for i, d in enumerate(dates):
         window = dates[max(0, i - k + 1): i + 1]
-        rt = sum(total[x] for x in window)
+        rt = float(sum(total[x] for x in window))
         for c in channels:
-            rc = sum(daily[(x, c)] for x in window)
+            rc = float(sum(daily[(x, c)] for x in window))
             share = rc / rt if rt > 0 else 0.0
-            summ[c][0] += daily[(d, c)]
-            summ[c][1] += (revenue.get(d) or 0.0) * share
-    rows = {c: (s, (a / s) if s > 0 else 0.0) for c, (s, a) in summ.items()}
-    roas = sorted(r for _, r in rows.values())
-    # equal ROAS must tie even when float noise separates them (rank on 9 decimals)
-    key = {c: round(r, 9) for c, (_, r) in rows.items()}
+            spent[c] += daily[(d, c)]
+            gains[c].append((revenue.get(d) or 0.0) * share)
+    # money is summed exactly, and a total of doubles is rounded once; ranks are on the values themselves
+    rows = {c: (float(s), (math.fsum(gains[c]) / float(s)) if s > 0 else 0.0) for c, s in spent.items()}
+    key = {c: r for c, (_, r) in rows.items()}
     desc_rank = {c: 1 + sum(1 for x in key.values() if x > key[c]) for c in rows}
     asc_rank = {c: 1 + sum(1 for x in key.values() if x < key[c]) for c in rows}
     donors = [c for c in rows if asc_rank[c] <= n]
     recips = [c for c in rows if desc_rank[c] <= n]
-    pool = sum(fraction * rows[c][0] for c in donors)
+    pool = math.fsum(fraction * rows[c][0] for c in donors)
     out = {}
     for c, (s, r) in rows.items():
         delta = (pool / len(recips) if c in recips else 0.0) - (fraction * s if c in donors else 0.0)
         out[f"{c}_spend"] = (s, r, s + delta)
-    assert roas is not None
     return out
 
 

@@ -1,4 +1,4 @@
-"""The command line: CSV feeds in, report folders out."""
+"""The command line: CSV feeds in, report files out."""
 
 import os
 import tempfile
@@ -18,5 +18,5 @@ def test_cli_round_trip(spark):
     run(["--spend", os.path.join(root, "spend"), "--revenue", os.path.join(root, "rev"),
           "--factors", os.path.join(root, "ef"), "--out", os.path.join(root, "out"),
           "--only", "attribution_windows,date_gaps"], spark)
-    out = spark.read.option("header", True).csv(os.path.join(root, "out", "attribution_windows"))
+    out = spark.read.option("header", True).csv(os.path.join(root, "out", "Attribution_windows.csv"))
     assert out.count() == 18

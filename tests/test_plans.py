@@ -46,7 +46,7 @@ def test_export_reports(spark):
     p = prepare(driver_feeds(spark, SF001))
     names = export_reports(p, out, names={"attribution_windows", "budget_reallocation"})
     assert sorted(names) == ["attribution_windows", "budget_reallocation"]
-    df = spark.read.option("header", True).csv(os.path.join(out, "attribution_windows"))
+    df = spark.read.option("header", True).csv(os.path.join(out, "Attribution_windows.csv"))
     assert df.count() == 18
     assert len(reports(p)) == 29
 
