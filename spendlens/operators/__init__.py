@@ -12,7 +12,8 @@ from spendlens.operators.drivers import (corr_revenue_seasonality, corr_spend_re
                                          seasonality_buckets)
 from spendlens.operators.quality import (counted_rows, date_gaps, duplicate_keys, null_profile, outliers, repeated,
                                          spend_outliers)
-from spendlens.operators.ranking import equal_count_bin, in_lowest_fraction, mark_ranks, nth_value, rank_within
+from spendlens.operators.ranking import (equal_count_bin, in_lowest_fraction, mark_ranks, nth_value, rank_bounds,
+                                         rank_within)
 from spendlens.operators.shape import densify, keep_first, unpivot_channels
 from spendlens.operators.summary import (channel_summary, dow_pattern, month_seasonality, monthly_totals,
                                          revenue_summary)
@@ -24,7 +25,7 @@ __all__ = [
     "attributed_fact", "same_day_attribution", "rolling_attribution", "attribution_windows",
     "top_bottom", "perf_by_month", "perf_by_day_type", "perf_by_promo", "cohort_by_quarter",
     "corr_spend_revenue", "revenue_lift", "corr_revenue_seasonality", "seasonality_buckets",
-    "rank_within", "equal_count_bin", "in_lowest_fraction", "mark_ranks", "nth_value",
+    "rank_within", "equal_count_bin", "in_lowest_fraction", "mark_ranks", "nth_value", "rank_bounds",
     "segments", "bin_ends", "lowest_end", "in_blocks",
     "incrementality", "return_by_quartile", "efficiency_curve",
     "spend_consistency", "channel_roas_summary", "budget_reallocation",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spendlens.functions.columns import guarded_ratio, year_month, year_quarter
 from spendlens.functions.exact import total
 from spendlens.functions.joins import join_on
+from spendlens.functions.shared import shared
 from spendlens.operators.ranking import with_facts
 
 # Report labels (top/bottom metrics; weekend flag yes/no; promotion flag yes/no).
@@ -32,7 +33,7 @@ def top_bottom(fact: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     so they are ranked as they are. The first and the last rank are those of the largest and the smallest value per
     key, one aggregate that merges; no window or task holds all channels.
     """
-    agg = _totals(fact, [*keys, "channel"], "total_revenue_attributed_30", "roas_30")
+    agg = shared(_totals(fact, [*keys, "channel"], "total_revenue_attributed_30", "roas_30"), "channel")
     rev, roas = F.col("total_revenue_attributed_30"), F.col("roas_30")
 
     def least(x):  # that of the largest rank: NULL, if there is one

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from spendlens.functions.columns import guarded_ratio
 from spendlens.functions.exact import average, exact_sum, total
 from spendlens.functions.joins import join_on
+from spendlens.functions.shared import shared
 from spendlens.functions.stats import digits_of, population_stddev
 from spendlens.operators.attribution import _attributed_sql, exact_type, _partition, _q, is_long
 from spendlens.operators.blocks import BLOCK, HALO, in_blocks, with_history
-from spendlens.operators.ranking import mark_ranks, with_facts
+from spendlens.operators.ranking import rank_bounds, with_facts
 from spendlens.sources.schemas import CHANNELS, SPEND_SUFFIX
 
 
@@ -124,18 +125,18 @@ def budget_reallocation(spend: DataFrame, revenue: DataFrame, k: int = 30, fract
     Ranks are RANK() on the ROAS itself. The channels that give and take, and the pool, come from aggregates that merge
     (one row per key), so the channels of a key may be any number.
     """
-    s = channel_roas_summary(spend, revenue, k, keys, label_suffix, history=history, block_steps=block_steps)
-    spend_d = F.col("total_spend").cast("double")
-    ranked = mark_ranks(s, "roas_30d", n_donors, n_recipients, keys) \
-        .withColumn("_out", F.when(F.col("_is_low"), F.lit(float(fraction)) * spend_d))
-    pool = (ranked.groupBy(*keys) if keys else ranked.groupBy()).agg(
-        exact_sum("_out").alias("_pool"), F.count_if("_is_high").alias("_n_rec"))
-    pooled = with_facts(ranked, pool, keys) \
-        .withColumn("_in", F.when(F.col("_is_high"), F.col("_pool") / F.col("_n_rec")))
-    delta = F.coalesce(F.col("_in"), F.lit(0.0)) - F.coalesce(F.col("_out"), F.lit(0.0))
-    impact = pooled.select(*keys, "channel", spend_d.alias("total_spend"), "roas_30d",
-                           (spend_d + delta).alias("new_total_spend"))
-    roas = F.col("roas_30d")
+    s = shared(channel_roas_summary(spend, revenue, k, keys, label_suffix, history=history, block_steps=block_steps),
+               "channel")
+    spend_d, roas = F.col("total_spend").cast("double"), F.col("roas_30d")
+    out = f"CASE WHEN roas_30d <= _low THEN {float(fraction)!r}D * CAST(total_spend AS DOUBLE) END"
+    bounded = with_facts(s, rank_bounds(s, "roas_30d", n_donors, n_recipients, keys), keys)
+    pool = (bounded.groupBy(*keys) if keys else bounded.groupBy()).agg(
+        exact_sum(out).alias("_pool"), F.count_if(roas >= F.col("_high")).alias("_n_rec"),
+        F.max("_low").alias("_low"), F.max("_high").alias("_high"))
+    given = F.when(roas >= F.col("_high"), F.col("_pool") / F.col("_n_rec"))
+    delta = F.coalesce(given, F.lit(0.0)) - F.coalesce(F.expr(out), F.lit(0.0))
+    impact = with_facts(s, pool, keys).select(*keys, "channel", spend_d.alias("total_spend"), "roas_30d",
+                                              (spend_d + delta).alias("new_total_spend"))
     return (impact.select(
         *keys, "channel",
         F.round("total_spend", 2).alias("total_spend"),

@@ -37,13 +37,13 @@ def incrementality(spend: DataFrame, revenue: DataFrame, keys: Sequence[str] = (
     if any_size:
         r = segments(_same_day(spend, revenue, keys), [*keys, "channel"], ["spend", "date"],
                      lambda n: lowest_end(n, lowest_parts), "part")
-        low = F.col("part") == 0
+        r = r.withColumn("low", F.col("part") == 0)
     else:
         r = ranked_same_day(spend, revenue, keys)
-        low = in_lowest_fraction("rn", "n", lowest_parts)
+        r = r.withColumn("low", in_lowest_fraction("rn", "n", lowest_parts))
     g = r.groupBy(*keys, "channel").agg(
-        average(r, "attributed_revenue", F.when(low, F.col("attributed_revenue"))).alias("baseline_attr_rev"),
-        average(r, "attributed_revenue", F.when(~low, F.col("attributed_revenue"))).alias("higher_spend_attr_rev"))
+        average(r, "attributed_revenue", "CASE WHEN low THEN attributed_revenue END").alias("baseline_attr_rev"),
+        average(r, "attributed_revenue", "CASE WHEN NOT low THEN attributed_revenue END").alias("higher_spend_attr_rev"))
     lift = F.col("higher_spend_attr_rev") - F.col("baseline_attr_rev")
     return (g.select(*keys, "channel", "baseline_attr_rev", "higher_spend_attr_rev", lift.alias("abs_lift"),
                      F.when(F.col("baseline_attr_rev") > 0, lift * 100 / F.col("baseline_attr_rev")).alias("pct_lift"))

@@ -44,8 +44,8 @@ def revenue_lift(revenue: DataFrame, factors: DataFrame, keys: Sequence[str] = (
     long = j.select(*keys, "revenue", F.inline(F.array(*[
         F.struct(F.lit(name).alias("factor"), F.col(col).alias("flag")) for name, col in LIFT_FACTORS])))
     g = long.groupBy(*keys, "factor").agg(
-        average(long, "revenue", F.when(F.col("flag") == 0, F.col("revenue"))).alias("avg_control"),
-        average(long, "revenue", F.when(F.col("flag") == 1, F.col("revenue"))).alias("avg_treated"))
+        average(long, "revenue", "CASE WHEN flag = 0 THEN revenue END").alias("avg_control"),
+        average(long, "revenue", "CASE WHEN flag = 1 THEN revenue END").alias("avg_treated"))
     lift = F.col("avg_treated") - F.col("avg_control")
     return (g.select(*keys, "factor", "avg_control", "avg_treated", lift.alias("abs_lift"),
                      F.when(F.col("avg_control") > 0, lift * 100 / F.col("avg_control")).alias("pct_lift"))

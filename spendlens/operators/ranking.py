@@ -49,8 +49,9 @@ def with_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str] = ()) -> Dat
     """``df`` with the columns of ``facts``, which has one row per key (one row, if there are no keys)."""
     if keys:
         return join_on(df, facts, keys, on=())
-    row = facts.select(F.struct(*facts.columns)).scalar()
-    return df.select("*", *[row.getField(c).alias(c) for c in facts.columns])
+    # one mention of the subquery: each would be planned on its own
+    row = df.withColumn("_facts", facts.select(F.struct(*facts.columns)).scalar())
+    return row.select(*df.columns, *[F.col("_facts").getField(c).alias(c) for c in facts.columns])
 
 
 def nth_value(df: DataFrame, value: str, n: int, out: str, keys: Sequence[str] = (), largest: bool = False) -> DataFrame:
@@ -66,13 +67,16 @@ def nth_value(df: DataFrame, value: str, n: int, out: str, keys: Sequence[str] =
     return values.withColumn("_place", place).where(F.col("_place") <= n).groupBy(*keys).agg(last)
 
 
-def mark_ranks(df: DataFrame, value: str, n_low: int, n_high: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Add ``_is_low`` and ``_is_high``: RANK() of ``value`` per key is n_low or less ascending, n_high or less descending.
-
-    As with RANK, all rows that tie with the n-th one belong; a NULL value has neither rank.
+def rank_bounds(df: DataFrame, value: str, n_low: int, n_high: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, _low, _high): RANK() of a value per key is n_low or less ascending where it is at most ``_low``, and n_high
+    or less descending where it is at least ``_high``; so all that tie with the n-th one belong.
     """
-    marked = with_facts(df, nth_value(df, value, n_low, "_low", keys), keys)
-    marked = with_facts(marked, nth_value(df, value, n_high, "_high", keys, largest=True), keys)
-    is_low, is_high = F.col(value) <= F.col("_low"), F.col(value) >= F.col("_high")
-    return marked.select(*df.columns, F.coalesce(is_low, F.lit(False)).alias("_is_low"),
-                         F.coalesce(is_high, F.lit(False)).alias("_is_high"))
+    return with_facts(nth_value(df, value, n_low, "_low", keys), nth_value(df, value, n_high, "_high", keys, largest=True),
+                      keys)
+
+
+def mark_ranks(df: DataFrame, value: str, n_low: int, n_high: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``_is_low`` and ``_is_high``: whether a row's rank is within ``rank_bounds``; a NULL value has no rank."""
+    marked = with_facts(df, rank_bounds(df, value, n_low, n_high, keys), keys)
+    return marked.select(*df.columns, F.coalesce(F.col(value) <= F.col("_low"), F.lit(False)).alias("_is_low"),
+                         F.coalesce(F.col(value) >= F.col("_high"), F.lit(False)).alias("_is_high"))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlens.functions.columns import cents, from_cents
+from spendlens.functions.shared import whole
 from spendlens.sources.feeds import INGEST_ORD, Feeds
 from spendlens.sources.schemas import spend_columns
 
@@ -97,15 +98,6 @@ def _spend_sums() -> list:
     ]
 
 
-def whole(df: DataFrame) -> DataFrame:
-    """``df`` as rows of a generator, which no later column pruning or filter reaches through.
-
-    Several plans over it then hold the same subplan, down to the scan, and Spark runs its shuffle once and reuses it,
-    where it would otherwise read a table again for every other choice of columns.
-    """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def lines_by_day(lineitem: DataFrame) -> DataFrame:
     """One row per ship date: spend by channel, lines, and discounts and taxes in hundredths."""
     li = lineitem.select(F.to_date("l_shipdate").alias("date"), "l_returnflag", "l_linestatus",
