@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import sliced
-from .work import drop, offsets, store, stored
+from .work import broadcast_up_to, drop, offsets, store, stored
 
 MAGIC = "WARC/1."
 END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 LEAST_REVISIT = 1000
 RECORDS_A_FILE = 50_000
+MOST_BROADCAST = 200_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _LENGTH = re.compile(rb"^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", re.I | re.M)
@@ -39,13 +40,14 @@ def _header(value: Column) -> Column:
 def with_revisits(df: DataFrame, page_id: str, payload: str) -> DataFrame:
     """page_id, url, payload, digest and refers_to: the largest page_id of equal payloads, for all but its own rows.
 
-    Payloads are equal if length and SHA-256 are; those under ``LEAST_REVISIT`` bytes refer to none. Rows that tie for
+    Digests are grouped, not payloads; up to ``MOST_BROADCAST`` groups of copies are broadcast, and more are joined by a
+    shuffle. Payloads are equal if length and SHA-256 are; those under ``LEAST_REVISIT`` bytes refer to none. Rows that tie for
     the largest id are all responses; a null id is never the largest, and refers if any id is known.
     """
     rows = df.withColumn("_key", F.sha2(payload, 256)).withColumn("_size", F.octet_length(payload))
     groups = stored(rows.where(F.col("_size") >= LEAST_REVISIT).groupBy("_key", "_size")
                     .agg(F.max(page_id).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "payloads")
-    return rows.join(groups, ["_key", "_size"], "left") \
+    return rows.join(broadcast_up_to(groups, MOST_BROADCAST), ["_key", "_size"], "left") \
         .withColumn("refers_to", F.when(~F.col(page_id).eqNullSafe(F.col("_first")), F.col("_first"))) \
         .drop("_key", "_size", "_first")
 
@@ -159,7 +161,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Only records on the chain from their file's start whose bytes are all there; after a broken link the rest of that
     file is off the chain. A folder without records gives an empty table. Payloads are shuffled only for records
-    whose payload holds a magic.
+    whose payload holds a magic; the tables beside them have a row per block of a file, or per such segment, and are
+    broadcast up to ``MOST_BROADCAST`` rows.
     """
     found = stored(candidates(spark, path), "candidates")
     chain = stored(reachable(found), "reached").withColumn("on", F.lit(True))
@@ -178,12 +181,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                                               pa.array([bytes(r) for r in data], pa.binary())],
                                              names=["file", "block", "rel", "value"])
 
-    starts = found.groupBy("file", "block").agg(F.min(F.expr("off - rel")).alias("base"))
+    starts = stored(found.groupBy("file", "block").agg(F.min(F.expr("off - rel")).alias("base")), "starts")
     segments = _segments(spark, path).mapInArrow(run, "file long, block long, rel long, value binary")
-    joined = segments.join(odd, ["file", "block", "rel"], "left")
-    whole = joined.where("off IS NULL").join(starts, ["file", "block"]) \
-        .select("file", F.expr("base + rel").alias("off"), "value").where("off >= 0")
-    inside = joined.where("owner IS NOT NULL AND owner_end IS NOT NULL AND off < owner_end")
+    at = ["file", "block", "rel"]
+    whole = segments.join(broadcast_up_to(starts, MOST_BROADCAST), ["file", "block"]).where("base + rel >= 0")
+    if odd.isEmpty():
+        return parse(whole.select("file", F.expr("base + rel").alias("off"), "value"))
+    whole = whole.join(broadcast_up_to(odd.select(*at), MOST_BROADCAST), at, "left_anti") \
+        .select("file", F.expr("base + rel").alias("off"), "value")
+    held = odd.where("owner IS NOT NULL AND owner_end IS NOT NULL AND off < owner_end")
+    inside = segments.join(broadcast_up_to(held, MOST_BROADCAST), at)
     part = F.struct("off", F.concat(F.when(F.col("off") == F.col("owner"), F.lit(b"")).otherwise(F.lit(MAGIC.encode())),
                                     F.col("value")).alias("value"))
     joined_parts = F.aggregate(F.array_sort(F.collect_list(part)), F.lit(b""), lambda a, p: F.concat(a, p["value"]))

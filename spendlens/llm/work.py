@@ -76,6 +76,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return store(df, label)[0]
 
 
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it has ``rows`` or fewer; else joins shuffle, as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def spread(n_rows: int, rows: int = ROWS_PER_BUCKET) -> int:
     """Buckets that hold about ``rows`` rows each."""
     return max(1, -(-n_rows // rows))
