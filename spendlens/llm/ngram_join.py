@@ -1,22 +1,29 @@
-"""Exact n-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix.
+"""N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix.
 
 Rows of the matrix are the distinct n-gram sets of the texts (equal sets share a row, named by a 64-bit digest);
 columns are n-grams. Two rows link when the overlap reaches the threshold of the union. The product is not formed
-in full: a column only counts where a pair could still reach the overlap that its sizes ask for.
+in full: only columns, and in them only pairs, count that can still reach the overlap that the sizes ask for.
 
 1. One pass over the texts writes each text's row and set size, and a sketch of how often every n-gram occurs in all
    texts. Within a row, columns are put in one global order, rarest first (estimate, then hash).
 2. A row of n entries that links at all shares one of its first n - ceil(t n) + 1 columns with the other row, so only
    these are shuffled, blocked by column; a column seen in one row falls out within its block. Columns that the
    sketch calls very frequent are split by row into several blocks, and keep entries that are alone in theirs.
-3. In each column, an entry with ``rest`` entries from it to the end of its row allows an overlap of ``rest`` at most;
-   pairs whose sizes and rests are below the size-derived overlap are discarded. Of the rest, a few rounds take one
-   pair per component, a row and a hub of its column; then come all pairs of rows in a column that those rounds have
-   not put in one component. Pairs inside a component need no test: they change no component.
-4. The overlaps of the pairs that are left are counted over the whole rows, and links found.
-
-No row, column or pair is dropped for its size: a frequent column costs blocks and not pairs, because near-copies
-meet in the first rounds (no more pairs than rows) and rows that merely share it fail the bounds of step 3.
+   Columns with the same rows become one *list* with their number as its weight: the columns of a copied passage, or of
+   a pair of copies, are many, and differ in nothing.
+3. The rows of lists are made once more, from one text each, and kept, each with a fixed-width bitmap in which every
+   entry flips a bit. Two rows differ in at least as many entries as their bitmaps in bits, which bounds the overlap from
+   above: rows that merely share a passage fall out before a pair exists.
+4. Contraction: in some rounds each component of the rows linked so far tests one pair, its best (later: a random) one
+   within the bounds with a component that comes earlier in the round's order. A group of copies is joined by about as
+   many tests as rows. Lists whose rows are in one component are done.
+5. The product over what is left: blocks of each list that still holds two components, against blocks of the same list,
+   give the pairs of rows in different components within the bounds, with the list's weight. Weights are summed up over
+   all blocks to the overlap in the first columns of both rows; with the most that the other columns can add, pairs below
+   the size-derived overlap are discarded, and the rest is counted over the whole rows.
+
+Steps 4 and 5 need no pair inside a component: it changes no component. No row, column or pair is dropped for its size.
+A list of more than ``BLOCK`` rows is dealt to blocks by row, so no task holds a list that grows with the data.
 """
 
 from __future__ import annotations
@@ -33,15 +40,20 @@ from pyspark.sql import functions as F
 from . import sketch
 from .bpe import sliced
 from .graph import components
-from .wordhash import NON_SPACE, grams, words
-from .work import stored
+from .wordhash import NON_SPACE, grams, mix, words
+from .work import drop, store, stored
 
 WORDS = 5
 THRESHOLD = (75, 100)
 TEXTS_A_BATCH = 256
 SPLIT_ROWS = 1 << 20
-FREQUENCY_BITS = 23
-STAR_ROUNDS = 2
+FREQUENCY_BITS = 21
+#: Rows of a list that one block holds, and bits of a row's bitmap.
+BLOCK = 2048
+BITMAP = 1024
+#: Rounds of contraction: at most so many, and none after one that links less than this share of the first one's.
+ROUNDS, LEAST_SHARE = 6, 0.02
+_AT_ONCE = 1 << 21
 
 
 def gram_set(text, n: int) -> np.ndarray:
@@ -53,6 +65,10 @@ def set_key(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
+def text_key(raw) -> int:
+    return xxhash.xxh3_64_intdigest(raw or b"") - (1 << 63)
+
+
 def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[tuple[int, np.ndarray, int]]:
     for i, text in enumerate(batch.column(column)):
         own = gram_set(text.as_buffer(), n)
@@ -60,11 +76,11 @@ def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[tuple[int, np.
 
 
 def _rows_and_sketch(texts: DataFrame, n: int) -> DataFrame:
-    """doc_id, n and key of every text, and, in rows of their own, slices of the tasks' sketches."""
+    """doc_id, n, key and text key of every text, and, in rows of their own, slices of the tasks' sketches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.Counts(FREQUENCY_BITS), set()
         for batch in sliced(batches):
-            sizes, keys, held = [], [], []
+            sizes, keys, held, raw = [], [], [], [text_key(t.as_buffer()) for t in batch.column(1)]
             for _, own, key in _sets(batch, 1, n):
                 sizes.append(len(own))
                 keys.append(key if len(own) else None)
@@ -74,13 +90,14 @@ def _rows_and_sketch(texts: DataFrame, n: int) -> DataFrame:
             if held:
                 counts.add(np.concatenate(held))
             yield _batch({"doc_id": (batch.column(0), pa.int64()), "n": (sizes, pa.int64()), "key": (keys, pa.int64()),
-                          "slice": ([None] * len(keys), pa.int32()), "counts": ([None] * len(keys), pa.binary())})
+                          "text_key": (raw, pa.int64()), "slice": ([None] * len(keys), pa.int32()), "counts": ([None] * len(keys), pa.binary())})
         part = counts.slices()
         yield _batch({"doc_id": ([None] * len(part), pa.int64()), "n": ([None] * len(part), pa.int64()),
-                      "key": ([None] * len(part), pa.int64()), "slice": ([i for i, _ in part], pa.int32()),
+                      "key": ([None] * len(part), pa.int64()), "text_key": ([None] * len(part), pa.int64()),
+                      "slice": ([i for i, _ in part], pa.int32()),
                       "counts": ([c for _, c in part], pa.binary())})
 
-    return texts.mapInArrow(run, "doc_id long, n long, key long, slice int, counts binary")
+    return texts.mapInArrow(run, "doc_id long, n long, key long, text_key long, slice int, counts binary")
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
@@ -124,8 +141,10 @@ def _postings(texts: DataFrame, n: int, frequency: np.ndarray, t: tuple[int, int
     return texts.mapInArrow(run, "gram long, salt int, key long, sizes long")
 
 
-def _shared_columns(postings: DataFrame) -> DataFrame:
+def _shared_columns(postings: DataFrame, with_salt: bool = False) -> DataFrame:
     """The entries of columns that hold two rows or more, and all of split columns; blocks stream through, sorted by column."""
+    names = ["gram", "key", "n", "rest"] + ["salt"] * with_salt
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 4), dtype=np.int64)
         before = None  # the column of the entry before the held one
@@ -147,56 +166,217 @@ def _shared_columns(postings: DataFrame) -> DataFrame:
             yield _entries(held)
 
     def _entries(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])),
-                                           pa.array(np.ascontiguousarray(rows[:, 2])),
-                                           pa.array(rows[:, 3] >> 32), pa.array(rows[:, 3] & 0xFFFFFFFF)],
-                                          names=["gram", "key", "n", "rest"])
-
-    return postings.mapInArrow(run, "gram long, key long, n long, rest long")
-
+        columns = [rows[:, 0], rows[:, 2], rows[:, 3] >> 32, rows[:, 3] & 0xFFFFFFFF, rows[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns[:len(names)]], names=names)
 
-def _reachable(t: tuple[int, int], a: str, b: str) -> Column:
-    """Whether entries a and b of one column allow an overlap that links: the size-derived bound."""
-    need = f"{t[0]} * ({a}.n + {b}.n)"
-    return F.expr(f"least({a}.rest, {b}.rest) * {t[0] + t[1]} >= {need}")
+    return postings.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose whole rows overlap enough; only rows of pairs are made again and shuffled."""
-    keys = sketch.of_column(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
-    sets = _sets_of(texts, keys, n)
-    left, right = sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), \
-        sets.select(F.col("key").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ga", "gb")))
-    union = F.size("ga") + F.size("gb") - F.col("common")
-    return both.where(F.col("common") * t[1] >= union * t[0]).select("a", "b")
-
-
-def _sets_of(texts: DataFrame, keys: np.ndarray, n: int) -> DataFrame:
-    """(key, grams) of every row whose key the sketch ``keys`` may hold, once each."""
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(keys > 0))
+def _lists(entries: DataFrame) -> DataFrame:
+    """(list, key, n, rest, w) of entries that stream through sorted by column: columns with the same rows become a list,
+    w of them, with the largest ``rest`` of each row. A list's number is made of its keys; equal numbers of different
+    lists, which do not happen, would make their union. A split column, seen in parts, is a list of its own.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64)] * 5
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+            done = np.flatnonzero(held[0] != held[0][-1]) if len(held[0]) else []  # the last column may go on
+            if len(done):
+                yield named([h[:done[-1] + 1] for h in held])
+                held = [h[done[-1] + 1:] for h in held]
+        if len(held[0]):
+            yield named(held)
+
+    def named(columns: list[np.ndarray]) -> pa.RecordBatch:
+        gram, key, n, rest, salt = columns
+        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        of_column = mix(np.add.reduceat(mix(key.view(np.uint64)), starts))
+        number = np.repeat(of_column, np.diff(np.append(starts, len(gram))))
+        number = np.where(salt != 0, mix(gram.view(np.uint64)), number)
+        return pa.RecordBatch.from_arrays([pa.array(number.view(np.int64)), pa.array(key), pa.array(n), pa.array(rest)],
+                                          names=["list", "key", "n", "rest"])
+
+    return entries.mapInArrow(run, "list long, key long, n long, rest long").groupBy("list", "key") \
+        .agg(F.max("n").alias("n"), F.max("rest").alias("rest"), F.count("*").alias("w"))
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """``BITMAP`` bits; every entry of the row flips one."""
+    cells = (mix(own) >> np.uint64(65 - BITMAP.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
+
+
+def _kept_sets(texts: DataFrame, rows: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """(key, grams, bits) of every row of a list, made of one text that has it; other texts are only digested."""
+    keys = members.select("key").distinct()
+    one_text = rows.where("key is not null").join(keys, "key", "left_semi").groupBy("key").agg(F.min("text_key").alias("t"))
+    wanted = texts.sparkSession.sparkContext.broadcast(np.packbits(sketch.of_column(one_text, "t") > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen, held = np.unpackbits(shared.value), set(), []
+        bits, seen, held = np.unpackbits(wanted.value), set(), []
         for batch in sliced(batches):
-            for _, own, key in _sets(batch, 1, n):
-                if key in seen or not len(own) or not wanted[sketch.cells(np.array([key]).view(np.uint64))[0]]:
+            buffers = [text.as_buffer() for text in batch.column(1)]
+            digests = np.array([text_key(raw) for raw in buffers], dtype=np.int64)
+            for i in np.flatnonzero(bits[sketch.cells(digests.view(np.uint64))]):
+                if digests[i] in seen:
                     continue
-                seen.add(key)
-                held.append((key, own.view(np.int64)))
+                seen.add(digests[i])
+                own = gram_set(buffers[i], n)
+                if len(own):
+                    held.append((set_key(own), own))
                 if len(held) == TEXTS_A_BATCH:
                     yield _keyed(held)
                     held = []
         if held:
             yield _keyed(held)
 
-    def _keyed(rows: list) -> pa.RecordBatch:
-        cuts = np.concatenate([[0], np.cumsum([len(g) for _, g in rows])]).astype(np.int32)
-        grams_of = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([g for _, g in rows])))
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), grams_of],
-                                          names=["key", "grams"])
+    def _keyed(found: list) -> pa.RecordBatch:
+        cuts = np.concatenate([[0], np.cumsum([len(g) for _, g in found])]).astype(np.int32)
+        grams_of = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([g for _, g in found]).view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), grams_of,
+                                           pa.array([bitmap(g) for _, g in found], pa.binary())], names=["key", "grams", "bits"])
+
+    made = texts.mapInArrow(run, "key long, grams array<long>, bits binary")
+    kept = stored(made.join(keys, "key", "left_semi").dropDuplicates(["key"]), "kept")
+    wanted.destroy()
+    return kept
+
+
+def _blocked(members: DataFrame, kept: DataFrame) -> DataFrame:
+    """Members with their bitmap and ``parts``, the number of blocks that their list is dealt to."""
+    large = members.groupBy("list").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
+    return members.join(large, "list", "left") \
+        .withColumn("parts", F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("long")).drop("m") \
+        .join(kept.select("key", "bits"), "key")
+
+
+_BLOCK_COLUMNS = ["list", "block", "side", "key", "root", "n", "rest", "w"]
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """The rows of one block after the other: integer columns by name, and bitmaps."""
+    held, bits = [np.zeros(0, dtype=np.int64)] * len(_BLOCK_COLUMNS), np.zeros((0, BITMAP // 64), dtype=np.uint64)
+    for batch in batches:
+        own = np.frombuffer(b"".join(batch.column(len(held)).to_pylist()), dtype=np.uint64).reshape(-1, BITMAP // 64)
+        held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+        bits = np.concatenate([bits, own])
+        cuts = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
+        for low, high in zip([0, *cuts], cuts):
+            yield dict(zip(_BLOCK_COLUMNS, (h[low:high] for h in held))), bits[low:high]
+        if len(cuts):
+            held, bits = [h[cuts[-1]:] for h in held], bits[cuts[-1]:]
+    if len(held[0]):
+        yield dict(zip(_BLOCK_COLUMNS, held)), bits
 
-    return texts.mapInArrow(run, "key long, grams array<long>").dropDuplicates(["key"])
+
+def _may_link(rows: dict[str, np.ndarray], bits: np.ndarray, t: tuple[int, int],
+              counts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing bits) of rows of a block in different components that sizes and bitmaps let link.
+
+    Sets of sizes a and b that link differ in (a + b)(1 - t)/(1 + t) entries at most. ``counts(i)`` says which pairs of the
+    rows i with all rows count.
+    """
+    n, root = rows["n"], rows["root"]
+    step, at_once = max(1, _AT_ONCE // max(1, bits.size)), _AT_ONCE // (BITMAP // 64)
+    for low in range(0, len(n), step):
+        i = np.arange(low, min(low + step, len(n)))
+        a, b = n[i][:, None], n[None, :]
+        may = (root[i][:, None] != root[None, :]) & (np.minimum(a, b) * t[1] >= np.maximum(a, b) * t[0]) & counts(i)
+        x, y = np.nonzero(may)
+        for at in range(0, len(x), at_once):
+            p, q = i[x[at:at + at_once]], y[at:at + at_once]
+            differ = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+            ok = differ * (t[0] + t[1]) <= (n[p] + n[q]) * (t[1] - t[0])
+            yield p[ok], q[ok], differ[ok]
+
+
+def _tests(members: DataFrame, turn: int, t: tuple[int, int]) -> DataFrame:
+    """At most one row (r, hub, a, b) per component r: a pair of its row b and row a of component ``hub``, which comes
+    before r in an order that each turn draws anew. The best pair in the first turn, any one later.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bits in _by_block(batches):
+            key, root, n, rest = (rows[c] for c in ("key", "root", "n", "rest"))
+            if (root == root[0]).all():
+                continue
+            order = mix(root.view(np.uint64) + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+            def earlier(i: np.ndarray, order=order, n=n, rest=rest) -> np.ndarray:
+                reach = np.minimum(rest[i][:, None], rest[None, :]) * (t[0] + t[1]) >= (n[i][:, None] + n[None, :]) * t[0]
+                return (order[None, :] < order[i][:, None]) & reach
+
+            best: dict[int, tuple] = {}
+            for i, j, differ in _may_link(rows, bits, t, earlier):
+                score = (differ << 20) // (n[i] + n[j]) if turn == 0 else \
+                    (mix(key[i].view(np.uint64) ^ order[j]) >> np.uint64(2)).view(np.int64)
+                first = np.lexsort((score, root[i]))
+                r = root[i][first]
+                for k in first[np.concatenate([[True], r[1:] != r[:-1]])] if len(r) else ():
+                    found, own = (int(score[k]), int(root[j[k]]), int(key[j[k]]), int(key[i[k]])), int(root[i[k]])
+                    best[own] = min(best.get(own, found), found)
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(best), *zip(*best.values()))],
+                                                 names=["r", "score", "hub", "a", "b"])
+
+    one = F.array(F.struct(F.pmod(F.xxhash64("key", F.lit(turn)), "parts").alias("block"), F.lit(0).alias("side")))
+    best = _blocks_of(members, one).mapInArrow(run, "r long, score long, hub long, a long, b long") \
+        .groupBy("r").agg(F.min(F.struct("score", "hub", "a", "b")).alias("best"))
+    return best.select("r", "best.hub", "best.a", "best.b")
+
+
+def _products(members: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(a, b, w) for every block of a list against every block of it: the pairs of rows in different components that sizes
+    and bitmaps let link, with the list's weight.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bits in _by_block(batches):
+            key, side, w = rows["key"], rows["side"], rows["w"]
+
+            def once(i: np.ndarray, key=key, side=side) -> np.ndarray:
+                own, other = side[i][:, None], side[None, :]
+                return (own == 0) & (other == 0) & (key[i][:, None] < key[None, :]) | (own == 1) & (other == 2)
+
+            for i, j, _ in _may_link(rows, bits, t, once):
+                if len(i):
+                    columns = (np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.maximum(w[i], w[j]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "w"])
+
+    own, parts = F.pmod(F.xxhash64("key"), F.col("parts")), F.col("parts")
+    beside = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(
+        (F.least(p, own) * parts + F.greatest(p, own)).alias("block"),
+        F.when(p == own, 0).when(own < p, 1).otherwise(2).alias("side")))
+    return _blocks_of(members, beside).mapInArrow(run, "a long, b long, w long")
+
+
+def _blocks_of(members: DataFrame, deal: Column) -> DataFrame:
+    """Members dealt to blocks by ``deal`` (an array of structs block, side), the rows of a block one after the other."""
+    dealt = members.withColumn("_to", F.explode(deal)).select(
+        "list", F.col("_to.block").cast("long").alias("block"), F.col("_to.side").cast("long").alias("side"), "key", "root", "n",
+        "rest", "w", "bits")
+    return dealt.repartition("list", "block").sortWithinPartitions("list", "block")
+
+
+def _linked(pairs: DataFrame, kept: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The pairs whose whole rows overlap enough, with all their columns."""
+    left, right = kept.select(F.col("key").alias("a"), F.col("grams").alias("ga")), \
+        kept.select(F.col("key").alias("b"), F.col("grams").alias("gb"))
+    both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ga", "gb")).cast("long"))
+    union = F.size("ga") + F.size("gb") - F.col("common")
+    return both.where(F.col("common") * t[1] >= union * t[0]).select(*pairs.columns)
+
+
+def _reachable(products: DataFrame, members: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose overlap in the first columns of both, summed over blocks, and the most that other columns can
+    add, reach the bound. A common column that is not among the first of both lies in the tail of one of them.
+    """
+    sums = products.groupBy("a", "b").agg(F.sum("w").alias("w"))
+    sizes = members.select("key", "n").distinct()
+    both = sums.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("na")), "a") \
+        .join(sizes.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+    tail = f"(({{0}} * {t[0]} + {t[1] - 1}) div {t[1]} - 1)"  # all but the first n - ceil(t n) + 1
+    return both.where(f"(w + greatest({tail.format('na')}, {tail.format('nb')})) * {t[0] + t[1]} >= (na + nb) * {t[0]}") \
+        .select("a", "b")
 
 
 def similar_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = WORDS,
@@ -209,41 +389,50 @@ def similar_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: i
     """
     texts = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
     both = stored(_rows_and_sketch(texts, n), "sets")
-    rows = both.where("slice is null").select("doc_id", "n", "key")
+    rows = both.where("slice is null").select("doc_id", "n", "key", "text_key")
     frequency = sketch.total(both.where("slice is not null"), FREQUENCY_BITS)
     blocks = _postings(texts, n, frequency, threshold).repartition("gram", "salt") \
         .sortWithinPartitions("gram", "salt", "key")
-    entries = stored(_shared_columns(blocks), "entries")
-
-    links, left, roots = [], entries.withColumn("root", F.col("key")), None
-    for turn in range(STAR_ROUNDS):
-        pairs = stored(_star_pairs(left, turn, threshold), "pairs")
-        found = stored(_linked(pairs, texts, n, threshold).join(pairs, ["a", "b"]).distinct(), "links")
+    lists = stored(_lists(_shared_columns(blocks, with_salt=True)), "lists")
+    kept = _kept_sets(texts, rows, lists, n)
+
+    members, path = store(_blocked(lists, kept).withColumn("root", F.col("key")), "members")
+    links, most = [], 0
+    for turn in range(ROUNDS):
+        pairs = stored(_tests(members, turn, threshold), "pairs")
+        found = stored(_linked(pairs, kept, threshold), "links")
         links.append(found.select("a", "b"))
+        n_found = found.count()
+        if not n_found:
+            break
+        most = max(most, n_found)
         parents = _jump(found.select(F.col("r").alias("child"), F.col("hub").alias("parent")))
-        if roots is None:
-            roots = parents.select(F.col("child").alias("key"), F.col("parent").alias("root"))
-        else:
-            moved = roots.join(parents, F.col("root") == F.col("child"), "left") \
-                .select("key", F.coalesce("parent", "root").alias("root"))
-            alone = parents.join(roots, F.col("child") == F.col("key"), "left_anti").select("child", "parent")
-            roots = moved.union(alone)
-        roots = stored(roots, "roots")
-        labelled = entries.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        open_columns = labelled.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")) \
-            .where("r0 < r1").select("gram")
-        left = stored(labelled.join(open_columns, "gram"), "open")
-    second = left.alias("x").join(left.alias("y"), F.col("x.gram") == F.col("y.gram")) \
-        .where((F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _reachable(threshold, "x", "y")) \
-        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    links.append(_linked(stored(second, "pairs"), texts, n, threshold))
-    return rows, stored(reduce(DataFrame.union, links), "links")
+        now, now_path = store(_open(_moved(members, parents)), "members")
+        drop(texts.sparkSession, path)
+        members, path = now, now_path
+        if n_found < LEAST_SHARE * most:
+            break
+    pairs = stored(_reachable(_products(members, threshold), lists, threshold), "pairs")
+    links.append(_linked(pairs, kept, threshold))
+    return rows.drop("text_key"), stored(reduce(DataFrame.union, links), "links")
+
+
+def _moved(members: DataFrame, parents: DataFrame) -> DataFrame:
+    """Members with the components that ``parents`` lead them to."""
+    return members.join(parents, F.col("root") == F.col("child"), "left") \
+        .withColumn("root", F.coalesce("parent", "root")).select(*members.columns)
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members of lists that hold two components or more."""
+    mixed = members.groupBy("list").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("list")
+    return members.join(mixed, "list", "left_semi")
 
 
 def _jump(parents: DataFrame, times: int = 3) -> DataFrame:
     """(child, parent) with every pointer led on up to 2^times steps; a pointer that ends earlier stays at its end.
 
-    Pointers go to hubs that come earlier in the turn's order, so they have no cycles.
+    Pointers go to components that come earlier in the turn's order, so they have no cycles.
     """
     for _ in range(times):
         parents = stored(parents, "parents")
@@ -253,21 +442,6 @@ def _jump(parents: DataFrame, times: int = 3) -> DataFrame:
     return parents
 
 
-def _star_pairs(entries: DataFrame, turn: int, t: tuple[int, int]) -> DataFrame:
-    """At most one row (r, hub, a, b) per component r: an entry b of it beside the first reachable hub over its columns,
-    entry a of component ``hub``.
-
-    A column's hub is the entry of its first component in a pseudo-random order that each turn draws anew.
-    """
-    drawn = entries.withColumn("o", F.xxhash64("root", F.lit(turn)))
-    hubs = drawn.groupBy("gram").agg(F.min("o").alias("o"), *(F.min_by(c, "o").alias(c) for c in ("root", "key", "n", "rest")))
-    beside = drawn.alias("y").join(hubs.alias("x"), F.col("x.gram") == F.col("y.gram")) \
-        .where((F.col("x.root") != F.col("y.root")) & _reachable(t, "x", "y")) \
-        .select(F.col("y.root").alias("r"), F.col("x.o").alias("o"), F.col("x.root").alias("hub"),
-                F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    return beside.groupBy("r").agg(*(F.min_by(c, "o").alias(c) for c in ("hub", "a", "b")))
-
-
 def near_duplicate_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = WORDS,
                           threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, key and component_id (smallest doc_id that links reach, its own included) of every row.

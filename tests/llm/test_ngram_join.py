@@ -129,6 +129,43 @@ def test_near_copies_common_passage_and_odd_rows(spark):
     assert run(df.limit(0)) == []
 
 
+@pytest.mark.parametrize("block, rounds", [(7, 6), (7, 0), (2048, 0), (50, 1)])
+def test_lists_in_blocks_with_and_without_contraction(spark, monkeypatch, block, rounds):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    rng = random.Random(block + rounds)
+    passage, base, rows = words_of(rng, 50), words_of(rng, 70), []
+    for _ in range(60):  # near-copies, also of each other, and texts that share a passage and little else
+        copy = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10 ** 6)}"
+        rows.append(" ".join(copy))
+        rows.append(" ".join([*words_of(rng, rng.randrange(0, 30)), *passage]))
+    numbered = list(enumerate(rows))
+    assert run(spark.createDataFrame(numbered, "doc_id long, text string").repartition(5)) == groups(numbered)
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 6000).astype(np.uint64)
+    for _ in range(200):
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 3000))) for _ in range(2))
+        differ = np.bitwise_count(np.frombuffer(ngram_join.bitmap(a), np.uint64) ^ np.frombuffer(ngram_join.bitmap(b), np.uint64))
+        assert differ.sum() <= len(np.setxor1d(a, b))
+    assert len(ngram_join.bitmap(pool)) * 8 == ngram_join.BITMAP
+
+
+def test_columns_with_the_same_rows_are_one_list(spark):
+    entries = [(g, k, 9, 5 + g % 2, 0) for g in (1, 2, 3, 4) for k in (7, 8)] + [(5, 7, 9, 9, 0), (5, 9, 9, 9, 0)] + \
+        [(6, 7, 9, 4, 1)]
+    df = spark.createDataFrame(entries, "gram long, key long, n long, rest long, salt long").coalesce(1) \
+        .sortWithinPartitions("gram", "salt", "key")
+    by_list = {}
+    for r in ngram_join._lists(df).collect():
+        by_list.setdefault(r["list"], []).append((r["key"], r["n"], r["rest"], r["w"]))
+    assert sorted(sorted(v) for v in by_list.values()) == [[(7, 9, 4, 1)], [(7, 9, 6, 4), (8, 9, 6, 4)], [(7, 9, 9, 1), (9, 9, 9, 1)]]
+
+
 def test_columns_split_into_blocks(spark, monkeypatch):
     rng = random.Random(5)
     base = words_of(rng, 30)
