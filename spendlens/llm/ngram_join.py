@@ -52,8 +52,9 @@ FREQUENCY_BITS = 21
 BLOCK = 2048
 BITMAP = 1024
 #: Rounds of contraction: at most so many, and none after one that links less than this share of the first one's.
-ROUNDS, LEAST_SHARE = 6, 0.02
+ROUNDS, LEAST_SHARE = 20, 0.002
 _AT_ONCE = 1 << 21
+PAIRS_HELD = 1 << 20
 
 
 def gram_set(text, n: int) -> np.ndarray:
@@ -327,9 +328,10 @@ def _tests(members: DataFrame, turn: int, t: tuple[int, int]) -> DataFrame:
 
 def _products(members: DataFrame, t: tuple[int, int]) -> DataFrame:
     """(a, b, w) for every block of a list against every block of it: the pairs of rows in different components that sizes
-    and bitmaps let link, with the list's weight.
+    and bitmaps let link, with the weights of the lists that a task has met them in, up to ``PAIRS_HELD`` pairs at a time.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
         for rows, bits in _by_block(batches):
             key, side, w = rows["key"], rows["side"], rows["w"]
 
@@ -338,9 +340,25 @@ def _products(members: DataFrame, t: tuple[int, int]) -> DataFrame:
                 return (own == 0) & (other == 0) & (key[i][:, None] < key[None, :]) | (own == 1) & (other == 2)
 
             for i, j, _ in _may_link(rows, bits, t, once):
-                if len(i):
-                    columns = (np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.maximum(w[i], w[j]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "w"])
+                held.append((np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.maximum(w[i], w[j])))
+                n_held += len(i)
+                if n_held >= PAIRS_HELD:
+                    held = [summed(held)]
+                    if 2 * len(held[0][0]) >= PAIRS_HELD:
+                        yield batch_of(held.pop())
+                    n_held = len(held[0][0]) if held else 0
+        if held:
+            yield batch_of(summed(held))
+
+    def summed(parts: list) -> tuple:
+        a, b, w = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((b, a))
+        a, b, w = a[order], b[order], w[order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else order
+        return a[new], b[new], np.add.reduceat(w, new) if len(a) else w
+
+    def batch_of(columns: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "w"])
 
     own, parts = F.pmod(F.xxhash64("key"), F.col("parts")), F.col("parts")
     beside = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(
