@@ -9,8 +9,9 @@ one run of frames in one file:
 Frames of kind IDS hold ``BLOCK_IDS`` ids of the shard's stream (the last one fewer), each in the fewest bits that
 hold the vocabulary, whatever the document borders. Frames of kind DOCS hold, for up to ``BLOCK_DOCS`` documents, a
 null flag, the doc_id and the id count. The frame of kind END lists the byte offset, relative to the shard's first
-frame, of every IDS frame. A reader finds position p of a shard in block p // BLOCK_IDS, seeks to its offset, and
-unpacks any range of it with numpy.
+frame, of every IDS frame, and last its own. A shard is a file of its own, whose number is the shard's. To read some ids
+(``lookup``), the end of the file leads to the END frame, this to block p // BLOCK_IDS of position p, and only the bytes that
+hold the ids asked for are read and unpacked with numpy. A reader of whole files (``read``) goes from frame to frame.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Memo, sliced
+from .bpe import REMEMBERED, sliced
 from .pretoken import splitter
-from .work import new_path, offsets, stored
+from .work import hadoop, new_path, offsets, stored
 
 MAGIC = int.from_bytes(b"TOKFRAME", "little")
 HEADER = 8
@@ -35,6 +37,8 @@ IDS, DOCS, END = 0, 1, 2
 BLOCK_IDS = 1 << 16
 BLOCK_DOCS = 1 << 13
 SHARD_TEXT_BYTES = 24 << 20
+#: Words that are given to the library side by side.
+WORDS_BESIDE = 256
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -55,9 +59,13 @@ def unpack(data, bits: int, count: int, first: int = 0) -> np.ndarray:
     if bits in (8, 16, 32):
         return np.frombuffer(data, dtype=f"<u{bits // 8}", count=count, offset=first * bits // 8).astype(np.uint32)
     low, high = first * bits // 8, -(-(first + count) * bits // 8)
-    raw = np.unpackbits(np.frombuffer(data, dtype=np.uint8, count=high - low, offset=low), bitorder="little")
-    at = first * bits - low * 8
-    planes = raw[at:at + count * bits].reshape(count, bits)
+    return unpack_bits(memoryview(data)[low:high], bits, count, first * bits - low * 8)
+
+
+def unpack_bits(data, bits: int, count: int, skip: int) -> np.ndarray:
+    """``count`` ids of ``bits`` bits each, after ``skip`` bits of the bytes."""
+    raw = np.unpackbits(np.frombuffer(data, dtype=np.uint8), bitorder="little")
+    planes = raw[skip:skip + count * bits].reshape(count, bits)
     return planes.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
@@ -66,7 +74,9 @@ class LibraryTokenizer:
     """A tokenizer of the ``tokenizers`` library, as its JSON text, and the pattern of its pre-tokenizer.
 
     With no normalizer and a byte-level pre-tokenizer that only splits, a text's ids are those of its pre-tokens
-    side by side; each distinct pre-token is then given to the library once per worker and remembered. A text is cut
+    side by side; the pre-tokens of a batch that are not remembered are then given to the library, each once, and
+    remembered while there is room. Those that are a space and letters are given side by side, as one text of many, and
+    its ids are dealt out by the bytes that each stands for. A text is cut
     at the tokenizer's added tokens first; if these take in text around them or can overlap, a text that holds one is
     given to the library whole. Any other tokenizer is given whole texts. With ``added_tokens=False`` special tokens in
     a text are plain text.
@@ -92,22 +102,66 @@ class LibraryTokenizer:
         pre = spec["pre_tokenizer"] or {}
         self.by_word = not spec["normalizer"] and not spec["post_processor"] and pre.get("type") == "ByteLevel" \
             and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        many = getattr(t, "encode_batch_fast", t.encode_batch)
         self.whole = lambda text: t.encode(text, add_special_tokens=False).ids
-        self.memo = Memo(self.whole)
+        self.many = lambda texts: [e.ids for e in many(texts, add_special_tokens=False)]
+        self.memo: dict[str, bytes] = {}
+        size = t.get_vocab_size(with_added_tokens=True)
+        self.bytes_of = np.array([len(t.id_to_token(i) or "") for i in range(size)]) if self.by_word else None
         added = [a for a in spec.get("added_tokens") or [] if a["content"] and (self.added_tokens or not a["special"])]
         self.cut = re.compile("(" + "|".join(re.escape(a["content"]) for a in added) + ")") if added else None
         self.cut_alone = len(added) == 1 and not any(added[0].get(k) for k in ("single_word", "lstrip", "rstrip"))
 
     def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text as int32."""
         if "memo" not in self.__dict__:
             self._ready()
-        held = self.cut is not None and self.cut.search(text)
-        if not self.by_word or held and not self.cut_alone:
-            return np.array(self.whole(text), dtype="<i4")
-        split, out = splitter(self.pattern), []
-        for i, piece in enumerate(self.cut.split(text) if held else [text]):
-            out += [self.memo[piece]] if i % 2 else map(self.memo.__getitem__, split(piece))
-        return np.frombuffer(b"".join(out), dtype="<i4")
+        split, known, missing, out = splitter(self.pattern), self.memo.get, set(), []
+        for text in texts:
+            held = self.cut is not None and self.cut.search(text)
+            if not self.by_word or held and not self.cut_alone:
+                out.append(np.array(self.whole(text), dtype="<i4"))
+                continue
+            words = []
+            for i, piece in enumerate(self.cut.split(text) if held else [text]):
+                words += [piece] if i % 2 else split(piece)
+            ids = list(map(known, words))
+            if None in ids:
+                missing.update(w for w, x in zip(words, ids) if x is None)
+            out.append((words, ids))
+        new = self._learn(missing)
+        for k, made in enumerate(out):
+            if isinstance(made, tuple):
+                words, ids = made
+                if None in ids:
+                    ids = [new[w] if x is None else x for w, x in zip(words, ids)]
+                out[k] = np.frombuffer(b"".join(ids), dtype="<i4")
+        return out
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Pre-token -> its ids as little-endian int32 bytes, by the library."""
+        beside = [w for w in words if w[:1] == " " and w[1:].isalpha()]
+        alone = list(words.difference(beside))
+        groups = [beside[i:i + WORDS_BESIDE] for i in range(0, len(beside), WORDS_BESIDE)]
+        texts = ["".join(g) for g in groups]
+        new: dict[str, bytes] = {}
+        for group, text, ids in zip(groups, texts, self.many(texts) if texts else []):
+            ids = np.array(ids, dtype="<i4")
+            ends = np.cumsum(self.bytes_of[ids])
+            of_words = np.cumsum([len(w.encode()) for w in group])
+            cuts = np.searchsorted(ends, of_words) + 1
+            if self.cut is not None and self.cut.search(text) or len(ends) < cuts[-1] or (ends[cuts - 1] != of_words).any():
+                alone += group  # not the ids of these words side by side
+                continue
+            data, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            new.update((w, data[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
+        new.update((w, np.array(ids, dtype="<i4").tobytes()) for w, ids in zip(alone, self.many(alone) if alone else []))
+        room = REMEMBERED - len(self.memo)
+        self.memo.update(islice(new.items(), max(0, room)))
+        return new
 
     def __getstate__(self):
         return {"json": self.json, "pattern": self.pattern, "added_tokens": self.added_tokens}
@@ -145,7 +199,7 @@ def write(df: DataFrame, path: str, tokenizer: LibraryTokenizer, doc_id: str = "
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, first_ids = shared.value
         for batch in sliced(batches):
-            ids = [np.concatenate([own.encode(t.as_py() or ""), tail]) for t in batch.column(1)]
+            ids = [np.concatenate([made, tail]) for made in own.encode_all([t or "" for t in batch.column(1).to_pylist()])]
             known = pc.fill_null(batch.column(0), 0).to_numpy()
             shard = np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), 0,
                              np.searchsorted(first_ids, known, side="right"))
@@ -224,7 +278,7 @@ class _Shard:
         self._blocks(1)
         if self.docs:
             self._documents()
-        self._frame(END, self.position, len(self.offsets), 64, np.array(self.offsets, dtype="<i8").tobytes())
+        self._frame(END, self.position, len(self.offsets), 64, np.array([*self.offsets, self.bytes], dtype="<i8").tobytes())
         return self.take()
 
 
@@ -294,18 +348,40 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     return files.mapInArrow(run, f"shard int, doc_id long, shard_start long, n_tokens long, {value[0]} {value[1]}")
 
 
-def lookup(spark: SparkSession, path: str, shard: int, first: int, count: int) -> list[int]:
-    """Random access: ``count`` ids of one shard from position ``first``; one row comes back to the driver."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                for got, _, _, blocks in shards_in(data.as_buffer()):
-                    if got == shard:
-                        span = read_span(data.as_buffer(), blocks, first, count).astype(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array([span], pa.list_(pa.int64()))], names=["ids"])
+def _bytes_at(stream, at: int, count: int) -> bytes:
+    """``count`` bytes of an open file from byte ``at``."""
+    stream.seek(at)
+    return bytes(stream.readNBytes(count))
 
-    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "ids array<long>").first()
-    return found["ids"] if found else []
+
+def lookup(spark: SparkSession, path: str, shard: int, first: int, count: int) -> list[int]:
+    """Random access: ``count`` ids of one shard from position ``first``. One file is opened, and of it only the end, the
+    block offsets, and the headers and bytes of the blocks that hold these ids are read. IndexError beyond the shard's ids.
+    """
+    folder, fs = hadoop(spark, path)
+    files = [] if count < 0 or first < 0 else fs.globStatus(hadoop(spark, f"{path}/part-{shard:05d}-*")[0])
+    if not files:
+        raise IndexError(f"no shard {shard} in {path}")
+    stream, size = fs.open(files[0].getPath()), files[0].getLen()
+    try:
+        ints = lambda at, n: np.frombuffer(_bytes_at(stream, at, 8 * n), dtype="<i8")
+        end = int(ints(size - 9, 1)[0])  # the END frame's own offset, before the newline byte
+        _, kind, own, _, ids, blocks, _, _ = ints(end, HEADER).tolist()
+        if kind != END or own != shard or first + count > ids:
+            raise IndexError(f"no ids {first} to {first + count} in shard {shard}")
+        parts, left = [], count
+        while left:
+            block, skip = divmod(first, BLOCK_IDS)
+            at = int(ints(end + 8 * (HEADER + block), 1)[0])
+            _, _, _, _, _, held, bits, _ = ints(at, HEADER).tolist()
+            n = min(left, held - skip)
+            low, high = skip * bits // 8, -(-(skip + n) * bits // 8)
+            data = _bytes_at(stream, at + 8 * HEADER + low, high - low)
+            parts.append(unpack_bits(data, bits, n, skip * bits - low * 8))
+            first, left = first + n, left - n
+    finally:
+        stream.close()
+    return np.concatenate(parts).tolist() if parts else []
 
 
 def global_starts(docs: DataFrame) -> DataFrame:

@@ -49,18 +49,19 @@ def ship(spark: SparkSession) -> None:
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; it goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/spendlens-{label}-{uuid.uuid4().hex}"
-    hadoop_path, fs = _fs(spark, path)
+    hadoop_path, fs = hadoop(spark, path)
     fs.deleteOnExit(hadoop_path)
     return path
 
 
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table that no later plan reads."""
-    hadoop_path, fs = _fs(spark, path)
+    hadoop_path, fs = hadoop(spark, path)
     fs.delete(hadoop_path, True)
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
+    """A path and its file system, whichever that is."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
 

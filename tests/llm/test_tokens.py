@@ -140,6 +140,47 @@ def test_token_files_odd_rows(spark):
     assert token_files.read(spark, empty).collect() == []
 
 
+def test_lookup_reads_only_the_blocks_asked_for(spark, monkeypatch):
+    own = queries.library_tokenizer()
+    rng = np.random.default_rng(7)
+    words = [" " + "".join(rng.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    rows = [(i, "".join(rng.choice(words, 6000))) for i in range(40)]
+    path = new_path(spark, "test-lookup")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, own, shard_text_bytes=900_000)
+    docs = token_files.read(spark, path).orderBy("shard", "shard_start").collect()
+    of_shard = {}
+    for r in docs:
+        of_shard.setdefault(r.shard, []).extend(r.ids)
+    assert len(of_shard) > 1 and min(map(len, of_shard.values())) > 3 * token_files.BLOCK_IDS
+    touched = []
+    plain = token_files._bytes_at
+    monkeypatch.setattr(token_files, "_bytes_at", lambda stream, at, n: touched.append(n) or plain(stream, at, n))
+    for shard, ids in of_shard.items():
+        for first, count in ((0, 1), (token_files.BLOCK_IDS - 5, 10), (len(ids) - 1, 1), (100_000, 1000), (7, 0)):
+            touched.clear()
+            assert token_files.lookup(spark, path, shard, first, count) == ids[first:first + count]
+            assert sum(touched) <= 8 + 64 + 2 * (8 + 64) + 2 * count + 4
+        for first, count in ((len(ids), 1), (0, len(ids) + 1), (-1, 1)):
+            with pytest.raises(IndexError):
+                token_files.lookup(spark, path, shard, first, count)
+    with pytest.raises(IndexError):
+        token_files.lookup(spark, path, 99, 0, 1)
+
+
+def test_batches_equal_the_library(monkeypatch):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(3)
+    letters = list("abcdeéß漢𝒳ñÀ'’1 2\n-.")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 400))) for _ in range(300)] + TRICKY + ADDED
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for beside, room in ((256, 1 << 18), (1, 0), (7, 50)):
+        monkeypatch.setattr(token_files, "WORDS_BESIDE", beside)
+        monkeypatch.setattr(token_files, "REMEMBERED", room)
+        own = queries.library_tokenizer(added_tokens=True)
+        assert [x.tolist() for x in own.encode_all(texts)] == want
+        assert [x.tolist() for x in own.encode_all(texts)] == want and len(own.memo) <= room
+
+
 ADDED = ["a <|endoftext|> tail", "<|endoftext|>", "<|endoftext|><|endoftext|> ", "x \n <|endoftext|>  y<|endoftext|>é", "<|endoftext"]
 
 
