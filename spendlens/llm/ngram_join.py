@@ -52,7 +52,7 @@ FREQUENCY_BITS = 21
 BLOCK = 2048
 BITMAP = 1024
 #: Rounds of contraction: at most so many, and none after one that links less than this share of the first one's.
-ROUNDS, LEAST_SHARE = 20, 0.002
+ROUNDS, LEAST_SHARE = 12, 0.005
 _AT_ONCE = 1 << 21
 PAIRS_HELD = 1 << 20
 
@@ -208,24 +208,35 @@ def bitmap(own: np.ndarray) -> bytes:
     return np.packbits((np.bincount(cells, minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
 
 
+def _pick(doc_ids: pa.Array, text_keys: np.ndarray) -> np.ndarray:
+    """A digest of id and text; a null id counts as 0."""
+    return mix(text_keys.view(np.uint64) ^ mix(doc_ids.fill_null(0).to_numpy().view(np.uint64))).view(np.int64)
+
+
 def _kept_sets(texts: DataFrame, rows: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """(key, grams, bits) of every row of a list, made of one text that has it; other texts are only digested."""
-    keys = members.select("key").distinct()
-    one_text = rows.where("key is not null").join(keys, "key", "left_semi").groupBy("key").agg(F.min("text_key").alias("t"))
-    wanted = texts.sparkSession.sparkContext.broadcast(np.packbits(sketch.of_column(one_text, "t") > 0))
+    keys = stored(members.select("key").distinct(), "keys")
+
+    def picks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_pick(batch.column(0), batch.column(1).to_numpy()))], names=["pick"])
+
+    one = rows.where("key is not null").join(keys, "key", "left_semi") \
+        .groupBy("key").agg(F.min(F.struct("text_key", "doc_id")).alias("one"))
+    one = one.select(F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key")).mapInArrow(picks, "pick long")
+    wanted = texts.sparkSession.sparkContext.broadcast(np.packbits(sketch.of_column(one, "pick") > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen, held = np.unpackbits(wanted.value), set(), []
         for batch in sliced(batches):
             buffers = [text.as_buffer() for text in batch.column(1)]
-            digests = np.array([text_key(raw) for raw in buffers], dtype=np.int64)
+            digests = _pick(batch.column(0), np.array([text_key(raw) for raw in buffers], dtype=np.int64))
             for i in np.flatnonzero(bits[sketch.cells(digests.view(np.uint64))]):
-                if digests[i] in seen:
-                    continue
-                seen.add(digests[i])
                 own = gram_set(buffers[i], n)
-                if len(own):
-                    held.append((set_key(own), own))
+                key = set_key(own)
+                if len(own) and key not in seen:
+                    seen.add(key)
+                    held.append((key, own))
                 if len(held) == TEXTS_A_BATCH:
                     yield _keyed(held)
                     held = []
@@ -376,12 +387,13 @@ def _blocks_of(members: DataFrame, deal: Column) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, kept: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The pairs whose whole rows overlap enough, with all their columns."""
-    left, right = kept.select(F.col("key").alias("a"), F.col("grams").alias("ga")), \
-        kept.select(F.col("key").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ga", "gb")).cast("long"))
-    union = F.size("ga") + F.size("gb") - F.col("common")
-    return both.where(F.col("common") * t[1] >= union * t[0]).select(*pairs.columns)
+    """The pairs whose whole rows overlap enough, with all their columns; only the rows of pairs are shuffled."""
+    sides = stored(pairs.withColumn("key", F.explode(F.array("a", "b"))), "sides")
+    both = kept.select("key", "grams").join(sides, "key").groupBy(*pairs.columns).agg(F.collect_list("grams").alias("g"))
+    ga, gb = F.get("g", F.lit(0)), F.get("g", F.lit(1))  # of either side one
+    counted = both.withColumn("common", F.size(F.array_intersect(ga, gb)).cast("long")) \
+        .withColumn("union", F.size(ga) + F.size(gb) - F.col("common"))
+    return counted.where(F.col("common") * t[1] >= F.col("union") * t[0]).select(*pairs.columns)
 
 
 def _reachable(products: DataFrame, members: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -425,7 +437,7 @@ def similar_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: i
             break
         most = max(most, n_found)
         parents = _jump(found.select(F.col("r").alias("child"), F.col("hub").alias("parent")))
-        now, now_path = store(_open(_moved(members, parents)), "members")
+        now, now_path = store(_open(_moved(members, stored(parents, "parents"))), "members")
         drop(texts.sparkSession, path)
         members, path = now, now_path
         if n_found < LEAST_SHARE * most:
@@ -444,7 +456,7 @@ def _moved(members: DataFrame, parents: DataFrame) -> DataFrame:
 def _open(members: DataFrame) -> DataFrame:
     """The members of lists that hold two components or more."""
     mixed = members.groupBy("list").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("list")
-    return members.join(mixed, "list", "left_semi")
+    return members.join(stored(mixed, "mixed"), "list", "left_semi")
 
 
 def _jump(parents: DataFrame, times: int = 3) -> DataFrame:
