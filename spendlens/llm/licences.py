@@ -5,9 +5,9 @@ them. A part's words are its runs of ASCII letters and digits, lower-cased. Dice
 bigrams of both; since common is min(a, b) at most, a template is a candidate only if its size lets Dice reach the
 threshold, and a line or sentence with too few words for every template is not compared at all.
 
-A template's windows have as many bigrams as its size lets reach the threshold, and start and end with one of its own
-(without a foreign end Dice is larger). They are only looked for in texts that hold, as substrings, both words of as many
-of its bigrams as Dice needs. Of overlapping windows those that no other beats are taken, and none that a better match of
+A text is only taken apart if it holds, as substrings, both words of as many bigrams of a template as Dice needs. A
+template's windows have as many bigrams as its size lets reach the threshold, and start and end with one of its own
+(without a foreign end Dice is larger). Of overlapping windows those that no other beats are taken, and none that a better match of
 the same licence contains. DataFrame functions only; the templates are a fixed list of literals.
 """
 
@@ -82,11 +82,11 @@ def _least_common(size: int, threshold: float) -> int:
 def may_hold(lower: Column, grams: list[str], threshold: float) -> Column:
     """Whether a lower-cased text holds both words of enough of a template's bigrams; first a few words decide.
 
-    The first words take part in so many bigrams that too few are left without them.
+    The first words take part in so many bigrams that too few are left without them; long words are rare, so they go first.
     """
     need, left, first = _least_common(len(grams), threshold), [g.split(" ") for g in grams], []
     while len(left) >= need:
-        word = max({w for g in left for w in g}, key=lambda w: (sum(w in g for g in left) * min(len(w), 6), w))
+        word = max({w for g in left for w in g}, key=lambda w: (sum(w in g for g in left) * len(w) ** 3, w))
         first.append(word)
         left = [g for g in left if word not in g]
     has = lower.contains
@@ -101,7 +101,7 @@ def windows(pairs: Column, name: str, grams: list[str], threshold: float) -> Col
     held = F.filter(F.transform(pairs, lambda g, i: F.when(F.array_contains(own, g), i)), lambda i: i.isNotNull())
 
     def from_here(at: Column, i: Column, k: Column) -> Column:
-        ends = F.filter(F.slice(at, k + need, max(1, most - need + 1)), lambda j: j - i < most)
+        ends = F.filter(F.slice(at, k + need - 1, max(1, most - need + 1)), lambda j: j - i < most)
         scored = F.transform(ends, lambda j: F.struct(dice_of(F.array_distinct(F.slice(pairs, i + 1, j - i + 1))).alias("dice"),
                                                       (-i).alias("i"), (-j).alias("j")))
         return F.array_max(F.filter(scored, lambda w: w["dice"] >= threshold))
@@ -168,7 +168,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: l
     rows = row.withColumn("lower", F.lower("text")).withColumn("may", may) \
         .withColumn("ws", F.when(F.size("may") > 0, words(F.col("text")))) \
         .withColumn("pairs", _pairs(F.col("ws"))) \
-        .select("doc_id", F.flatten(F.transform(sized, matches)).alias("found"),
+        .select("doc_id", F.when(F.size("may") > 0, F.flatten(F.transform(sized, matches))).otherwise(none).alias("found"),
                 F.when(F.size("may") > 0, F.array_distinct(wide)).otherwise(none).alias("wide"))
     new = F.filter("wide", lambda w: ~F.exists("found", lambda m: _covers(m, w)) & ~F.exists(
         "wide", lambda m: (m["words"] != w["words"]) & _covers(m, w)))

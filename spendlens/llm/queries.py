@@ -146,29 +146,57 @@ ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _licence_sql() -> str:
-    known = [(name, grams) for name, t in licences.TEMPLATES if (grams := licences.template_bigrams(t))]
-    rows = ",\n    ".join(f"('{name}', {grams!r})" for name, grams in known)
+    """Lines, sentences and windows of words as ``licences.scan`` has them, by joins of bigrams; the best match of a row."""
+    known = [(name, grams) for name, t in licences.NOTICES if (grams := licences.template_bigrams(t))]
+    reach = licences.THRESHOLD / (2 - licences.THRESHOLD)
+    rows = ",\n    ".join(f"({k}, '{name}', {int(len(g) / reach + 1e-9)}, {g!r})" for k, (name, g) in enumerate(known))
+    dice = "2.0::DOUBLE * len(list_intersect({0}, t.grams)) / (len({0}) + len(t.grams))"
+    lower = f"regexp_extract_all(translate({{}}, '{UPPER}', '{LOWER}'), '[a-z0-9]+')"
+    grams = "list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])"
+    covers = "m.licence = w.licence AND m.dice >= w.dice AND contains(' ' || m.words || ' ', ' ' || w.words || ' ')"
     return f"""
-WITH t(licence, grams) AS (VALUES
+WITH t(k, licence, most, grams) AS (VALUES
     {rows}),
 l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 p AS (
   SELECT doc_id, line AS part FROM l
   UNION SELECT doc_id, unnest(string_split(regexp_replace(line, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1))) FROM l
 ),
-w AS (SELECT doc_id, part, regexp_extract_all(translate(part, '{UPPER}', '{LOWER}'), '[a-z0-9]+') AS ws FROM p),
 g AS (
-  SELECT doc_id, part, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams
-  FROM w WHERE len(ws) > 1
+  SELECT doc_id, part, array_to_string(ws, ' ') AS words, list_distinct({grams}) AS own
+  FROM (SELECT doc_id, part, {lower.format('part')} AS ws FROM p) WHERE len(ws) > 1
 ),
-m AS (
-  SELECT doc_id, licence, part, 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice
-  FROM g CROSS JOIN t
+found AS (
+  SELECT DISTINCT doc_id, licence, part, words, dice
+  FROM (SELECT *, {dice.format('g.own')} AS dice FROM g CROSS JOIN t) WHERE dice >= {licences.THRESHOLD}
 ),
-b AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence, part) AS r
-  FROM m WHERE dice >= {licences.THRESHOLD}
-)
+d AS (SELECT doc_id, ws, {grams} AS ps FROM (SELECT DISTINCT doc_id, {lower.format("coalesce(text, '')")} AS ws FROM documents)),
+h AS (
+  SELECT doc_id, ws, ps, k, i FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM d)
+  JOIN (SELECT k, unnest(grams) AS gram FROM t) ON gram = ps[i]
+),
+s AS (
+  SELECT a.doc_id, a.k, t.licence, a.i, b.i AS j, array_to_string(a.ws[a.i:b.i + 1], ' ') AS words,
+         {dice.format('list_distinct(a.ps[a.i:b.i])')} AS dice
+  FROM h a JOIN h b ON b.doc_id IS NOT DISTINCT FROM a.doc_id AND b.k = a.k AND b.ws = a.ws AND b.i >= a.i JOIN t ON t.k = a.k
+  WHERE b.i - a.i < t.most
+),
+f AS (
+  SELECT * FROM s WHERE dice >= {licences.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, k, i ORDER BY dice DESC, j) = 1
+),
+wide AS (
+  SELECT DISTINCT doc_id, licence, words AS part, words, dice FROM f w
+  WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.doc_id IS NOT DISTINCT FROM w.doc_id AND o.k = w.k AND o.i <= w.j AND o.j >= w.i
+                    AND (o.dice, -o.i, -o.j) > (w.dice, -w.i, -w.j))
+),
+every AS (
+  SELECT * FROM found
+  UNION ALL SELECT * FROM wide w
+  WHERE NOT EXISTS (SELECT 1 FROM found m WHERE m.doc_id IS NOT DISTINCT FROM w.doc_id AND {covers})
+    AND NOT EXISTS (SELECT 1 FROM wide m WHERE m.doc_id IS NOT DISTINCT FROM w.doc_id AND m.words <> w.words AND {covers})
+),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, licence, part) AS r FROM every)
 SELECT d.doc_id, b.licence, coalesce(b.dice, 0.0) AS dice, b.part
 FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND b.r = 1"""
 

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +189,56 @@ def test_wrapped_notices(spark):
     assert got[3].part == mit and got[5].part == "released under the mit license"
 
 
+def window_matches(text, name, grams, threshold=0.8):
+    """The windows of a text that match a template, by trying all: (dice, licence, words) of those that no overlapping beats."""
+    ws = re.findall("[a-z0-9]+", text.translate(str.maketrans(licences.UPPER, licences.LOWER)))
+    pairs = [f"{a} {b}" for a, b in zip(ws, ws[1:])]
+    size, own, best = len(grams), set(grams), []
+    most = int(size / (threshold / (2 - threshold)) + 1e-9)
+    for i, g in enumerate(pairs):
+        if g in own:
+            found = []
+            for j in range(i, min(len(pairs), i + most)):
+                window = set(pairs[i:j + 1])
+                dice = 2.0 * len(window & own) / (len(window) + size)
+                if pairs[j] in own and dice >= threshold:
+                    found.append((dice, -i, -j))
+            best += [max(found)] if found else []
+    kept = [w for w in best if not any(o > w and o[1] >= w[2] and o[2] <= w[1] for o in best)]
+    return {(d, name, " ".join(ws[-i:-j + 2])) for d, i, j in kept}
+
+
+def test_windows_equal_brute_force_and_sql(spark, tmp_path):
+    rng, rows = random.Random(8), []
+    notices = [t for _, t in licences.NOTICES]
+    for i in range(60):
+        ws = ["some"] * rng.randrange(4)
+        for _ in range(rng.randrange(1, 4)):
+            own = rng.choice(notices).split(" ")
+            for _ in range(rng.randrange(0, 4)):  # words lost, changed and put in
+                k = rng.randrange(len(own))
+                own[k:k + rng.randrange(2)] = rng.choice([[], ["other"], [own[k], own[k]]])
+            ws += own + ["more"] * rng.randrange(3)
+        rows.append((i, "".join(w + rng.choice([" ", " ", "  ", "\n", "\n * "]) for w in ws)))
+    rows += [(100, None), (101, ""), (102, "\n".join(["Licensed under", "CC BY-NC 4.0."] * 20))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in licences.scan(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()}
+    known = [(name, licences.template_bigrams(t)) for name, t in licences.NOTICES]
+    plain = lambda part: " ".join(re.findall("[a-z0-9]+", part.lower()))
+    for i, text in rows:
+        found = {(m.dice, m.licence, plain(m.part)) for m in got[i].matches}
+        wide = set().union(*(window_matches(text or "", *t) for t in known))
+        covered = lambda w, others: any(m[1] == w[1] and m[0] >= w[0] and m != w and f" {w[2]} " in f" {m[2]} "
+                                        for m in others)
+        assert all(w in found or covered(w, found | wide) for w in wide), (i, wide - found)
+        in_lines = {plain(p) for line in (text or "").split("\n") for p in [line, *re.split("(?<=[.!?]) +", line)]}
+        assert all(m in wide or m[2] in in_lines for m in found), (i, found - wide)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLE_SQL["op9_licence_scan"]).fetchall())
+    assert sorted((r.doc_id, r.licence, r.dice, r.part) for r in got.values()) == want
+
+
 def test_all_licences_of_a_text(spark, tmp_path):
     mit, cc = "Released under the MIT License.", "Licensed under CC BY-NC 4.0."
     rows = [(9, f"{mit}\n{cc}"), (10, f"{mit}\nNow {cc}"), (11, "None here."), (12, None)]
