@@ -69,8 +69,8 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
                  template: str = TEMPLATE) -> DataFrame:
     """(conv_id, part, n_turns, rendered) of every maximal conversation: part p holds turns p * BLOCK + 1 and on.
 
-    ``template`` renders a turn; a null role or text renders as nothing. Repeated turns of a conversation are turns
-    like others. An empty table gives an empty one; other columns are left out.
+    ``template`` renders a turn; a null role or text renders as nothing, but is another one than an empty one, so that two
+    conversations that differ in this alone both stay. Repeated turns of a conversation are turns like others. An empty table gives an empty one; other columns are left out.
     """
     prefixes = prefix_hashes(df, conv, turn, role, text)
     kept = maximal(prefixes).select(F.col("conv_id").alias("kept"))

@@ -307,16 +307,22 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN is_plain THEN 'plain' WHEN suff
                    ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
        sha256(whole) AS restored_sha256
 FROM p""",
-    "op8_chat_format": """
+    "op8_chat_format": f"""
 WITH l AS (
-  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn, role, text) AS turns
+  SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
   FROM conversations GROUP BY conv_id
 ),
 proper AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM l) x),
-m AS (SELECT min(conv_id) AS conv_id, turns FROM l GROUP BY turns)
-SELECT conv_id, CAST(0 AS BIGINT) AS part, CAST(len(turns) AS BIGINT) AS n_turns,
-       array_to_string(list_transform(turns, lambda x: '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10)), '') AS rendered
-FROM m WHERE NOT EXISTS (SELECT 1 FROM proper p WHERE p.turns = m.turns)""",
+m AS (SELECT min(conv_id) AS conv_id, turns FROM l GROUP BY turns),
+b AS (
+  SELECT conv_id, part, turns[part * {chat.BLOCK} + 1:(part + 1) * {chat.BLOCK}] AS turns
+  FROM (SELECT *, unnest(range((len(turns) - 1) // {chat.BLOCK} + 1)) AS part
+        FROM m WHERE NOT EXISTS (SELECT 1 FROM proper p WHERE p.turns = m.turns))
+)
+SELECT conv_id, part, CAST(len(turns) AS BIGINT) AS n_turns,
+       array_to_string(list_transform(turns, lambda x: '<|' || coalesce(x.r, '') || '|>' || chr(10) || coalesce(x.t, '')
+                                                 || '<|end|>' || chr(10)), '') AS rendered
+FROM b""",
     "op9_licence_scan": _licence_sql(),
     "op6_ngram_jaccard": f"""
 WITH RECURSIVE w AS (

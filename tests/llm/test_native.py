@@ -140,6 +140,23 @@ def test_chat_collapse(spark):
     assert chat.format_chats(df.limit(0)).collect() == []
 
 
+def test_chats_with_nulls_and_many_turns_equal_the_sql(spark, tmp_path):
+    long = [(1, t, "user" if t % 2 else "bot", f"turn {t}") for t in range(2050)]
+    rows = long + [(2, *r[1:]) for r in long[:1025]] + [(3, *r[1:]) for r in long] + [
+        (4, 1, "user", None), (4, 2, None, "x"), (5, 1, "user", ""), (5, 2, "", "x"), (6, 1, "user", None),
+        (7, None, "user", "first"), (7, 1, "bot", "then"), (8, 1, "user", "first"), (8, 2, "bot", "then"),
+        (None, 1, "user", "no id"), (None, 2, "bot", None), (9, 1, "user", "no id"), (10, 1, "b", "same"), (10, 1, "a", "same"),
+        (10, 1, None, "same"), (11, 3, "é", "漢\n"), (11, 3, "é", "漢\n")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, part string")
+    df.repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(map(tuple, queries.op8_chat_format(spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLE_SQL["op8_chat_format"]).fetchall(), key=repr)
+    assert got == want
+    assert {(c, p) for c, p, _, _ in got} == {(1, 0), (1, 1), (1, 2), (4, 0), (5, 0), (7, 0), (None, 0), (10, 0), (11, 0)}
+
+
 def test_chat_blocks_and_repeated_turns(spark, monkeypatch):
     monkeypatch.setattr(chat, "BLOCK", 4)
     rng = random.Random(8)
