@@ -11,9 +11,10 @@ in full: only columns, and in them only pairs, count that can still reach the ov
    sketch calls very frequent are split by row into several blocks, and keep entries that are alone in theirs.
    Columns with the same rows become one *list* with their number as its weight: the columns of a copied passage, or of
    a pair of copies, are many, and differ in nothing.
-3. The rows of lists are made once more, from one text each, and kept, each with a fixed-width bitmap in which every
-   entry flips a bit. Two rows differ in at least as many entries as their bitmaps in bits, which bounds the overlap from
-   above: rows that merely share a passage fall out before a pair exists.
+3. Step 1 also makes a fixed-width bitmap of each row, in which every entry flips a bit. Two rows differ in at least as many
+   entries as their bitmaps in bits, which bounds the overlap from above: rows that merely share a passage fall out before
+   a pair exists. A row without any partner that sizes and bitmaps let link leaves all lists; the rows that stay are made
+   once more, from one text each, and kept.
 4. Contraction: in some rounds each component of the rows linked so far tests one pair, its best (later: a random) one
    within the bounds with a component that comes earlier in the round's order. A group of copies is joined by about as
    many tests as rows. Lists whose rows are in one component are done.
@@ -77,28 +78,32 @@ def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[tuple[int, np.
 
 
 def _rows_and_sketch(texts: DataFrame, n: int) -> DataFrame:
-    """doc_id, n, key and text key of every text, and, in rows of their own, slices of the tasks' sketches."""
+    """doc_id, n, key and text key of every text, bitmaps of rows that a task meets for the first time, and, in rows of their
+    own, slices of the tasks' sketches.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.Counts(FREQUENCY_BITS), set()
         for batch in sliced(batches):
-            sizes, keys, held, raw = [], [], [], [text_key(t.as_buffer()) for t in batch.column(1)]
+            sizes, keys, held, raw, bits = [], [], [], [text_key(t.as_buffer()) for t in batch.column(1)], []
             for _, own, key in _sets(batch, 1, n):
                 sizes.append(len(own))
                 keys.append(key if len(own) else None)
+                bits.append(bitmap(own) if len(own) and key not in seen else None)
                 if key not in seen:
                     seen.add(key)
                     held.append(own)
             if held:
                 counts.add(np.concatenate(held))
             yield _batch({"doc_id": (batch.column(0), pa.int64()), "n": (sizes, pa.int64()), "key": (keys, pa.int64()),
-                          "text_key": (raw, pa.int64()), "slice": ([None] * len(keys), pa.int32()), "counts": ([None] * len(keys), pa.binary())})
+                          "text_key": (raw, pa.int64()), "bits": (bits, pa.binary()), "slice": ([None] * len(keys), pa.int32()), "counts": ([None] * len(keys), pa.binary())})
         part = counts.slices()
         yield _batch({"doc_id": ([None] * len(part), pa.int64()), "n": ([None] * len(part), pa.int64()),
                       "key": ([None] * len(part), pa.int64()), "text_key": ([None] * len(part), pa.int64()),
+                      "bits": ([None] * len(part), pa.binary()),
                       "slice": ([i for i, _ in part], pa.int32()),
                       "counts": ([c for _, c in part], pa.binary())})
 
-    return texts.mapInArrow(run, "doc_id long, n long, key long, text_key long, slice int, counts binary")
+    return texts.mapInArrow(run, "doc_id long, n long, key long, text_key long, bits binary, slice int, counts binary")
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
@@ -214,7 +219,7 @@ def _pick(doc_ids: pa.Array, text_keys: np.ndarray) -> np.ndarray:
 
 
 def _kept_sets(texts: DataFrame, rows: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """(key, grams, bits) of every row of a list, made of one text that has it; other texts are only digested."""
+    """(key, grams) of every row of a list, made of one text that has it; other texts are only digested."""
     keys = stored(members.select("key").distinct(), "keys")
 
     def picks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,111 +251,144 @@ def _kept_sets(texts: DataFrame, rows: DataFrame, members: DataFrame, n: int) ->
     def _keyed(found: list) -> pa.RecordBatch:
         cuts = np.concatenate([[0], np.cumsum([len(g) for _, g in found])]).astype(np.int32)
         grams_of = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([g for _, g in found]).view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), grams_of,
-                                           pa.array([bitmap(g) for _, g in found], pa.binary())], names=["key", "grams", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), grams_of], names=["key", "grams"])
 
-    made = texts.mapInArrow(run, "key long, grams array<long>, bits binary")
+    made = texts.mapInArrow(run, "key long, grams array<long>")
     kept = stored(made.join(keys, "key", "left_semi").dropDuplicates(["key"]), "kept")
     wanted.destroy()
     return kept
 
 
-def _blocked(members: DataFrame, kept: DataFrame) -> DataFrame:
-    """Members with their bitmap and ``parts``, the number of blocks that their list is dealt to."""
-    large = members.groupBy("list").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
-    return members.join(large, "list", "left") \
+def _blocked(lists: DataFrame, bits: DataFrame) -> DataFrame:
+    """Members with their bitmap, their component (their own yet) and ``parts``, the blocks that their list is dealt to."""
+    large = stored(lists.groupBy("list").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK), "large")
+    return lists.join(large, "list", "left") \
         .withColumn("parts", F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("long")).drop("m") \
-        .join(kept.select("key", "bits"), "key")
+        .join(bits, "key").withColumn("root", F.col("key"))
 
 
 _BLOCK_COLUMNS = ["list", "block", "side", "key", "root", "n", "rest", "w"]
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """The rows of one block after the other: integer columns by name, and bitmaps."""
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """Whole blocks, some at a time: integer columns by name, bitmaps, and the end of the block of each row."""
     held, bits = [np.zeros(0, dtype=np.int64)] * len(_BLOCK_COLUMNS), np.zeros((0, BITMAP // 64), dtype=np.uint64)
+
+    def blocks(high: int):
+        cut = (held[0][1:high] != held[0][:high - 1]) | (held[1][1:high] != held[1][:high - 1])
+        ends = np.append(np.flatnonzero(cut) + 1, high)
+        return dict(zip(_BLOCK_COLUMNS, (h[:high] for h in held))), bits[:high], np.repeat(ends, np.diff(ends, prepend=0))
+
     for batch in batches:
         own = np.frombuffer(b"".join(batch.column(len(held)).to_pylist()), dtype=np.uint64).reshape(-1, BITMAP // 64)
         held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
         bits = np.concatenate([bits, own])
-        cuts = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
-        for low, high in zip([0, *cuts], cuts):
-            yield dict(zip(_BLOCK_COLUMNS, (h[low:high] for h in held))), bits[low:high]
-        if len(cuts):
-            held, bits = [h[cuts[-1]:] for h in held], bits[cuts[-1]:]
+        done = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1])) if len(held[0]) else []
+        if len(done):  # the last block may go on
+            yield blocks(done[-1] + 1)
+            held, bits = [h[done[-1] + 1:] for h in held], bits[done[-1] + 1:]
     if len(held[0]):
-        yield dict(zip(_BLOCK_COLUMNS, held)), bits
+        yield blocks(len(held[0]))
+
 
+def _pairs(end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j of rows of a block, for rows whose block ends at ``end``, about ``_AT_ONCE`` words of bitmaps at a time."""
+    at, held, n = np.arange(len(end)), [], 0
+    for d in range(1, int((end - at).max(initial=0))):
+        i = np.flatnonzero(at + d < end)
+        held.append((i, i + d))
+        n += len(i)
+        if n * (BITMAP // 64) >= _AT_ONCE:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
-def _may_link(rows: dict[str, np.ndarray], bits: np.ndarray, t: tuple[int, int],
-              counts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, differing bits) of rows of a block in different components that sizes and bitmaps let link.
 
-    Sets of sizes a and b that link differ in (a + b)(1 - t)/(1 + t) entries at most. ``counts(i)`` says which pairs of the
-    rows i with all rows count.
+def _may_link(rows: dict[str, np.ndarray], bits: np.ndarray, end: np.ndarray,
+              t: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, differing bits), i < j, of rows of a block in different components that sizes and bitmaps let link.
+
+    Sets of sizes a and b that link differ in (a + b)(1 - t)/(1 + t) entries at most.
     """
     n, root = rows["n"], rows["root"]
-    step, at_once = max(1, _AT_ONCE // max(1, bits.size)), _AT_ONCE // (BITMAP // 64)
-    for low in range(0, len(n), step):
-        i = np.arange(low, min(low + step, len(n)))
-        a, b = n[i][:, None], n[None, :]
-        may = (root[i][:, None] != root[None, :]) & (np.minimum(a, b) * t[1] >= np.maximum(a, b) * t[0]) & counts(i)
-        x, y = np.nonzero(may)
-        for at in range(0, len(x), at_once):
-            p, q = i[x[at:at + at_once]], y[at:at + at_once]
-            differ = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
-            ok = differ * (t[0] + t[1]) <= (n[p] + n[q]) * (t[1] - t[0])
-            yield p[ok], q[ok], differ[ok]
+    for i, j in _pairs(end):
+        may = (root[i] != root[j]) & (np.minimum(n[i], n[j]) * t[1] >= np.maximum(n[i], n[j]) * t[0])
+        i, j = i[may], j[may]
+        differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        ok = differ * (t[0] + t[1]) <= (n[i] + n[j]) * (t[1] - t[0])
+        yield i[ok], j[ok], differ[ok]
+
+
+def _partnered(members: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(key) of the rows that have a partner in a list which sizes and bitmaps let link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bits, end in _by_block(batches):
+            some = np.zeros(len(end), dtype=bool)
+            for i, j, _ in _may_link(rows, bits, end, t):
+                some[i] = some[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(rows["key"][some]))], names=["key"])
+
+    return _blocks_of(members, _beside()).mapInArrow(run, "key long").distinct()
 
 
 def _tests(members: DataFrame, turn: int, t: tuple[int, int]) -> DataFrame:
     """At most one row (r, hub, a, b) per component r: a pair of its row b and row a of component ``hub``, which comes
     before r in an order that each turn draws anew. The best pair in the first turn, any one later.
     """
+    names = ["r", "score", "hub", "a", "b"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, bits in _by_block(batches):
+        for rows, bits, end in _by_block(batches):
             key, root, n, rest = (rows[c] for c in ("key", "root", "n", "rest"))
-            if (root == root[0]).all():
-                continue
             order = mix(root.view(np.uint64) + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-
-            def earlier(i: np.ndarray, order=order, n=n, rest=rest) -> np.ndarray:
-                reach = np.minimum(rest[i][:, None], rest[None, :]) * (t[0] + t[1]) >= (n[i][:, None] + n[None, :]) * t[0]
-                return (order[None, :] < order[i][:, None]) & reach
-
-            best: dict[int, tuple] = {}
-            for i, j, differ in _may_link(rows, bits, t, earlier):
+            found = [np.zeros((0, len(names)), dtype=np.int64)]
+            for i, j, differ in _may_link(rows, bits, end, t):
+                ok = np.minimum(rest[i], rest[j]) * (t[0] + t[1]) >= (n[i] + n[j]) * t[0]
+                i, j, differ = i[ok], j[ok], differ[ok]
+                later = np.where(order[i] > order[j], i, j)
+                hub = i + j - later
                 score = (differ << 20) // (n[i] + n[j]) if turn == 0 else \
-                    (mix(key[i].view(np.uint64) ^ order[j]) >> np.uint64(2)).view(np.int64)
-                first = np.lexsort((score, root[i]))
-                r = root[i][first]
-                for k in first[np.concatenate([[True], r[1:] != r[:-1]])] if len(r) else ():
-                    found, own = (int(score[k]), int(root[j[k]]), int(key[j[k]]), int(key[i[k]])), int(root[i[k]])
-                    best[own] = min(best.get(own, found), found)
-            if best:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(best), *zip(*best.values()))],
-                                                 names=["r", "score", "hub", "a", "b"])
+                    (mix(key[later].view(np.uint64) ^ order[hub]) >> np.uint64(2)).view(np.int64)
+                found.append(np.column_stack([root[later], score, root[hub], key[hub], key[later]]))
+                if sum(map(len, found)) > PAIRS_HELD:
+                    found = [_first_of_each(np.concatenate(found))]
+            best = _first_of_each(np.concatenate(found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in best.T], names=names)
 
     one = F.array(F.struct(F.pmod(F.xxhash64("key", F.lit(turn)), "parts").alias("block"), F.lit(0).alias("side")))
-    best = _blocks_of(members, one).mapInArrow(run, "r long, score long, hub long, a long, b long") \
+    best = _blocks_of(members, one).mapInArrow(run, ", ".join(f"{c} long" for c in names)) \
         .groupBy("r").agg(F.min(F.struct("score", "hub", "a", "b")).alias("best"))
     return best.select("r", "best.hub", "best.a", "best.b")
 
 
+def _first_of_each(rows: np.ndarray) -> np.ndarray:
+    """The least row for each value of the first column."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])] if len(rows) else rows
+
+
+def _beside() -> Column:
+    """Every block of a list against every block of it: (block, side), side 0 where both are the same."""
+    own, parts = F.pmod(F.xxhash64("key"), F.col("parts")), F.col("parts")
+    return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(
+        (F.least(p, own) * parts + F.greatest(p, own)).alias("block"),
+        F.when(p == own, 0).when(own < p, 1).otherwise(2).alias("side")))
+
+
 def _products(members: DataFrame, t: tuple[int, int]) -> DataFrame:
     """(a, b, w) for every block of a list against every block of it: the pairs of rows in different components that sizes
     and bitmaps let link, with the weights of the lists that a task has met them in, up to ``PAIRS_HELD`` pairs at a time.
+
+    Lists go to tasks by their least key, so those of one group of copies, which share most of their pairs, meet.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
-        for rows, bits in _by_block(batches):
+        for rows, bits, end in _by_block(batches):
             key, side, w = rows["key"], rows["side"], rows["w"]
-
-            def once(i: np.ndarray, key=key, side=side) -> np.ndarray:
-                own, other = side[i][:, None], side[None, :]
-                return (own == 0) & (other == 0) & (key[i][:, None] < key[None, :]) | (own == 1) & (other == 2)
-
-            for i, j, _ in _may_link(rows, bits, t, once):
+            for i, j, _ in _may_link(rows, bits, end, t):
+                once = (side[i] == 0) & (side[j] == 0) | (side[i] + side[j] == 3)
+                i, j = i[once], j[once]
                 held.append((np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.maximum(w[i], w[j])))
                 n_held += len(i)
                 if n_held >= PAIRS_HELD:
@@ -371,19 +409,18 @@ def _products(members: DataFrame, t: tuple[int, int]) -> DataFrame:
     def batch_of(columns: tuple) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "w"])
 
-    own, parts = F.pmod(F.xxhash64("key"), F.col("parts")), F.col("parts")
-    beside = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(
-        (F.least(p, own) * parts + F.greatest(p, own)).alias("block"),
-        F.when(p == own, 0).when(own < p, 1).otherwise(2).alias("side")))
-    return _blocks_of(members, beside).mapInArrow(run, "a long, b long, w long")
+    anchors = stored(members.groupBy("list").agg(F.min("key").alias("anchor")), "anchors")
+    return _blocks_of(members.join(anchors, "list"), _beside(), "anchor").mapInArrow(run, "a long, b long, w long")
 
 
-def _blocks_of(members: DataFrame, deal: Column) -> DataFrame:
-    """Members dealt to blocks by ``deal`` (an array of structs block, side), the rows of a block one after the other."""
+def _blocks_of(members: DataFrame, deal: Column, by: str = "list") -> DataFrame:
+    """Members dealt to blocks by ``deal`` (an array of structs block, side), the rows of a block one after the other in the
+    task that column ``by`` and the block lead to.
+    """
     dealt = members.withColumn("_to", F.explode(deal)).select(
-        "list", F.col("_to.block").cast("long").alias("block"), F.col("_to.side").cast("long").alias("side"), "key", "root", "n",
-        "rest", "w", "bits")
-    return dealt.repartition("list", "block").sortWithinPartitions("list", "block")
+        F.col(by).alias("by"), "list", F.col("_to.block").cast("long").alias("block"), F.col("_to.side").cast("long").alias("side"),
+        "key", "root", "n", "rest", "w", "bits")
+    return dealt.repartition("by", "block").sortWithinPartitions("list", "block").drop("by")
 
 
 def _linked(pairs: DataFrame, kept: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -424,9 +461,10 @@ def similar_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: i
     blocks = _postings(texts, n, frequency, threshold).repartition("gram", "salt") \
         .sortWithinPartitions("gram", "salt", "key")
     lists = stored(_lists(_shared_columns(blocks, with_salt=True)), "lists")
-    kept = _kept_sets(texts, rows, lists, n)
-
-    members, path = store(_blocked(lists, kept).withColumn("root", F.col("key")), "members")
+    bits = stored(both.where("bits is not null").select("key", "bits").dropDuplicates(["key"]), "bits")
+    some = stored(_partnered(_blocked(lists, bits), threshold), "partnered")
+    members, path = store(_open(_blocked(lists.join(some, "key", "left_semi"), bits)), "members")
+    kept = _kept_sets(texts, rows, members, n)
     links, most = [], 0
     for turn in range(ROUNDS):
         pairs = stored(_tests(members, turn, threshold), "pairs")
@@ -442,7 +480,7 @@ def similar_sets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: i
         members, path = now, now_path
         if n_found < LEAST_SHARE * most:
             break
-    pairs = stored(_reachable(_products(members, threshold), lists, threshold), "pairs")
+    pairs = stored(_reachable(_products(members, threshold), members, threshold), "pairs")
     links.append(_linked(pairs, kept, threshold))
     return rows.drop("text_key"), stored(reduce(DataFrame.union, links), "links")
 
