@@ -39,6 +39,7 @@ BLOCK_DOCS = 1 << 13
 SHARD_TEXT_BYTES = 24 << 20
 #: Words that are given to the library side by side.
 WORDS_BESIDE = 256
+TEXTS_AT_ONCE = 64
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -116,9 +117,12 @@ class LibraryTokenizer:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of every text as int32."""
+        """The ids of every text as int32; the words of ``TEXTS_AT_ONCE`` texts are held at a time."""
         if "memo" not in self.__dict__:
             self._ready()
+        return [ids for low in range(0, len(texts), TEXTS_AT_ONCE) for ids in self._encode_some(texts[low:low + TEXTS_AT_ONCE])]
+
+    def _encode_some(self, texts: list[str]) -> list[np.ndarray]:
         split, known, missing, out = splitter(self.pattern), self.memo.get, set(), []
         for text in texts:
             held = self.cut is not None and self.cut.search(text)
