@@ -42,7 +42,7 @@ from . import sketch
 from .bpe import sliced
 from .graph import components
 from .wordhash import NON_SPACE, grams, mix, words
-from .work import drop, store, stored
+from .work import broadcast_up_to, drop, store, stored
 
 WORDS = 5
 THRESHOLD = (75, 100)
@@ -54,6 +54,8 @@ BLOCK = 2048
 BITMAP = 1024
 #: Rounds of contraction: at most so many, and none after one that links less than this share of the first one's.
 ROUNDS, LEAST_SHARE = 12, 0.005
+#: Tables of a few integers a row are broadcast up to so many rows, and shuffled beyond.
+MOST_BROADCAST = 200_000
 _AT_ONCE = 1 << 21
 PAIRS_HELD = 1 << 20
 
@@ -94,21 +96,19 @@ def _rows_and_sketch(texts: DataFrame, n: int) -> DataFrame:
                     held.append(own)
             if held:
                 counts.add(np.concatenate(held))
-            yield _batch({"doc_id": (batch.column(0), pa.int64()), "n": (sizes, pa.int64()), "key": (keys, pa.int64()),
-                          "text_key": (raw, pa.int64()), "bits": (bits, pa.binary()), "slice": ([None] * len(keys), pa.int32()), "counts": ([None] * len(keys), pa.binary())})
+            none = [None] * len(keys)
+            yield _batch(batch.column(0), sizes, keys, raw, bits, none, none)
         part = counts.slices()
-        yield _batch({"doc_id": ([None] * len(part), pa.int64()), "n": ([None] * len(part), pa.int64()),
-                      "key": ([None] * len(part), pa.int64()), "text_key": ([None] * len(part), pa.int64()),
-                      "bits": ([None] * len(part), pa.binary()),
-                      "slice": ([i for i, _ in part], pa.int32()),
-                      "counts": ([c for _, c in part], pa.binary())})
+        none = [None] * len(part)
+        yield _batch(none, none, none, none, none, [i for i, _ in part], [c for _, c in part])
 
     return texts.mapInArrow(run, "doc_id long, n long, key long, text_key long, bits binary, slice int, counts binary")
 
 
-def _batch(columns: dict) -> pa.RecordBatch:
-    arrays = [c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in columns.values()]
-    return pa.RecordBatch.from_arrays(arrays, names=list(columns))
+def _batch(doc_id, n, key, raw, bits, part, counts) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary()]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip((doc_id, n, key, raw, bits, part, counts), kinds)]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "key", "text_key", "bits", "slice", "counts"])
 
 
 def _postings(texts: DataFrame, n: int, frequency: np.ndarray, t: tuple[int, int]) -> DataFrame:
@@ -219,7 +219,9 @@ def _pick(doc_ids: pa.Array, text_keys: np.ndarray) -> np.ndarray:
 
 
 def _kept_sets(texts: DataFrame, rows: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """(key, grams) of every row of a list, made of one text that has it; other texts are only digested."""
+    """(key, grams) of every row of a list, made of the row of ``texts`` of least text key and id that has it (more than once
+    only where that is repeated); most other texts are only digested.
+    """
     keys = stored(members.select("key").distinct(), "keys")
 
     def picks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,20 +230,23 @@ def _kept_sets(texts: DataFrame, rows: DataFrame, members: DataFrame, n: int) ->
 
     one = rows.where("key is not null").join(keys, "key", "left_semi") \
         .groupBy("key").agg(F.min(F.struct("text_key", "doc_id")).alias("one"))
-    one = one.select(F.col("one.doc_id").alias("doc_id"), F.col("one.text_key").alias("text_key")).mapInArrow(picks, "pick long")
-    wanted = texts.sparkSession.sparkContext.broadcast(np.packbits(sketch.of_column(one, "pick") > 0))
+    one = stored(one.select("key", F.col("one.doc_id").alias("id"), F.col("one.text_key").alias("t")), "picked")
+    picked = one.select("id", "t").mapInArrow(picks, "pick long")
+    wanted = texts.sparkSession.sparkContext.broadcast(np.packbits(sketch.of_column(picked, "pick") > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen, held = np.unpackbits(wanted.value), set(), []
         for batch in sliced(batches):
-            buffers = [text.as_buffer() for text in batch.column(1)]
-            digests = _pick(batch.column(0), np.array([text_key(raw) for raw in buffers], dtype=np.int64))
+            buffers, ids = [text.as_buffer() for text in batch.column(1)], batch.column(0).to_pylist()
+            text_keys = np.array([text_key(raw) for raw in buffers], dtype=np.int64)
+            digests = _pick(batch.column(0), text_keys)
             for i in np.flatnonzero(bits[sketch.cells(digests.view(np.uint64))]):
+                if digests[i] in seen:
+                    continue
+                seen.add(digests[i])
                 own = gram_set(buffers[i], n)
-                key = set_key(own)
-                if len(own) and key not in seen:
-                    seen.add(key)
-                    held.append((key, own))
+                if len(own):
+                    held.append((set_key(own), ids[i], int(text_keys[i]), own))
                 if len(held) == TEXTS_A_BATCH:
                     yield _keyed(held)
                     held = []
@@ -249,12 +254,15 @@ def _kept_sets(texts: DataFrame, rows: DataFrame, members: DataFrame, n: int) ->
             yield _keyed(held)
 
     def _keyed(found: list) -> pa.RecordBatch:
-        cuts = np.concatenate([[0], np.cumsum([len(g) for _, g in found])]).astype(np.int32)
-        grams_of = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([g for _, g in found]).view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), grams_of], names=["key", "grams"])
-
-    made = texts.mapInArrow(run, "key long, grams array<long>")
-    kept = stored(made.join(keys, "key", "left_semi").dropDuplicates(["key"]), "kept")
+        key, doc_id, text, own = zip(*found)
+        cuts = np.concatenate([[0], np.cumsum([len(g) for g in own])]).astype(np.int32)
+        grams_of = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(own).view(np.int64)))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (key, doc_id, text)), grams_of],
+                                          names=["k", "doc_id", "text_key", "grams"])
+
+    made = texts.mapInArrow(run, "k long, doc_id long, text_key long, grams array<long>")
+    same = (F.col("k") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("t"))
+    kept = stored(made.join(broadcast_up_to(one, MOST_BROADCAST), same).select("key", "grams"), "kept")
     wanted.destroy()
     return kept
 
@@ -426,10 +434,10 @@ def _blocks_of(members: DataFrame, deal: Column, by: str = "list") -> DataFrame:
 def _linked(pairs: DataFrame, kept: DataFrame, t: tuple[int, int]) -> DataFrame:
     """The pairs whose whole rows overlap enough, with all their columns; only the rows of pairs are shuffled."""
     sides = stored(pairs.withColumn("key", F.explode(F.array("a", "b"))), "sides")
-    both = kept.select("key", "grams").join(sides, "key").groupBy(*pairs.columns).agg(F.collect_list("grams").alias("g"))
-    ga, gb = F.get("g", F.lit(0)), F.get("g", F.lit(1))  # of either side one
-    counted = both.withColumn("common", F.size(F.array_intersect(ga, gb)).cast("long")) \
-        .withColumn("union", F.size(ga) + F.size(gb) - F.col("common"))
+    of = lambda side: F.min(F.when(F.col("key") == F.col(side), F.col("grams")))  # noqa: E731  a repeated row has equal grams
+    both = kept.join(broadcast_up_to(sides, MOST_BROADCAST), "key").groupBy(*pairs.columns).agg(of("a").alias("ga"), of("b").alias("gb"))
+    counted = both.withColumn("common", F.size(F.array_intersect("ga", "gb")).cast("long")) \
+        .withColumn("union", F.size("ga") + F.size("gb") - F.col("common"))
     return counted.where(F.col("common") * t[1] >= F.col("union") * t[0]).select(*pairs.columns)
 
 
