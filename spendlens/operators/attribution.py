@@ -48,13 +48,13 @@ def _q(name: str) -> str:
 
 
 # Trailing sums keep every digit of the spend. On DECIMAL spend (up to 6 digits after the
-# point) and integers they are exact, and a K-row trailing sum is a difference of running sums, cum(i) - cum(i - K): the running sum is an incremental frame and LAG an
-# offset, both O(1) per row, whereas a sliding ROWS frame re-adds the whole frame for every
-# row (O(K) per row and expression). A running count of non-NULL values keeps SUM's rule
-# that a frame of NULLs sums to NULL. DOUBLE spend is summed over the sliding frame itself, as
-# differences of running sums would lose small amounts; so is the calendar-day form (RANGE).
-# Everything is written as SQL expression strings: dozens of per-channel expressions cost
-# one JVM call each.
+# point) and integers they are exact, and a K-row trailing sum is a difference of running sums,
+# cum(i) - cum(i - K): the running sum is an incremental frame and LAG an offset, both O(1) per
+# row, whereas a sliding ROWS frame re-adds the whole frame for every row (O(K) per row and
+# expression). A running count of non-NULL values keeps SUM's rule that a frame of NULLs sums to
+# NULL. DOUBLE spend is summed over the sliding frame itself, as differences of running sums
+# would lose small amounts; so is the calendar-day form (RANGE). Everything is written as SQL
+# expression strings: dozens of per-channel expressions cost one JVM call each.
 
 EXACT_SCALE = 6
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import SF001
-from helpers import COLS, D0, day, factors_df, long_df, revenue_df, spend_df
+from helpers import COLS, D0, day, factors_df, revenue_df, spend_df
 from spendlens import operators as ops
 from spendlens.__main__ import run
 from spendlens.operators import bins, blocks
