@@ -16,6 +16,7 @@ hold the ids asked for are read and unpacked with numpy. A reader of whole files
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import REMEMBERED, sliced
-from .pretoken import splitter
+from .pretoken import BYTE_LEVEL, starts
 from .work import hadoop, new_path, offsets, stored
 
 MAGIC = int.from_bytes(b"TOKFRAME", "little")
@@ -39,7 +40,10 @@ BLOCK_DOCS = 1 << 13
 SHARD_TEXT_BYTES = 24 << 20
 #: Words that are given to the library side by side.
 WORDS_BESIDE = 256
-TEXTS_AT_ONCE = 64
+#: Texts in a call of the library; what it makes of them is freed before the next call.
+TEXTS_AT_ONCE = 32
+#: Code points of texts that are split at once, or one text of more.
+POINTS_AT_ONCE = 1 << 21
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -75,9 +79,10 @@ class LibraryTokenizer:
     """A tokenizer of the ``tokenizers`` library, as its JSON text, and the pattern of its pre-tokenizer.
 
     With no normalizer and a byte-level pre-tokenizer that only splits, a text's ids are those of its pre-tokens
-    side by side; the pre-tokens of a batch that are not remembered are then given to the library, each once, and
-    remembered while there is room. Those that are a space and letters are given side by side, as one text of many, and
-    its ids are dealt out by the bytes that each stands for. A text is cut
+    side by side. The texts of a batch are then split with numpy and their distinct pre-tokens found with Arrow; those
+    that are not remembered are given to the library, each once, and remembered while there is room. Those that are a
+    space and letters are given side by side, as one text of many, and its ids are dealt out by the bytes that each
+    stands for. A text is cut
     at the tokenizer's added tokens first; if these take in text around them or can overlap, a text that holds one is
     given to the library whole. Any other tokenizer is given whole texts. With ``added_tokens=False`` special tokens in
     a text are plain text.
@@ -102,10 +107,11 @@ class LibraryTokenizer:
         t, spec = self._library(), json.loads(self.json)
         pre = spec["pre_tokenizer"] or {}
         self.by_word = not spec["normalizer"] and not spec["post_processor"] and pre.get("type") == "ByteLevel" \
-            and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+            and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and self.pattern == BYTE_LEVEL
         many = getattr(t, "encode_batch_fast", t.encode_batch)
         self.whole = lambda text: t.encode(text, add_special_tokens=False).ids
-        self.many = lambda texts: [e.ids for e in many(texts, add_special_tokens=False)]
+        self.many = lambda texts: (e.ids for low in range(0, len(texts), TEXTS_AT_ONCE)
+                                   for e in many(texts[low:low + TEXTS_AT_ONCE], add_special_tokens=False))
         self.memo: dict[str, bytes] = {}
         size = t.get_vocab_size(with_added_tokens=True)
         self.bytes_of = np.array([len(t.id_to_token(i) or "") for i in range(size)]) if self.by_word else None
@@ -117,33 +123,56 @@ class LibraryTokenizer:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of every text as int32; the words of ``TEXTS_AT_ONCE`` texts are held at a time."""
+        """The ids of every text as int32; about ``POINTS_AT_ONCE`` code points are split at a time."""
         if "memo" not in self.__dict__:
             self._ready()
-        return [ids for low in range(0, len(texts), TEXTS_AT_ONCE) for ids in self._encode_some(texts[low:low + TEXTS_AT_ONCE])]
+        out, low, held = [], 0, 0
+        for high, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= POINTS_AT_ONCE or high == len(texts):
+                out += self._encode_some(texts[low:high])
+                low, held = high, 0
+        return out
 
     def _encode_some(self, texts: list[str]) -> list[np.ndarray]:
-        split, known, missing, out = splitter(self.pattern), self.memo.get, set(), []
-        for text in texts:
-            held = self.cut is not None and self.cut.search(text)
-            if not self.by_word or held and not self.cut_alone:
-                out.append(np.array(self.whole(text), dtype="<i4"))
-                continue
-            words = []
-            for i, piece in enumerate(self.cut.split(text) if held else [text]):
-                words += [piece] if i % 2 else split(piece)
-            ids = list(map(known, words))
-            if None in ids:
-                missing.update(w for w, x in zip(words, ids) if x is None)
-            out.append((words, ids))
-        new = self._learn(missing)
-        for k, made in enumerate(out):
-            if isinstance(made, tuple):
-                words, ids = made
-                if None in ids:
-                    ids = [new[w] if x is None else x for w, x in zip(words, ids)]
-                out[k] = np.frombuffer(b"".join(ids), dtype="<i4")
-        return out
+        any_held = self.cut is not None and self.cut.search("".join(texts))
+        held = [bool(any_held and self.cut.search(text)) for text in texts]
+        whole = [not self.by_word or h and not self.cut_alone for h in held]
+        pieces = [[] if w else self.cut.split(text) if h else [text] for text, h, w in zip(texts, held, whole)]
+        ids, ends = self._by_word([p for ps in pieces for p in ps], [i % 2 == 1 for ps in pieces for i in range(len(ps))])
+        cuts = ends[np.cumsum([0, *map(len, pieces)])].tolist()
+        return [np.array(self.whole(text), dtype="<i4") if w else ids[a:b]
+                for text, w, a, b in zip(texts, whole, cuts, cuts[1:])]
+
+    def _by_word(self, pieces: list[str], added: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces side by side, and where each piece begins and the last one ends; an added token is a word."""
+        text = "".join(pieces)
+        if not text:
+            return np.zeros(0, dtype="<i4"), np.zeros(len(pieces) + 1, dtype=np.int64)
+        data = text.encode()
+        points = np.frombuffer(data, dtype=np.uint8) if len(data) == len(text) else \
+            np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        bounds = np.cumsum([0, *map(len, pieces)])
+        first = np.zeros(len(points), dtype=bool)
+        first[bounds[bounds < len(points)]] = True
+        start = starts(points, first)
+        for k in np.flatnonzero(added).tolist():
+            start[bounds[k] + 1:bounds[k + 1]] = False
+        at = np.flatnonzero(start)
+        of_pieces = np.searchsorted(at, bounds)
+        if len(data) > len(text):
+            at = np.flatnonzero((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)[at]
+        words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data))
+        words = words.dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        made = list(map(self.memo.get, distinct))
+        if None in made:
+            new = self._learn({w for w, ids in zip(distinct, made) if ids is None})
+            made = [new[w] if ids is None else ids for w, ids in zip(distinct, made)]
+        made = pa.array(made, pa.large_binary()).take(words.indices)
+        _, ends, data = made.buffers()
+        ends = np.frombuffer(ends, dtype=np.int64, count=len(made) + 1) // 4
+        return np.frombuffer(data, dtype="<i4", count=int(ends[-1])), ends[of_pieces]
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Pre-token -> its ids as little-endian int32 bytes, by the library."""
@@ -152,7 +181,7 @@ class LibraryTokenizer:
         groups = [beside[i:i + WORDS_BESIDE] for i in range(0, len(beside), WORDS_BESIDE)]
         texts = ["".join(g) for g in groups]
         new: dict[str, bytes] = {}
-        for group, text, ids in zip(groups, texts, self.many(texts) if texts else []):
+        for group, text, ids in zip(groups, texts, self.many(texts)):
             ids = np.array(ids, dtype="<i4")
             ends = np.cumsum(self.bytes_of[ids])
             of_words = np.cumsum([len(w.encode()) for w in group])
@@ -162,7 +191,7 @@ class LibraryTokenizer:
                 continue
             data, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
             new.update((w, data[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
-        new.update((w, np.array(ids, dtype="<i4").tobytes()) for w, ids in zip(alone, self.many(alone) if alone else []))
+        new.update((w, np.array(ids, dtype="<i4").tobytes()) for w, ids in zip(alone, self.many(alone)))
         room = REMEMBERED - len(self.memo)
         self.memo.update(islice(new.items(), max(0, room)))
         return new
@@ -201,6 +230,7 @@ def write(df: DataFrame, path: str, tokenizer: LibraryTokenizer, doc_id: str = "
     tail = np.array([] if end_id is None else [end_id], dtype="<i4")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and threads hold memory each
         own, first_ids = shared.value
         for batch in sliced(batches):
             ids = [np.concatenate([made, tail]) for made in own.encode_all([t or "" for t in batch.column(1).to_pylist()])]

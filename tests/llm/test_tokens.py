@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from spendlens.llm import bpe, queries, token_files
-from spendlens.llm.pretoken import splitter
+from spendlens.llm.pretoken import BYTE_LEVEL, splitter, starts
 from spendlens.llm.work import new_path
 
 SF = "/root/testdata/sf0.01"
@@ -225,3 +225,48 @@ def test_blocks_span_documents(spark, monkeypatch):
     flat = np.concatenate(docs)
     for first, count in ((0, len(flat)), (65_530, 20), (100_000, 1), (len(flat) - 1, 1)):
         assert (token_files.read_span(data, blocks, first, count) == flat[first:first + count]).all()
+
+
+def split_at_once(texts):
+    text = "".join(texts)
+    points, bounds = np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), np.cumsum([0, *map(len, texts)])
+    first = np.zeros(len(points), dtype=bool)
+    first[bounds[bounds < len(points)]] = True
+    cuts = [*np.flatnonzero(starts(points, first)).tolist(), len(points)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def test_texts_split_at_once_as_the_pattern():
+    assert BYTE_LEVEL == public_tokenizers.PATTERN
+    full, rng = regex.compile(BYTE_LEVEL).findall, np.random.default_rng(11)
+    letters = list("stremvld''  \n\t1aé½中!-\x85\xa0\x1c　𝒳")
+    sets = [["".join(rng.choice(letters, rng.integers(0, 9))) for _ in range(6)] for _ in range(3000)]
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    sets += [[f"a{c} {c}{c}'s{c}\n{c}" for c in points[low:low + 50_000]] for low in range(0, len(points), 50_000)]
+    for texts in [*sets, TRICKY, ["'", "s"], ["a ", "b", "", " ", " c"], ["x'", "'ll", "'l", "l"]]:
+        assert split_at_once(texts) == [w for t in texts for w in full(t)]
+
+
+def test_a_batch_looks_up_each_word_once(monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, word):
+            self.asked += 1
+            return super().get(word)
+
+    t, texts = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), ["a b a b's, a 中 12"] * 100 + ADDED
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for at_once in (1, 1 << 21):
+        monkeypatch.setattr(token_files, "POINTS_AT_ONCE", at_once)
+        own = queries.library_tokenizer(added_tokens=True)
+        own._ready()
+        own.memo = Counted()
+        assert [x.tolist() for x in own.encode_all(texts)] == want
+    assert own.memo.asked <= 30
+
+
+def test_another_pattern_encodes_whole_texts():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = token_files.LibraryTokenizer(t.to_str(), r"\S+")
+    assert [x.tolist() for x in own.encode_all(TRICKY)] == [t.encode(x, add_special_tokens=False).ids for x in TRICKY]
